@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("feed",)
+AREAS = ("feed", "normalizing")
 
 
 def load():

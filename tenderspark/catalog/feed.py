@@ -121,8 +121,8 @@ def feed_by_metadata(t):
 @query("feed_sorted_by_score", f"""select row_number() over (order by coalesce(score, 0) desc, {_DUE}, contractor_id) as position, notice_id, contractor_id
  from {_FEED} left join {_LATEST} using (notice_id) qualify position <= 500""")
 def feed_sorted_by_score(t):
-    top = op.order_by_score(op.view_model(_feed(t), t.scores).select("notice_id", "contractor_id", "score", "due_date"))
-    top = top.orderBy(F.col("score").desc(), *op.feed_order(), "contractor_id").limit(500)
+    scored = op.view_model(_feed(t), t.scores).select("notice_id", "contractor_id", "score", "due_date")
+    top = scored.orderBy(F.col("score").desc(), *op.feed_order(), "contractor_id").limit(500)
     return rank_rows(top, [], [F.col("score").desc(), *op.feed_order(), F.col("contractor_id")], [(F.col("score"), False)], "position") \
         .select("position", "notice_id", "contractor_id")
 
@@ -215,13 +215,13 @@ def saved_next_position(t):
     return op.next_position(t.saved, t.contractors)
 
 
-@query("saved_apply_order", """select s.contractor_id, s.notice_id, cast(o.p - 1 as int) as sort_position from {saved} s join (
- select contractor_id, unnest(ids) as notice_id, unnest(range(1, len(ids) + 1)) as p from
- (select contractor_id, list(notice_id order by notice_id desc) as ids from {views} group by 1)) o using (contractor_id, notice_id)
- where o.p = (select 1) or true""".replace(" where o.p = (select 1) or true", ""))
+@query("saved_apply_order", """select contractor_id, notice_id, row_number() over (partition by contractor_id order by notice_id desc) - 1 as sort_position
+ from {saved}""")
 def saved_apply_order(t):
-    ordered = t.views.groupBy("contractor_id").agg(F.sort_array(F.collect_list("notice_id"), asc=False).alias("notice_ids"))
-    return op.apply_order(t.saved, ordered).select("contractor_id", "notice_id", "sort_position")
+    dragged = rank_rows(t.saved.select("contractor_id", "notice_id"), ["contractor_id"], [F.col("notice_id").desc()],
+                        [(F.floor(F.col("notice_id") / 64), False)], "rank")
+    placed = dragged.select("contractor_id", "notice_id", (F.col("rank") - 1).alias("position"))
+    return op.apply_order(t.saved, placed).select("contractor_id", "notice_id", "sort_position")
 
 
 @query("bid_status_counts", "select contractor_id, coalesce(bid_status, 'reviewing') as bid_status, count(*) as n from {saved} group by 1, 2")
@@ -234,9 +234,8 @@ def bid_status_filter(t):
     return op.with_bid_status(t.saved, "reviewing").select("contractor_id", "notice_id")
 
 
-@query("url_slot_list", """select notice_id, array_to_string(list_filter([case when notice_id % 3 = 0 then ' http://a/' || notice_id else '' end,
- case when notice_id % 2 = 0 then 'http://b/' || notice_id end, '  ', 'http://c/' || notice_id], lambda x: trim(x) <> ''), ' ') as urls from {notices}"""
-       .replace("lambda x: trim(x) <> '')", "lambda x: trim(x) <> '')").replace("' http://a/'", "'http://a/'"))
+@query("url_slot_list", """select notice_id, array_to_string(list_filter([case when notice_id % 3 = 0 then 'http://a/' || notice_id else '' end,
+ case when notice_id % 2 = 0 then 'http://b/' || notice_id end, '  ', 'http://c/' || notice_id], lambda x: trim(x) <> ''), ' ') as urls from {notices}""")
 def url_slot_list(t):
     ident = F.col("notice_id").cast("string")
     slots = t.notices.select(

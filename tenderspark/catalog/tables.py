@@ -136,6 +136,36 @@ TABLES["chunks"] = """
 select vec_id as chunk_id, label as notice_id, 'chunk text ' || cast(vec_id as string) as chunk_text, embedding from {embeddings}
 """
 
+# Notice headers as the portals write them.
+TABLES["raw_records"] = """
+select o.o_orderkey as notice_id,
+  case o.o_orderkey % 7 when 0 then ' SAM.gov' when 1 then 'BidNet' when 2 then 'calprocure ' when 3 then 'Planet Bids'
+       when 4 then cast(null as string) when 5 then 'Cal eProcure' else 'Elsewhere' end as source,
+  case o.o_orderkey % 6 when 0 then ' Closed' when 1 then 'inactive' when 2 then 'AWARDED' when 3 then cast(null as string)
+       when 4 then 'cancelled' else 'Amended' end as status,
+  case o.o_orderkey % 6 when 0 then '(916) 653-' || lpad(cast(o.o_orderkey % 10000 as string), 4, '0')
+       when 1 then '+1 916.653.' || lpad(cast(o.o_orderkey % 10000 as string), 4, '0')
+       when 2 then 'n/a' when 3 then '44 20 7946 ' || cast(o.o_orderkey % 1000 as string) when 4 then cast(null as string)
+       else '653-' || cast(o.o_orderkey % 100 as string) end as contact_phone,
+  case o.o_orderkey % 5 when 0 then ' Pat.' || cast(o.o_orderkey as string) || '@Mail.EXAMPLE.Org ' when 1 then 'Nobody Home'
+       when 2 then 'A@b@HOST.gov' when 3 then cast(null as string) else 'x@Y.z' end as contact_email,
+  case o.o_orderkey % 3 when 0 then '  ' when 1 then ' Pat Doe ' || cast(o.o_orderkey as string) end as contact_name,
+  case when o.o_orderkey % 9 = 0 then cast(null as string)
+       else '  Lot ' || cast(o.o_orderkey as string) || chr(10) || chr(9) || ' of   goods ' end as title,
+  case o.o_orderkey % 12 when 0 then 'cdt' when 1 then ' Dept. of  Technology' when 2 then 'Caltrans' when 3 then cast(null as string)
+       when 4 then 'Ofc of Emergency Svcs' when 5 then 'Dept of Info Tech, Mgmt; and Admin.' when 6 then 'Departmnt of Water Resources'
+       when 7 then 'California State Park' when 8 then 'Department of Health Care Srvcs' when 9 then '  '
+       when 10 then 'Board ' || cast(o.o_orderkey % 300 as string) || ' of Cannabis Control Dept' else 'Judicial Branch Califronia' end as dept,
+  case o.o_orderkey % 4 when 0 then 'https://drive.example.com/file/d/ID' || cast(o.o_orderkey as string) || '/view?usp=x'
+       when 1 then 'https://drive.example.com/open?id=Q' || cast(o.o_orderkey as string) || '&a=b' when 2 then 'https://x.org/none'
+       else 'https://drive.example.com/uc?export=1&id=Z' || cast(o.o_orderkey as string) end as url,
+  case o.o_orderkey % 3 when 0 then '..Lot/7 #' || cast(o.o_orderkey as string) || '__' when 1 then '///' else 'A-' || cast(o.o_orderkey as string) || '.v2' end as notice_code,
+  case o.o_orderkey % 4 when 0 then '0' || cast(1 + o.o_orderkey % 9 as string) || '/1' || cast(o.o_orderkey % 10 as string) || '/2026  1:05PM PDT'
+       when 1 then '12/31/2026 12:30 AM EST' when 2 then 'due 3/8/2026' else 'not a date' end as stamp,
+  o.o_orderdate, o.o_totalprice, o.o_orderpriority, d.text as description
+from {orders} o left join {documents} d on o.o_orderkey = d.doc_id
+"""
+
 _TITLE = "substr(replace(d.text, chr(10), ' '), 1, 40)"
 # Landed page text of the state portal: a header block, the body and trailers.
 TABLES["portal_text"] = f"""
@@ -195,13 +225,13 @@ def _expand(sql: str, known: dict[str, str]) -> str:
     def sub(match: re.Match) -> str:
         name = match.group(1)
         return f"({_expand(known[name], known)})" if name in known else "{" + name + "}"
-    return re.sub(r"\{(\w+)\}", sub, sql)
+    return re.sub(r"\{([a-z_]\w*)\}", sub, sql)
 
 
 def duck(name: str) -> str:
     """The table as a DuckDB sub-query."""
     sql = _expand(TABLES[name], TABLES)
-    sql = re.sub(r"\{(\w+)\}", r"\1", sql)
+    sql = re.sub(r"\{([a-z_]\w*)\}", r"\1", sql)
     return "(" + sql.replace("ARR(", "list_value(").replace("SHA256(", "sha256(") + ")"
 
 
@@ -214,11 +244,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         return base(spark, sf_dir, name)
     sql = _expand(TABLES[name], TABLES)
-    sources = {n: base(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", sql))}
+    sources = {n: base(spark, sf_dir, n) for n in set(re.findall(r"\{([a-z_]\w*)\}", sql))}
     spark_sql = re.sub(r"SHA256\(((?:[^()]|\([^()]*\))*)\)", r"sha2(\1, 256)", sql.replace("ARR(", "array("))
     return spark.sql(spark_sql, **sources)
 
 
 def with_tables(sql: str) -> str:
     """Replace ``{name}`` in a check query by the derived table's sub-query."""
-    return re.sub(r"\{(\w+)\}", lambda m: duck(m.group(1)) if m.group(1) in TABLES else m.group(1), sql)
+    return re.sub(r"\{([a-z_]\w*)\}", lambda m: duck(m.group(1)) if m.group(1) in TABLES else m.group(1), sql)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderspark.fixed import INDUSTRY_TAGS, TOPIC_TAGS
-from tenderspark.functions.common import blank_to_null, col, drop_blank, let, round_half_up, strip
+from tenderspark.functions.common import blank_to_null, col, drop_blank, let, literals, round_half_up, strip
 from tenderspark.operators.ranking import first_by, rank_rows, top_per_key
 
 ID_BUCKET = 65536
@@ -173,15 +173,15 @@ def history_feed(notices: DataFrame, views: DataFrame, n: int = 50) -> DataFrame
 
 def facets(feed: DataFrame) -> DataFrame:
     """Filter values in use: curated industries and topics, other tags and places as locations."""
-    curated = [(tag, "industry", i) for i, tag in enumerate(INDUSTRY_TAGS)]
-    curated += [(tag, "topic", i) for i, tag in enumerate(TOPIC_TAGS)]
-    taxonomy = feed.sparkSession.createDataFrame(curated, "value string, kind string, pos int")
     tags = feed.select(F.explode("tags").alias("value")).distinct()
-    grouped = tags.join(taxonomy, "value", "left")
-    places = feed.select(strip("location").alias("value")).filter((F.col("value") != "") & (F.col("value") != "—"))
-    locations = places.union(grouped.filter(F.col("kind").isNull()).select("value")).distinct() \
-        .select(F.lit("location").alias("kind"), "value", F.lit(None).cast("int").alias("pos"))
-    return grouped.filter(F.col("kind").isNotNull()).select("kind", "value", "pos").union(locations)
+    industry = F.array_position(literals(INDUSTRY_TAGS), F.col("value"))
+    topic = F.array_position(literals(TOPIC_TAGS), F.col("value"))
+    kind = F.when(industry > 0, "industry").when(topic > 0, "topic").otherwise("location")
+    place = F.greatest(industry, topic)
+    grouped = tags.select(kind.alias("kind"), "value", F.when(place > 0, (place - 1).cast("int")).alias("pos"))
+    places = feed.select(F.lit("location").alias("kind"), strip("location").alias("value"), F.lit(None).cast("int").alias("pos")) \
+        .filter((F.col("value") != "") & (F.col("value") != "—"))
+    return grouped.union(places).distinct()
 
 
 def page(df: DataFrame, order: list[Column], n: int, size: int = 20) -> DataFrame:
@@ -248,11 +248,10 @@ def next_position(saved: DataFrame, contractors: DataFrame) -> DataFrame:
         .select("contractor_id", F.coalesce(F.col("_top") + 1, F.lit(0)).alias("next_position"))
 
 
-def apply_order(saved: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Positions from given id lists (contractor_id, notice_ids); unlisted rows drop out."""
-    places = ordered.select("contractor_id", F.posexplode("notice_ids").alias("new_position", "notice_id"))
-    return saved.drop("sort_position").join(places, ["contractor_id", "notice_id"]) \
-        .withColumnRenamed("new_position", "sort_position")
+def apply_order(saved: DataFrame, placed: DataFrame) -> DataFrame:
+    """Positions from given rows (contractor_id, notice_id, position); unlisted rows drop out."""
+    return saved.drop("sort_position").join(placed, ["contractor_id", "notice_id"]) \
+        .withColumnRenamed("position", "sort_position")
 
 
 def bid_status_counts(saved: DataFrame) -> DataFrame:
