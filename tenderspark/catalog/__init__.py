@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("feed", "normalizing")
+AREAS = ("feed", "normalizing", "maintaining")
 
 
 def load():

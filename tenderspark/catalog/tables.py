@@ -1,8 +1,9 @@
 """Domain tables derived from the generic test tables.
 
 Each table is one SELECT in the SQL subset Spark and DuckDB share, so a query
-and its check start from the same rows.  Only two spellings differ and are
-written as macros: ``ARR(`` for an array literal and ``SHA256(`` for the hash.
+and its check start from the same rows.  Three spellings differ and are
+written as macros: ``ARR(`` for an array literal, ``NULLARR`` for a null one and
+``SHA256(`` for the hash.
 Every row of the source tables is used.
 """
 
@@ -232,7 +233,7 @@ def duck(name: str) -> str:
     """The table as a DuckDB sub-query."""
     sql = _expand(TABLES[name], TABLES)
     sql = re.sub(r"\{([a-z_]\w*)\}", r"\1", sql)
-    return "(" + sql.replace("ARR(", "list_value(").replace("SHA256(", "sha256(") + ")"
+    return "(" + sql.replace("ARR(", "list_value(").replace("SHA256(", "sha256(").replace("NULLARR", "cast(null as varchar[])") + ")"
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -245,7 +246,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return base(spark, sf_dir, name)
     sql = _expand(TABLES[name], TABLES)
     sources = {n: base(spark, sf_dir, n) for n in set(re.findall(r"\{([a-z_]\w*)\}", sql))}
-    spark_sql = re.sub(r"SHA256\(((?:[^()]|\([^()]*\))*)\)", r"sha2(\1, 256)", sql.replace("ARR(", "array("))
+    spark_sql = re.sub(r"SHA256\(((?:[^()]|\([^()]*\))*)\)", r"sha2(\1, 256)", sql.replace("NULLARR", "cast(null as array<string>)").replace("ARR(", "array("))
     return spark.sql(spark_sql, **sources)
 
 

@@ -55,3 +55,20 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return (local.join(offsets, match)
             .withColumn(name, F.col("_offset") + F.col("_local"))
             .select(*df.columns, name))
+
+
+def last_before(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: Column, out: str, bucket: str = "hour") -> DataFrame:
+    """Adds the last non-null `value` of earlier rows of the same key.
+
+    Rows are read inside one time bucket of the key; what earlier buckets left
+    is carried over from one row per bucket, so a hot key is spread over tasks.
+    """
+    work = df.withColumn("_v", value).withColumn("_b", F.date_trunc(bucket, F.col(ts)))
+    inside = Window.partitionBy(*keys, "_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
+    local = work.withColumn("_local", F.last("_v", ignorenulls=True).over(inside))
+    per_bucket = work.filter(F.col("_v").isNotNull()).groupBy(*keys, "_b").agg(F.max_by("_v", F.struct(ts, tie)).alias("_end"))
+    # A bucket without a value still needs what came before it.
+    spans = work.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).join(per_bucket, [*keys, "_b"], "left")
+    across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select(*keys, "_b", F.last("_end", ignorenulls=True).over(across).alias("_carried"))
+    return local.join(carried, [*keys, "_b"]).withColumn(out, F.coalesce("_local", "_carried")).select(*df.columns, out)
