@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("feed", "normalizing", "maintaining")
+AREAS = ("feed", "normalizing", "maintaining", "cleaning")
 
 
 def load():

@@ -100,4 +100,4 @@ def round_half_up(c: Column) -> Column:
 
 def let(value: Column, fn) -> Column:
     """``fn(value)`` with `value` computed once per row however often `fn` uses it."""
-    return F.transform(F.array(value), fn).getItem(0)
+    return F.transform(F.array(value), lambda v: fn(v))[0]
