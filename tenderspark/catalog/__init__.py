@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("feed", "normalizing", "maintaining", "cleaning")
+AREAS = ("cleaning", "extracting", "landing")
 
 
 def load():
