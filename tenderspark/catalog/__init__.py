@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("cleaning", "extracting", "landing")
+AREAS = ("tagging",)
 
 
 def load():
