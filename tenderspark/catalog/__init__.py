@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("tagging",)
+AREAS = ("retrieving",)
 
 
 def load():

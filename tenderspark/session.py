@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Vector blocks travel in Arrow batches bounded by size, not by row count.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
     # Top-k filters up to this rank are applied before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
