@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("retrieving",)
+AREAS = ("scoring",)
 
 
 def load():
