@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("scoring",)
+AREAS = ("analysing", "streaming", "scoring")
 
 
 def load():

@@ -10,6 +10,7 @@ from tenderspark.fixed import AGENCY_STOPWORDS, KEYWORD_STOPWORDS, PLACE_STOPWOR
 from tenderspark.operators import feed
 from tenderspark.operators import scoring as sc
 from tenderspark.operators.departments import alias_table
+from tenderspark.plans.score import score_pairs
 
 _PAIRS = "(select contractor_id, notice_id from {saved} union select contractor_id, notice_id from " + _CANDIDATES.replace("{cap}", "10") + ")"
 _ROWS = f"""(select contractor_id, notice_id, n.*exclude (notice_id, naics_codes), c.* exclude (contractor_id, naics_codes), n.naics_codes as required_codes, c.naics_codes as held_codes
@@ -165,7 +166,7 @@ _TOTAL = f"(select *, cast(case when excluded then 0 else floor((0.0::double + {
 @query("pair_scores", f"""select contractor_id, notice_id, excluded_term, {', '.join(sc.FACTORS)}, total, concat_ws(',', {', '.join(f"case when {f}_null then '{f}' end" for f in sc.FACTORS)}) as null_factors,
  case when excluded then 'Excluded: RFP mentions "' || excluded_term || '" which is on the contractor''s no-go list.' else 'Compatibility ' || total || '/100. {'; '.join(f"{f}: ' || {f} || '" for f in sc.FACTORS)}.' end as reasoning, 'compat-v2' as model_version from {_TOTAL}""")
 def pair_scores(t):
-    scored = sc.score_pairs(_pairs(t), t.contractors, t.notices, t.past_projects, alias_table(t.spark), _judgements(t), AS_OF)
+    scored = score_pairs(_pairs(t), t.contractors, t.notices, t.past_projects, alias_table(t.spark), _judgements(t), AS_OF)
     return scored.select("contractor_id", "notice_id", "excluded_term", *sc.FACTORS, "total", F.array_join("null_factors", ",").alias("null_factors"), "reasoning", "model_version")
 
 

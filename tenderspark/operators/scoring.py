@@ -312,16 +312,3 @@ def pair_inputs(pairs: DataFrame, contractors: DataFrame, notices: DataFrame) ->
                            "set_aside_eligibility", F.col("naics_codes").alias("held_codes"))
     n = notices.select("notice_id", "due_date", "state", "location", "department", "set_aside", F.col("naics_codes").alias("required_codes"))
     return pairs.select(*PAIR).join(c, "contractor_id").join(n, "notice_id")
-
-
-def score_pairs(pairs: DataFrame, contractors: DataFrame, notices: DataFrame, past: DataFrame, aliases: DataFrame,
-                judgements: DataFrame, as_of: str) -> DataFrame:
-    """All factors, weights, total and breakdown of each pair; `as_of` stands for the present moment."""
-    rows = pair_inputs(pairs, contractors, notices)
-    parts = {"timing": timing(rows, as_of), "experience": experience(rows, past, judgements), "goals": goals(rows, judgements),
-             "prereqs": prereqs(rows, judgements), "geography": geography(rows), "agency": agency(rows, past, aliases),
-             "keywords": keywords(rows, contractors, past, notices)}
-    out = exclusions(rows, contractors, notices).select(*PAIR, "excluded", F.col("term").alias("excluded_term"), F.col("reason").alias("exclusion_reason"))
-    for f, part in parts.items():
-        out = out.join(part.select(*PAIR, F.col("score").alias(f), F.col("is_null").alias(f"{f}_null"), F.col("reason").alias(f"{f}_reason")), PAIR)
-    return breakdown(total(weights(out)))
