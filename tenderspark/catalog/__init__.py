@@ -2,7 +2,8 @@
 
 import importlib
 
-AREAS = ("analysing", "streaming", "scoring")
+AREAS = ("feed", "normalizing", "maintaining", "cleaning", "landing", "extracting", "tagging", "ingesting",
+         "retrieving", "scoring", "analysing", "streaming")
 
 
 def load():
