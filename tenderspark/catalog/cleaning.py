@@ -156,7 +156,7 @@ def document_text(t):
 
 
 def _formline(x):
-    return f"(regexp_matches({x}, '(?im){'|'.join(p.replace(chr(39), chr(39) * 2) for p in tx.FORM_LINES)}') or regexp_matches({x}, '{tx.TITLE_LINE}') or regexp_matches({x}, '{tx.CAPS_LINE}') or regexp_matches({x}, '{tx.CODE_LINE}'))"
+    return f"(regexp_matches({x}, '{tx.FORM_LINE.replace(chr(39), chr(39) * 2)}') or regexp_matches({x}, '{tx.TITLE_LINE}') or regexp_matches({x}, '{tx.CAPS_LINE}') or regexp_matches({x}, '{tx.CODE_LINE}'))"
 
 
 _PROSE_SET = "[" + ", ".join(_q(w) for w in PROSE_WORDS) + "]"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderspark.fixed import (ACTION_WORDS, CITIES, GLUE_WORDS, LABEL_EXCLUDES, LABEL_SPEC_HINTS, OBLIGATION_PHRASES,
                                PROJECT_LEAD_PHRASES, QUESTIONNAIRE_MARKERS, SECTION_HEADERS, SUBMISSION_PHRASES)
-from tenderspark.functions.common import (blank_to_null, col, contains_any, drop_blank, first_index, head, let, literals, squeeze,
+from tenderspark.functions.common import (blank_to_null, col, contains_any, drop_blank, first_index, head, let, literals, lookup, squeeze,
                                           starts_with_any, strip, take_from, word_count, words)
 from tenderspark.functions.text import LINE_END, is_filler, is_pure_admin, paragraph_sentences
 
@@ -221,8 +221,8 @@ def section_items(c: Column | str) -> Column:
 def obligation_sentences(c: Column | str) -> Column:
     """The first five distinct sentences that oblige the contractor to something."""
     def obliges(s: Column) -> Column:
-        return let(F.lower(s), lambda low: contains_any(low, OBLIGATION_PHRASES) & ~contains_any(low, SUBMISSION_PHRASES)
-                   & ~contains_any(low, QUESTIONNAIRE_MARKERS) & ~F.contains(low, F.lit("?")))
+        return let(F.lower(s), lambda low: contains_any(low, OBLIGATION_PHRASES)
+                   & ~contains_any(low, SUBMISSION_PHRASES + QUESTIONNAIRE_MARKERS + ("?",)))
 
     kept = F.transform(F.filter(paragraph_sentences(col(c)), obliges), normalize_item)
     return head(F.array_distinct(F.filter(kept, lambda s: F.length(s).between(20, 280))), 5)
@@ -250,8 +250,7 @@ def inline_list_items(c: Column | str) -> Column:
 
     def prefix(match: Column) -> Column:
         verb = F.lower(F.regexp_extract(match, r"^(\S+)", 1))
-        flat = [F.lit(v) for pair in LIST_VERBS.items() for v in pair]
-        return F.coalesce(F.try_element_at(F.create_map(*flat), verb), F.lit("Deliver"))
+        return F.coalesce(lookup(verb, LIST_VERBS.items()), F.lit("Deliver"))
 
     start = F.struct(_strings().alias("seen"), _strings().alias("out"))
 

@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType
 
 from tenderspark.fixed import (ADDENDUM_WORDS, ADMIN_LEAD_PHRASES, DOCUMENT_LEAD_PHRASES, FILLER_PHRASES,
                                PLACEHOLDER_MARKERS, PROJECT_SIGNAL_PHRASES, PROSE_WORDS, TRAILER_LINES, TRAILER_PREFIXES)
-from tenderspark.functions.common import (col, contains_any, count_matches, drop_blank, first_index, head, let, literals,
+from tenderspark.functions.common import (col, contains_any, count_matches, drop_blank, filled, first_index, head, let, literals,
                                           squeeze, starts_with_any, strip)
 
 BLANK_LINE = r"\n\s*\n"
@@ -47,24 +47,21 @@ SECTION_ANCHOR = (r"(?i)(?:^|[.!?]\s|\n)\s*(?:\d+\.\s+)?(?:statement\s+of\s+work
 SECTION_HEAD = (r"(?i)^\s*(?:\d+(?:\.\d+)*\s+)?(?:scope|introduction|overview|background|purpose|"
                 r"statement\s+of\s+work|sow|objective(?:s)?|executive\s+summary|general\s+information|summary|"
                 r"description\s+of\s+services)\s*$")
-FORM_LINES = (
-    r"\bi\s+certify\b", r"\bper\s+vaar\b", r"\bper\s+far\b", r"\bname,\s*date\s*:", r"\bapproved\s+by\s*:",
-    r"\bsignature\s*:_+", r"\bdistribution\s+statement\b", r"^\s*brand\s+name\s+item\s*:",
-    r"^\s*essential/significant\s+physical", r"^\s*salient\s+characteristics\b", r"^\s*supervisory\s+",
-    r"^\s*contracting\s+officer\b", r"^\s*vacchcs\b", r"^\s*version\s+\d", r"^\s*far\s+\d",
-    r"^\s*\d{1,2}/\d{1,2}/\d{2,4}\s*$", r"^\s*\d+\)\s*[a-z][a-z\-/ ]{2,50}(?:\s*[–—\-:])",
-    r"^\s*\d+\)\s*[a-z][a-z &/]{2,35}\s*$", r"^\s*[A-Z][A-Z0-9'’\s,&/().\-]{1,80}\*\s*$",
+FORM_WORDS = (r"i\s+certify\b", r"per\s+vaar\b", r"per\s+far\b", r"name,\s*date\s*:", r"approved\s+by\s*:", r"signature\s*:_+",
+              r"distribution\s+statement\b")
+FORM_STARTS = (
+    r"brand\s+name\s+item\s*:", r"essential/significant\s+physical", r"salient\s+characteristics\b", r"supervisory\s+",
+    r"contracting\s+officer\b", r"vacchcs\b", r"version\s+\d", r"far\s+\d", r"\d{1,2}/\d{1,2}/\d{2,4}\s*$",
+    r"\d+\)\s*[a-z][a-z\-/ ]{2,50}(?:\s*[–—\-:])", r"\d+\)\s*[a-z][a-z &/]{2,35}\s*$",
+    r"[A-Z][A-Z0-9'’\s,&/().\-]{1,80}\*\s*$",
 )
+FORM_LINE = r"(?im)^\s*(?:" + "|".join(FORM_STARTS) + r")|\b(?:" + "|".join(FORM_WORDS) + ")"
 TITLE_LINE = r"^\s*(?:[A-Z][A-Za-z]+\s*){1,4}$"
 CAPS_LINE = r"^\s*[A-Z][A-Z0-9\s,&/().\-]{4,80}\s*$"
 CODE_LINE = r"^[A-Z0-9][A-Z0-9\-\s/]{1,40}$"
 BLOCK_TAGS = "p|br|div|li|tr|ul|ol|h1|h2|h3|h4|h5|h6|table"
 
 
-def _or_null(c: Column) -> Column:
-    return F.when(c != "", c)
-
-
 def _paragraphs(c: Column) -> Column:
     return F.split(c, BLANK_LINE)
 
@@ -85,8 +82,7 @@ def paragraph_sentences(c: Column | str) -> Column:
 
 def is_filler(sentence: Column) -> Column:
     """Procurement boiler-plate or a form value line."""
-    s = strip(sentence)
-    return s.rlike(CODE_START) | s.rlike(NUMBER_START) | let(F.lower(s), lambda low: contains_any(low, FILLER_PHRASES))
+    return let(strip(sentence), lambda s: s.rlike(CODE_START) | s.rlike(NUMBER_START) | contains_any(F.lower(s), FILLER_PHRASES))
 
 
 def strip_addenda(c: Column | str) -> Column:
@@ -110,23 +106,23 @@ def strip_addenda(c: Column | str) -> Column:
 
 def strip_admin_lead(c: Column | str, phrases: Iterable[str] = ADMIN_LEAD_PHRASES) -> Column:
     """Drop opening sentences with an administrative phrase up to the first other one."""
-    def admin(s: Column) -> Column:
-        return let(F.lower(s), lambda low: contains_any(low, phrases))
-
     def paragraph(p: Column) -> Column:
         return drop_blank(F.transform(_sentence_cut(p, "A-Z“\"'"), strip))
 
+    def kept(s: Column) -> Column:
+        return ~contains_any(F.lower(s), phrases)
+
     def from_first(paras: Column) -> Column:
         def rest(p0: Column) -> Column:
             opening = paras[p0]
-            start = first_index(opening, lambda s: ~admin(s))
+            start = first_index(opening, kept)
             first = F.array_join(F.slice(opening, start + 1, F.size(opening)), " ")
             later = F.transform(F.slice(paras, p0 + 2, F.size(paras)), lambda p: F.array_join(p, " "))
             return F.when(p0.isNotNull(), strip(F.array_join(drop_blank(F.concat(F.array(first), later)), "\n\n")))
 
-        return let(first_index(paras, lambda p: F.exists(p, lambda s: ~admin(s))), rest)
+        return let(first_index(paras, lambda p: F.exists(p, kept)), rest)
 
-    return _or_null(let(F.transform(_paragraphs(col(c)), paragraph), from_first))
+    return filled(let(F.transform(_paragraphs(col(c)), paragraph), from_first))
 
 
 def _running(blocks: Column, target: int) -> Column:
@@ -175,7 +171,8 @@ def limit_sentences(c: Column | str, lo: int = 4, hi: int = 5) -> Column:
         ended = F.transform(units, lambda u: F.when(u.rlike(r"(?s)[.!?]$"), u).otherwise(F.concat(u, F.lit("."))))
         return F.when(F.size(units) == 0, text).otherwise(strip(F.array_join(ended, " ")))
 
-    return let(let(F.filter(sentence_units(text), lambda u: F.length(u) >= 25), choose), render)
+    units = F.filter(sentence_units(text), lambda u: F.length(u) >= 25)
+    return let(let(units, choose), render)
 
 
 def description_body(c: Column | str) -> Column:
@@ -202,7 +199,7 @@ def clean_description(c: Column | str) -> Column:
     step = let(description_body(c), strip_addenda)
     step = let(step, lambda s: F.coalesce(strip_admin_lead(s), F.lit("")))
     step = let(step, cap_paragraphs)
-    return _or_null(let(step, limit_sentences))
+    return filled(let(step, limit_sentences))
 
 
 def _noise_free(c: Column) -> Column:
@@ -225,14 +222,15 @@ def section_body(c: Column) -> Column:
 
 def form_line(line: Column) -> Column:
     """A header, banner, code or form line rather than prose."""
-    return (line.rlike("(?im)" + "|".join(FORM_LINES)) | line.rlike(TITLE_LINE) | line.rlike(CAPS_LINE)
+    return (line.rlike(FORM_LINE) | line.rlike(TITLE_LINE) | line.rlike(CAPS_LINE)
             | line.rlike(CODE_LINE))
 
 
 def is_narrative(paragraph: Column) -> Column:
     """Reads like prose: long enough, not mostly capitals, with glue words."""
     p = strip(paragraph)
-    letters, capitals = count_matches(p, r"\p{L}"), count_matches(p, r"\p{Lu}")
+    letters = F.length(p) - F.length(F.regexp_replace(p, r"\p{L}+", ""))
+    capitals = F.length(p) - F.length(F.regexp_replace(p, r"\p{Lu}+", ""))
     found = F.regexp_extract_all(F.lower(p), F.lit("[a-z]+"), F.lit(0))
     prose = let(found, lambda w: (F.size(w) >= 12)
                 & (F.size(F.filter(w, lambda x: F.array_contains(literals(PROSE_WORDS), x))) >= 3))
@@ -281,7 +279,7 @@ def is_pure_admin(c: Column | str) -> Column:
 def override_admin_description(df: DataFrame) -> DataFrame:
     """Replace a description that is pure form text by the statement of work."""
     admin = is_pure_admin(strip(F.coalesce("description", F.lit(""))))
-    return df.withColumn("description", F.when(admin, _or_null(strip("statement_of_work"))).otherwise(F.col("description")))
+    return df.withColumn("description", F.when(admin, filled(strip("statement_of_work"))).otherwise(F.col("description")))
 
 
 def html_to_text(c: Column | str) -> Column:

@@ -25,18 +25,22 @@ def feature_text(description: Column, title: Column, dept: Column, labels: Colum
     return F.array_join(drop_blank(F.concat(F.array(description, description, title, dept), named)), "\n")
 
 
-def keyword_tags(text: Column, rules=KEYWORD_RULES) -> Column:
+def keyword_tags(text: Column, rules: tuple = KEYWORD_RULES) -> Column:
     """Tags whose rule text occurs, in rule order; one pass over the row, no join."""
-    def hits(low: Column) -> Column:
-        return F.filter(F.array(*[F.when(F.contains(low, F.lit(needle)), F.lit(tag)) for needle, tag in rules]), lambda x: x.isNotNull())
+    held = let(F.lower(text), lambda low: F.filter(literals(needle for needle, _ in rules), lambda n: F.contains(low, n)))
+    return F.array_distinct(F.transform(held, lambda n: lookup(n, rules)))
 
-    return F.array_distinct(let(F.lower(text), hits))
 
+def weak_labels(df: DataFrame, out: str = "labels_found") -> DataFrame:
+    """Keyword tags together with the tags of commodity code families, sorted.
 
-def weak_labels(df: DataFrame, text: str = "feature_text", description: str = "description", out: str = "labels_found") -> DataFrame:
-    """Keyword tags together with the tags of commodity code families, sorted."""
-    families = F.transform(commodity_codes(F.coalesce(F.col(description), F.lit(""))), lambda c: lookup(F.left(c, F.lit(2)), FAMILY_TAGS))
-    return df.withColumn(out, F.array_sort(F.array_union(keyword_tags(F.col(text)), F.filter(families, lambda x: x.isNotNull()))))
+    Uses description, title, dept and labels.  The keywords are looked for in
+    the feature text with the description once, which gives the same tags.
+    """
+    empty = F.lit(None).cast("string")
+    once = let(feature_text(empty, F.concat_ws("\n", "description", "title"), F.col("dept"), F.col("labels")), keyword_tags)
+    families = F.transform(commodity_codes(F.coalesce("description", F.lit(""))), lambda c: lookup(F.left(c, F.lit(2)), FAMILY_TAGS))
+    return df.withColumn(out, F.array_sort(F.array_union(once, F.filter(families, lambda x: x.isNotNull()))))
 
 
 def tag_distribution(df: DataFrame, labels: str, vocabulary=TAG_VOCABULARY) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderspark.fixed import DETAIL_LABELS
-from tenderspark.functions.common import blank_to_null, drop_blank, first_match, let, literals, squeeze, strip
+from tenderspark.functions.common import blank_to_null, drop_blank, first_match, let, literals, lookup, squeeze, strip
 from tenderspark.functions.extract import (ISO_STAMP, content_hash, first_email, first_iso, first_phone, industry_codes,
                                            meeting_flag, office_path, portal_timestamp, primary_contact)
 from tenderspark.operators.ranking import first_by, top_per_key
@@ -148,8 +148,7 @@ def unlocked(c: Column) -> Column:
 
 def label_to_field(label: Column) -> Column:
     """Field name behind a detail-page label, null where it is not used."""
-    flat = [F.lit(v) for pair in DETAIL_LABELS for v in pair]
-    return F.try_element_at(F.create_map(*flat), F.lower(strip(label)))
+    return lookup(F.lower(strip(label)), DETAIL_LABELS)
 
 
 def group_fields_to_raw(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
