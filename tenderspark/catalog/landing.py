@@ -8,7 +8,9 @@ from tenderspark.schemas import OPPORTUNITY
 from tenderspark.session import scratch_path
 from tenderspark.sources import pages as pg
 from tenderspark.sources import portals as po
-from tenderspark.sources.raw import write_processed
+from tenderspark.operators.maintenance import ingest_counts
+from tenderspark.sources.raw import read_raw, write_processed
+from tenderspark.streaming.intake import stream_intake
 
 BASE = "https://portal.example.org/"
 
@@ -132,3 +134,33 @@ def processed_files(t):
     write_processed(t.notices.select("notice_id", "status", "name", "title", "external_id", "source"), path)
     return t.spark.read.parquet(path).select("source", "external_id", "title", "name", "status", "notice_id")
 
+
+
+def _raw_files(t, name):
+    """Land every document as JSON notices, one broken record among them per source file."""
+    path = scratch_path(t.spark, name)
+    notice = F.to_json(F.struct(F.lit("Cal eProcure").alias("source"), F.col("external_id"), F.lit("active").alias("status"), F.col("text").alias("description"),
+                                F.struct(F.array(F.struct(F.col("url").alias("url"), F.lit("Page").alias("label"))).alias("documents")).alias("metadata")))
+    body = F.when(F.col("doc_id") % 50 == 7, F.concat(F.lit("broken "), F.col("external_id"))).otherwise(notice)
+    t.portal_text.repartition(8, "doc_id").select(body.alias("value")).write.text(path)
+    return path
+
+
+_LANDED = "(select external_id, text, url, doc_id % 50 = 7 as broken from {portal_text})"
+
+
+@query("raw_files_accounting", f"select case when broken then 'failed' else 'upserted' end as ingest_status, count(*) as n from {_LANDED} group by 1")
+def raw_files_accounting(t):
+    """Record-per-line files; unreadable ones are counted, not fatal."""
+    return ingest_counts(read_raw(t.spark, [_raw_files(t, "raw")], multi_line=False, suffix="txt"))
+
+
+@query("raw_files_streamed", f"select external_id, text as description, url from {_LANDED} where not broken")
+def raw_files_streamed(t):
+    source, out = _raw_files(t, "raw-stream"), scratch_path(t.spark, "raw-stream-out")
+
+    def keep(batch):
+        return batch.filter("external_id is not null").select("external_id", "description", F.col("metadata.documents")[0]["url"].alias("url"))
+
+    stream_intake(t.spark, source, None, out, scratch_path(t.spark, "raw-stream-checkpoint"), keep, multi_line=False, suffix="txt").awaitTermination()
+    return t.spark.read.parquet(out).drop("batch")

@@ -8,7 +8,7 @@ from tenderspark.functions import extract as ex
 from tenderspark.functions import normalize as nz
 from tenderspark.operators import departments as dep
 from tenderspark.operators.ranking import first_by
-from tenderspark.sources.structured import valid_answer
+from tenderspark.sources.structured import valid_answer, valid_summary
 
 
 def _q(text):
@@ -244,3 +244,15 @@ _REPLY = """(select conv_id, turn, case turn % 5
 def structured_answer(t):
     replies = t.spark.sql("select * from " + _REPLY, conversations=t.conversations)
     return valid_answer(replies, "reply").filter("valid").select("conv_id", "turn", "answer.description", "answer.statement_of_work")
+
+
+_FACTS = """'[' || chr(123) || '"label": "l", "detail": "' || role || '", "citation": ' || chr(123) || case when turn % 5 = 4 then '"quot"' else '"quote"' end || ': "q"' || chr(125) || chr(125) || ']'"""
+_SUMMARY = f"""(select conv_id, turn, case when turn % 5 = 3 then 'oops' else chr(123) || '"opportunity_posture": "p' || cast(conv_id as string) || '", "opportunity_posture_citations": [], ' || case when turn % 5 = 1 then '' else '"scope_of_work": "w", ' end
+ || '"scope_of_work_citations": [' || chr(123) || '"quote": "q"' || chr(125) || '], "critical_deadlines": [], "evaluation_criteria": [' || chr(123) || '"name": "n", "description": "d", "weight_pct": null, "citation": ' || chr(123) || '"quote": "q"' || chr(125) || chr(125)
+ || '], "contract_details": ' || {_FACTS} || ', "technical_work_areas": [], "submission_guidance": [], "points_of_contact": []' || chr(125) end as body from {{conversations}})"""
+
+
+@query("structured_summary", "select conv_id, turn, turn % 5 in (0, 2) as valid, case when turn % 5 in (0, 2) then json_extract_string(body, '$.opportunity_posture') end as posture from " + _SUMMARY)
+def structured_summary(t):
+    bodies = t.spark.sql("select * from " + _SUMMARY, conversations=t.conversations)
+    return valid_summary(bodies, "body").select("conv_id", "turn", "valid", F.when(F.col("valid"), F.col("summary.opportunity_posture")).alias("posture"))

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tenderspark.catalog.tables import table, with_tables
+from tenderspark.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
+# Tables whose queries do long per-row work.
+WORKED = {"documents", "pages", "portal_text", "descriptions", "attachment_text", "titles", "tag_sources", "bodies", "raw_records",
+          "listing_pages", "code_pages", "opportunities", "group_fields"}
+
 
 class Tables:
     """Access to base and derived tables of one data folder: ``t.notices``."""
@@ -20,7 +25,8 @@ class Tables:
         self.sf_dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
+        df = table(self.spark, self.sf_dir, name)
+        return spread(df) if name in WORKED else df
 
 
 def query(name: str, sql: str | None = None):

@@ -11,6 +11,7 @@ from tenderspark.operators import feed
 from tenderspark.operators import scoring as sc
 from tenderspark.operators.departments import alias_table
 from tenderspark.plans.score import score_pairs
+from tenderspark.session import stage
 
 _PAIRS = "(select contractor_id, notice_id from {saved} union select contractor_id, notice_id from " + _CANDIDATES.replace("{cap}", "10") + ")"
 _ROWS = f"""(select contractor_id, notice_id, n.*exclude (notice_id, naics_codes), c.* exclude (contractor_id, naics_codes), n.naics_codes as required_codes, c.naics_codes as held_codes
@@ -22,15 +23,15 @@ def _list(ws):
 
 
 def _pairs(t):
-    """Saved notices of every contractor and the first ten unscored ones of the feed."""
+    """Saved notices of every contractor and the first ten unscored ones of the feed, staged once."""
     ready = feed.has_signal(t.contractors, t.past_projects)
     fresh = feed.candidate_pairs(ready, feed.base_feed(t.notices), t.scores, 10).select("contractor_id", "notice_id")
     kept = t.saved.select("contractor_id", "notice_id").join(t.notices.select("notice_id"), "notice_id", "left_semi").join(t.contractors.select("contractor_id"), "contractor_id", "left_semi")
-    return kept.select("contractor_id", "notice_id").union(fresh).distinct()
+    return stage(kept.select("contractor_id", "notice_id").union(fresh).distinct(), "pairs")
 
 
 def _rows(t):
-    return sc.pair_inputs(_pairs(t), t.contractors, t.notices)
+    return stage(sc.pair_inputs(_pairs(t), t.contractors, t.notices), "pair-rows")
 
 
 def _judgements(t):

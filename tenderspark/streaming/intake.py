@@ -16,16 +16,18 @@ from tenderspark.operators.maintenance import merge_sparse
 from tenderspark.schemas import RAW_NOTICE
 
 
-def raw_stream(spark: SparkSession, in_dir: str, archive_dir: str | None = None, prefix: str | None = None) -> DataFrame:
+def raw_stream(spark: SparkSession, in_dir: str, archive_dir: str | None = None, prefix: str | None = None,
+               multi_line: bool = True, suffix: str = "json") -> DataFrame:
     """New JSON notices of a folder.  With `archive_dir` a file moves there once a later batch has committed."""
-    reader = spark.readStream.schema(RAW_NOTICE).option("multiLine", True).option("pathGlobFilter", f"{prefix or ''}*.json")
+    reader = spark.readStream.schema(RAW_NOTICE).option("multiLine", multi_line).option("pathGlobFilter", f"{prefix or ''}*.{suffix}")
     if archive_dir:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
     return reader.json(in_dir)
 
 
 def stream_intake(spark: SparkSession, in_dir: str, archive_dir: str | None, out_dir: str, checkpoint: str,
-                  process: Callable[[DataFrame], DataFrame], prefix: str | None = None) -> StreamingQuery:
+                  process: Callable[[DataFrame], DataFrame], prefix: str | None = None, multi_line: bool = True,
+                  suffix: str = "json") -> StreamingQuery:
     """Run `process` over the files not seen yet and write its rows; ends when there are none.
 
     The checkpoint keeps each file to one batch; whether a file still lies in `in_dir` says nothing.
@@ -33,7 +35,7 @@ def stream_intake(spark: SparkSession, in_dir: str, archive_dir: str | None, out
     def write(batch: DataFrame, batch_id: int) -> None:
         process(batch).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
-    return raw_stream(spark, in_dir, archive_dir, prefix).writeStream.foreachBatch(write) \
+    return raw_stream(spark, in_dir, archive_dir, prefix, multi_line, suffix).writeStream.foreachBatch(write) \
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
