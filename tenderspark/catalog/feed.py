@@ -139,7 +139,7 @@ def saved_feed(t):
     return op.saved_feed(op.not_expired(_feed(t), AS_OF), t.saved).select("contractor_id", "notice_id", "title")
 
 
-@query("history_feed", """select contractor_id, v.notice_id, viewed_at, view_rank from (
+@query("history_feed", """select contractor_id, v.notice_id, viewed_at, cast(view_rank as int) as view_rank from (
   select *, row_number() over (partition by contractor_id order by viewed_at desc, notice_id) as view_rank
   from (select contractor_id, notice_id, max(viewed_at) as viewed_at from {views} group by 1, 2) qualify view_rank <= 50) v
  join """ + _FEED + " using (notice_id)")
@@ -280,7 +280,7 @@ def candidate_pairs(t):
     return op.candidate_pairs(ready, _feed(t), t.scores).select("contractor_id", "notice_id")
 
 
-@query("open_feed_page", f"""select contractor_id, notice_id, score, position from (select *, row_number() over (partition by contractor_id
+@query("open_feed_page", f"""select contractor_id, notice_id, score, cast(position as int) as position from (select *, row_number() over (partition by contractor_id
   order by score desc, {_DUE}) as position from (
   select contractor_id, notice_id, score from {_LATEST} where notice_id in (select notice_id from {_FEED} where due_date is null or due_date >= timestamp '{AS_OF}')
   union all select contractor_id, notice_id, 0 from {_CANDIDATES.replace("{cap}", "20").replace("and is_relevant)", "and is_relevant and (due_date is null or due_date >= timestamp '" + AS_OF + "'))")})

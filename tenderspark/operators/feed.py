@@ -9,7 +9,8 @@ from tenderspark.fixed import INDUSTRY_TAGS, TOPIC_TAGS
 from tenderspark.functions.common import blank_to_null, col, drop_blank, let, literals, round_half_up, strip
 from tenderspark.operators.ranking import first_by, rank_rows, top_per_key
 
-ID_BUCKET = 65536
+# Width of the notice-key ranges a crowded day is split into when the feed is ranked.
+ID_BUCKET = 1 << 20
 
 
 def feed_order() -> list[Column]:
@@ -305,11 +306,11 @@ def unscored(feed: DataFrame, scores: DataFrame) -> DataFrame:
 
 def unscored_counts(contractors: DataFrame, feed: DataFrame, scores: DataFrame) -> DataFrame:
     """Number of unscored feed notices per contractor."""
-    size = feed.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
+    size = feed.agg(F.count(F.lit(1)).alias("_n")).scalar()
     scored = scores.select("contractor_id", "notice_id").distinct().join(feed.select("notice_id"), "notice_id", "left_semi") \
         .groupBy("contractor_id").agg(F.count(F.lit(1)).alias("_s"))
-    return contractors.select("contractor_id", F.lit(1).alias("_one")).join(scored, "contractor_id", "left").join(size, "_one") \
-        .select("contractor_id", (F.col("_n") - F.coalesce("_s", F.lit(0))).alias("unscored"))
+    return contractors.select("contractor_id").join(scored, "contractor_id", "left") \
+        .select("contractor_id", (size - F.coalesce("_s", F.lit(0))).alias("unscored"))
 
 
 def owned(df: DataFrame, contractors: DataFrame, user_id: str | None = None) -> DataFrame:

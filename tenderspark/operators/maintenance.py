@@ -11,6 +11,7 @@ from tenderspark.fixed import BID_STATUSES
 from tenderspark.functions.common import blank_to_null, drop_blank, strip
 from tenderspark.functions.normalize import safe_id
 from tenderspark.operators.ranking import first_by, last_before, rank_rows, top_per_key
+from tenderspark.session import stage
 
 SLOTS = 10
 
@@ -208,6 +209,7 @@ def apply_saved_changes(base: DataFrame, changes: DataFrame) -> tuple[DataFrame,
     Returns (new list, rejected changes).  A note or status for a notice that
     is not saved at that moment is rejected.  Unsaving forgets the row; a new
     save starts with no note and `reviewing`, behind the kept rows in save order.
+    The log with the state before each change is staged, as both results read it.
     """
     pair = ["contractor_id", "notice_id"]
     held = base.select(*pair, F.lit(True).alias("_held"))
@@ -218,7 +220,7 @@ def apply_saved_changes(base: DataFrame, changes: DataFrame) -> tuple[DataFrame,
     valid_value = (F.col("kind") != "status") | F.col("value").isin(*BID_STATUSES)
     log = log.withColumn("_ok", ~edit | (saved_now & F.coalesce(valid_value, F.lit(False))))
     # A save that really inserts: the notice was not saved before it.
-    log = log.withColumn("_insert", (F.col("kind") == "save") & ~saved_now)
+    log = stage(log.withColumn("_insert", (F.col("kind") == "save") & ~saved_now), "saved-log")
     moment = F.struct("ts", "change_id")
     marks = log.groupBy(*pair).agg(
         F.max_by("kind", F.when(toggle.isNotNull(), moment)).alias("_last"),

@@ -36,20 +36,27 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
     `buckets` are coarse expressions that grow (or, where the flag is False,
     fall) along `order`; null buckets come last.  Rows are numbered inside
-    (key, buckets) and shifted by the number of rows in earlier buckets, which
-    needs a window over bucket counts only.  With no keys it ranks the whole table.
+    (key, buckets) and shifted by the rows of earlier buckets.  The shift is
+    summed level by level: over the first bucket within a key, over the second
+    within key and first, and so on, so no window sees more than one level's
+    bucket counts.  With no keys it ranks the whole table.
     """
     cols = [f"_b{i}" for i in range(len(buckets))]
     bucketed = df
     for c, (expr, _) in zip(cols, buckets):
         bucketed = bucketed.withColumn(c, expr)
-    direction = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last()
-                 for c, (_, up) in zip(cols, buckets)]
     group = [*keys, *cols]
     counts = bucketed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(*direction).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(c).alias(f"_o_{c}") for c in group],
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = counts.withColumn("_offset", F.lit(0).cast("bigint"))
+    for depth, (c, (_, up)) in enumerate(zip(cols, buckets)):
+        outer = [*keys, *cols[:depth]]
+        direction = F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last()
+        before = Window.partitionBy(*outer).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
+        level = counts if depth == len(cols) - 1 else counts.groupBy(*outer, c).agg(F.sum("_n").alias("_n"))
+        level = level.select(*[F.col(k).alias(f"_l_{k}") for k in (*outer, c)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+        offsets = offsets.join(level, [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in (*outer, c)]) \
+            .withColumn("_offset", F.col("_offset") + F.col("_shift")).select(*group, "_n", "_offset")
+    offsets = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in group], "_offset")
     local = bucketed.withColumn("_local", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     match = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in group]
     return (local.join(offsets, match)
