@@ -13,7 +13,7 @@ from tenderspark.operators.departments import alias_table
 from tenderspark.plans.score import score_pairs
 from tenderspark.session import stage
 
-_PAIRS = "(select contractor_id, notice_id from {saved} union select contractor_id, notice_id from " + _CANDIDATES.replace("{cap}", "10") + ")"
+_PAIRS = "(select contractor_id, notice_id from {saved} where notice_id in (select notice_id from {notices}) and contractor_id in (select contractor_id from {contractors}) union select contractor_id, notice_id from " + _CANDIDATES.replace("{cap}", "10") + ")"
 _ROWS = f"""(select contractor_id, notice_id, n.*exclude (notice_id, naics_codes), c.* exclude (contractor_id, naics_codes), n.naics_codes as required_codes, c.naics_codes as held_codes
  from {_PAIRS} join {{notices}} n using (notice_id) join {{contractors}} c using (contractor_id))""".replace("n.*exclude", "n.* exclude")
 
