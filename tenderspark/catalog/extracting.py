@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tenderspark.catalog.cleaning import _AW, _FILLER, _any, _q
-from tenderspark.catalog.registry import query
+from tenderspark.catalog.registry import CHECKS, query
 from tenderspark.catalog.tables import TABLES
 from tenderspark.fixed import (ACTION_WORDS, CITIES, FILLER_PHRASES, GLUE_WORDS, LABEL_EXCLUDES, LABEL_SPEC_HINTS, OBLIGATION_PHRASES,
                                PROJECT_LEAD_PHRASES, PROJECT_SIGNAL_PHRASES, SECTION_HEADERS, SUBMISSION_PHRASES)
@@ -152,12 +152,32 @@ def _named(t):
     return t.descriptions.withColumn("name", dv.short_name("title", "dept"))
 
 
-@query("statement_of_work")
+_NAMES = _steps().replace("{titles}", "{descriptions}")
+_PARTS = f"""(select doc_id, case when len(p) < 3 then list_concat(p, {_uniq("early")}[1:3 - len(p)]) else p end as p from (
+ select doc_id, p, list_filter(ss[1:greatest(k - 1, 0)], lambda x: not list_contains(p, x)) as early from (select doc_id, ss, k, ss[k:k + 3] as p from (
+  select doc_id, ss, coalesce(nullif(list_position(list_transform(ss, lambda s: {_any('lower(s)', PROJECT_LEAD_PHRASES)}), true), 0), 1) as k from (select doc_id, {_WORK} as ss from {{descriptions}})))))"""
+_DRAFT = f"""(select doc_id, case when len(p) = 0 then '' else array_to_string(p[1:list_max(list_filter(range(1, len(p) + 1), lambda n: n = 1 or length(array_to_string(p[1:n], ' ')) <= 900))], ' ') end as text from {_PARTS})"""
+_CODED = f"""(select doc_id, name, dept, event_type, solicitation_number, case when length(text) < 60 and ph is not null then 'Provide ' || ph || ' in support of the ' || name || ' engagement.' else text end as text
+ from {_DRAFT} join {{descriptions}} using (doc_id) join {_NAMES} using (doc_id) left join (select doc_id, string_agg(phrase, ', ' order by i) filter (r <= 3) as ph from (select *, row_number() over (partition by doc_id order by i) as r from {_PHRASE}) group by 1) using (doc_id))"""
+_IS_ADMIN = f"""({_any('lower(text)', FILLER_PHRASES)} or len({_AW}) < 8 or len(list_filter({_AW}, lambda w: length(w) >= 3 and upper(w) = w)) > len({_AW}) * 0.2
+ or len(regexp_extract_all(text, '\\b\\d+\\.\\s+[A-Z]')) >= 2 or regexp_matches(text, '\\b(NAME|EMAIL|ATTN|PHONE|FAX|ADDRESS|PART\\s+[IVX]+)\\s*:') or (length(text) < 120 and not {_any('lower(text)', PROJECT_SIGNAL_PHRASES)}))"""
+
+
+@query("statement_of_work", f"""select doc_id, rtrim(substr(case when text = '' or {_IS_ADMIN} then concat_ws(' ', trim(coalesce(nullif(event_type, ''), 'Solicitation')) || ' for ' || name,
+ '(solicitation ' || solicitation_number || ')', 'issued by ' || nullif(trim(string_split(dept, '.')[-1]), '')) || '.' else text end, 1, 900)) as statement_of_work from {_CODED}""")
 def statement_of_work(t):
     return dv.statement_of_work(_named(t)).select("doc_id", "statement_of_work")
 
 
-@query("deliverables")
+def _tier(name):
+    return f"""(select doc_id, case when len(x) >= 2 then x[1:4] end as {name} from (select doc_id, list_filter(string_split(items, '|'), lambda i: length(i) > 10 and length(i) < 280) as x from ({CHECKS[name]})))"""
+
+
+_TIERS = ("bulleted_items", "section_items", "obligation_sentences", "inline_list_items", "commodity_items", "label_items")
+
+
+@query("deliverables", f"""select doc_id, array_to_string(coalesce({', '.join(_TIERS)}, ['Execute scope of work described in the ' || name || ' solicitation', 'Deliver milestones, status reporting, and acceptance documentation',
+ 'Provide final handoff and post-deployment support per RFP terms']), '|') as deliverables from {_NAMES} """ + " ".join(f"left join {_tier(n)} using (doc_id)" for n in _TIERS))
 def deliverables(t):
     return dv.deliverables(_named(t)).select("doc_id", F.array_join("deliverables", "|").alias("deliverables"))
 

@@ -47,6 +47,8 @@ def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
     (ids only); the texts are joined once, with their candidates as an array,
     and the boundaries are checked there.
     """
+    # Laid out by notice once: the candidates gather and meet their text without another shuffle.
+    texts = texts.repartition("notice_id")
     keyed = terms.select("term").distinct().withColumn("_key", _first_key(F.col("term")))
     shown = texts.select("notice_id", F.explode(_text_keys(F.col("text"))).alias("_key"))
     candidates = shown.join(keyed, "_key").groupBy("notice_id").agg(F.collect_set("term").alias("_terms"))
