@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from tenderspark.catalog.feed import _CANDIDATES, AS_OF
 from tenderspark.catalog.normalizing import _BY_LOWER
 from tenderspark.catalog.registry import query
-from tenderspark.catalog.tables import TABLES
 from tenderspark.fixed import AGENCY_STOPWORDS, KEYWORD_STOPWORDS, PLACE_STOPWORDS
 from tenderspark.operators import feed
 from tenderspark.operators import scoring as sc

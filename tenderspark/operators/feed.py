@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderspark.fixed import INDUSTRY_TAGS, TOPIC_TAGS
-from tenderspark.functions.common import blank_to_null, col, drop_blank, let, literals, round_half_up, strip
+from tenderspark.functions.common import blank_to_null, drop_blank, let, literals, round_half_up, strip
 from tenderspark.operators.ranking import first_by, rank_rows, top_per_key
 
 # Width of the notice-key ranges a crowded day is split into when the feed is ranked.
