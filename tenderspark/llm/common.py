@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
         col = batch.column(batch.schema.get_field_index(column))
         if batch.num_rows == 0:
             continue
-        sizes = np.asarray(pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
         part = (np.cumsum(sizes) - sizes) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in itertools.pairwise(cuts):

@@ -19,14 +19,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderspark.llm.common import Scratch, batch_of, map_arrow, slices, texts
+from tenderspark.llm.common import Scratch, batch_of, map_arrow, slices
 from tenderspark.llm.tokens import crc_of, encoder
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PLACED = pa.schema([*PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int64()), ("loose", pa.int32())])
+PIECED = pa.schema([*PIECE, ("part", pa.int64())])
 PIECE_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED_SQL = PIECE_SQL + ", sequence_id long, offset long, part long, loose int"
 
@@ -37,18 +38,20 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0) -> DataFrame:
-    """The pieces of every whole text with `end_id` after it; only texts longer than `capacity` are cut."""
+def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, part: Column | None = None) -> DataFrame:
+    """The pieces of every whole text with `end_id` after it, and their `part`; only texts longer than `capacity` are cut."""
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in slices(batches, "text"):
             rows = []
-            for doc, data in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
+            for doc, data, own in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), batch.column(2).to_pylist()):
                 ids = np.append(np.frombuffer(data, enc.dtype), enc.dtype.type(end_id))
-                rows.extend((doc, k, s, n, crc_of(ids[s:s + n])) for k, (s, n) in enumerate(cut(len(ids), capacity)))
-            yield batch_of(PIECE, **dict(zip(PIECE.names, map(list, zip(*rows)))))
+                rows.extend((doc, k, s, n, crc_of(ids[s:s + n]), own) for k, (s, n) in enumerate(cut(len(ids), capacity)))
+            yield batch_of(PIECED, **dict(zip(PIECED.names, map(list, zip(*rows)))))
 
-    return map_arrow(texts(docs), work, PIECE_SQL)
+    read = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+                       (F.lit(None) if part is None else part).cast("long"))
+    return map_arrow(read, work, PIECE_SQL + ", part long")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,14 +129,23 @@ def _pack(capacity: int, round_no: int):
 
 
 def pack(items: DataFrame, capacity: int, scratch: Scratch, per_part: int = 50_000, given_up: int = 64, width: int = 8) -> DataFrame:
-    """Adds ``sequence_id, offset`` to `items` (written pieces).  A task holds about `per_part` pieces."""
+    """Adds ``sequence_id, offset`` to `items` (written pieces).
+
+    A task holds about `per_part` pieces, dealt in turn; where pieces have a `part`
+    (all or none of them), it holds those of one part, and sequences are numbered
+    in the order of the parts.
+    """
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for n, k in items.groupBy("length").count().collect():  # at most one row for each length up to the capacity
         histogram[n] = k
     need = lower_bound(histogram, capacity)
     parts = max(1, math.ceil(int(histogram.sum()) / per_part))
-    even = items.repartition(parts)  # in turn, so that no id or length makes a large part
-    dealt = even.select("*", F.spark_partition_id().cast("long").alias("part"), F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
+    if (given := items.agg(F.max("part")).first()[0]) is not None:
+        parts = given + 1
+        dealt = items.repartition(parts, "part")
+    else:
+        dealt = items.repartition(parts).withColumn("part", F.spark_partition_id().cast("long"))  # in turn, so that no id or length makes a large part
+    dealt = dealt.select("*", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
     done = [scratch.stage(map_arrow(dealt, _pack(capacity, 0), PLACED_SQL), "packed")]
     round_no = 0
     while True:
@@ -153,7 +165,7 @@ def pack(items: DataFrame, capacity: int, scratch: Scratch, per_part: int = 50_0
     return out.select(*PIECE.names, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """Packs every document into as few sequences of at most `capacity` ids as it can; see the module for odd rows."""
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, part: Column | None = None) -> DataFrame:
+    """Packs every document into as few sequences of at most `capacity` ids as it can; see `pack` for `part`, the module for odd rows."""
     scratch = Scratch(docs.sparkSession, "packing")
-    return pack(scratch.stage(pieces(docs, path, capacity, end_id), "pieces"), capacity, scratch)
+    return pack(scratch.stage(pieces(docs, path, capacity, end_id, part), "pieces"), capacity, scratch)
