@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tenderspark.llm import forest, lines, mixing, packing, quality
 from tenderspark.llm.common import Scratch, read
@@ -37,8 +36,15 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Placements of all documents; `file` is the file of the mixture a document came from, so shards can follow its order."""
-    return packing.pack_documents(docs, vocabulary(VOCABULARY), capacity=2048)
+    """Placements of all documents.  The files of the mixture, in order, are the parts, so sequences are numbered along the mixture."""
+    names = sorted({f.rpartition("/")[2] for f in docs.inputFiles()})  # a name for each file
+    part = None
+    if names:
+        number = F.lit(0)
+        for k, name in enumerate(names):
+            number = F.when(F.input_file_name().endswith(name), k).otherwise(number)
+        part = number
+    return packing.pack_documents(docs, vocabulary(VOCABULARY), capacity=2048, part=part)
 
 
 STAGES = [("quality", classify), ("lines", dedup_lines), ("near duplicates", near_duplicates), ("mixture", mix), ("packing", pack)]
