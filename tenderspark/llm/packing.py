@@ -49,8 +49,8 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, part: Col
                 rows.extend((doc, k, s, n, crc_of(ids[s:s + n]), own) for k, (s, n) in enumerate(cut(len(ids), capacity)))
             yield batch_of(PIECED, **dict(zip(PIECED.names, map(list, zip(*rows)))))
 
-    read = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-                       (F.lit(None) if part is None else part).cast("long"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+                       (F.lit(None) if part is None else part).cast("long").alias("part"))
     return map_arrow(read, work, PIECE_SQL + ", part long")
 
 

@@ -23,7 +23,7 @@ def vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column(2)
-            lists = [None if x is None else x.values.to_numpy(zero_copy_only=False).astype(np.float64) for x in col]
+            lists = [None if not x.is_valid else x.values.to_numpy(zero_copy_only=False).astype(np.float64) for x in col]
             data = [None if x is None or not len(x) or not np.isfinite(x).all() or not x.any() else x.tobytes() for x in lists]
             yield batch_of(VECTOR, vec_id=batch.column(0), label=batch.column(1), dim=[0 if x is None else len(x) for x in lists], vec=data)
 
