@@ -115,10 +115,14 @@ def _links(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
     return batch_of(LINKS, id=a, other=b, links=n)
 
 
-def jaccard_links(threshold: float, column: str = "items") -> Callable[[pa.Table, np.ndarray | None], tuple[np.ndarray, np.ndarray]]:
-    """Links between sets given as binaries of distinct 64-bit hashes: exact Jaccard of at least `threshold`."""
+def stored_sets(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=np.uint64) for x in table["items"].to_pylist()]
+
+
+def jaccard_links(threshold: float, sets_of: Callable[[pa.Table], list[np.ndarray]] = stored_sets) -> Callable[[pa.Table, np.ndarray | None], tuple[np.ndarray, np.ndarray]]:
+    """Links between sets of distinct 64-bit hashes, which `sets_of` takes from a table: exact Jaccard of at least `threshold`."""
     def linked(table: pa.Table, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in table[column].to_pylist()]
+        sets = sets_of(table)
         size = np.array([len(s) for s in sets])
         both = shared(sets, size)
         union = size[:, None] + size[None, :] - both

@@ -32,7 +32,7 @@ BANDS, ROWS = 10, 4
 BLOCK = 1 << 18
 
 LINE = pa.schema([("line", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("bands", pa.binary())])
-SET = pa.schema([("id", pa.int64()), ("grp", pa.int64()), ("weight", pa.int64()), ("n", pa.int64()), ("items", pa.binary())])
+MEMBER = pa.schema([("id", pa.int64()), ("grp", pa.int64()), ("weight", pa.int64()), ("n", pa.int64()), ("text", pa.string())])
 
 
 def plain(line: str) -> str:
@@ -79,7 +79,12 @@ def _explode_bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["key", "line"])
 
 
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    hashes, start, count = _shingles(table["text"].to_pylist())
+    return [np.unique(hashes[a:a + n]) for a, n in zip(start.tolist(), count.tolist())]
+
+
+def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 1 << 20):
         rows = []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -87,10 +92,9 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in wanted:
                 found = lines[w["line_no"]] if w["line_no"] < len(lines) else ""
                 if _key(found := plain(found)) == w["line"]:  # else the id is shared and the line is another row's
-                    own = np.unique(_shingles([found])[0])
-                    rows.append((w["line"], w["grp"], 1, len(own), own.tobytes()))
+                    rows.append((w["line"], w["grp"], 1, len(found), found))
         if rows:
-            yield batch_of(SET, **dict(zip(SET.names, map(list, zip(*rows)))))
+            yield batch_of(MEMBER, **dict(zip(MEMBER.names, map(list, zip(*rows)))))
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
@@ -104,8 +108,9 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | No
     groups = components(chained.filter("b is not null"), scratch).select(F.col("id").alias("line"), F.col("component").alias("grp"))
     wanted = (lines.select("line", "doc_id", "line_no").join(groups, "line").groupBy("line", "grp").agg(F.min(place).alias("at"))
               .groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("at.line_no", "line", "grp")).alias("wanted")))
-    sets = map_arrow(named.join(wanted, "doc_id").select("text", "wanted"), _sets, "id long, grp long, weight long, n long, items binary")
-    links = scratch.stage(compare_blocks(in_blocks(scratch.stage(sets, "sets"), "n", BLOCK), jaccard_links(threshold)), "links")
+    # Texts of lines are shuffled, not their sets, which are larger.
+    members = map_arrow(named.join(wanted, "doc_id").select("text", "wanted"), _lines, "id long, grp long, weight long, n long, text string")
+    links = scratch.stage(compare_blocks(in_blocks(scratch.stage(members, "members"), "n", BLOCK), jaccard_links(threshold, _sets)), "links")
     linked = components(links.select(F.col("id").alias("a"), F.col("other").alias("b")), scratch)
     classes = lines.select("line", "doc_id", "line_no").join(linked.withColumnRenamed("id", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     first = classes.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
