@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderspark.llm.common import batch_of, map_arrow, slices, texts
+from tenderspark.llm.common import Scratch, batch_of, map_arrow, slices, texts
 from tenderspark.llm.sketch import windows
 
 BUCKETS = 1 << 18
@@ -133,13 +133,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     joined = texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality")  # at most `most` pairs of numbers
-    return map_arrow(joined, work, "doc_id long, quality int, rows binary, shares binary").orderBy("doc_id", "rows").limit(most)
+    return map_arrow(joined, work, "doc_id long, quality int, rows binary, shares binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Model:
-    """Trains on a sample of `most` labelled rows at most, which is all that the driver sees."""
-    rows = training_rows(docs, labels, most).toLocalIterator()
-    return train([(np.frombuffer(r["rows"], np.int32), np.frombuffer(r["shares"], np.float32), r["quality"]) for r in rows])
+def fit(docs: DataFrame, labels: DataFrame, most: int = 2500) -> Model:
+    """Trains on a sample of `most` labelled rows at most, which is all that the driver sees; where rows repeat an id, on the first of them."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    first = F.min_by(F.struct("quality", "rows", "shares"), F.struct("rows", "shares")).alias("r")
+    rows = scratch.stage(training_rows(docs, labels, most).groupBy("doc_id").agg(first), "training")
+    samples = [(r["doc_id"], r["r"]) for r in rows.toLocalIterator()]
+    scratch.drop(rows)
+    return train([(np.frombuffer(r["rows"], np.int32), np.frombuffer(r["shares"], np.float32), r["quality"]) for _, r in sorted(samples, key=lambda x: x[0])])
 
 
 class Scorer:
@@ -197,7 +201,14 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
     def good(text):
         import pandas as pd
 
-        own = _scorer(*shared.value)
-        return pd.Series(np.array(own.scores(text.tolist())) >= threshold)
+        own, out, held, size = _scorer(*shared.value), [], [], 0
+        for t in [*text, None]:  # a few texts at a time, as their words take far more room than they do
+            if held and (t is None or size > 4 << 20):
+                out.extend(own.scores(held))
+                held, size = [], 0
+            if t is not None:
+                held.append(t)
+                size += len(t)
+        return pd.Series(np.array(out) >= threshold)
 
     return docs.filter(good(F.coalesce(F.col("text").cast("string"), F.lit(""))))

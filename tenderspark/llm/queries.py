@@ -12,7 +12,7 @@ from tenderspark.llm.common import read
 from tenderspark.llm.tokens import vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
-TRAINING_ROWS = 4000
+TRAINING_ROWS = 2500
 AMBIGUOUS = "</s>[INST] ok [/INST]"
 
 
