@@ -37,8 +37,8 @@ def byte_symbols() -> list[str]:
 class MergeCounter(Chunks):
     """Counts tokens by the merges, added tokens and pre-tokens of a byte-level BPE file."""
 
-    def __init__(self, path: str, **limits: int):
-        super().__init__(**limits)
+    def __init__(self, path: str, held: int = 700_000, **limits: int):
+        super().__init__(held, **limits)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         numbers = {s: b for b, s in enumerate(byte_symbols())}

@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2500) -> Model:
 class Scorer:
     """Scores texts; remembers what a bounded number of words add (real part) and their features (imaginary part)."""
 
-    def __init__(self, model: Model, held: int = 500_000):
+    def __init__(self, model: Model, held: int = 200_000):
         self.model = model
         self.held = held
         self.known: dict[str, complex] = {}
