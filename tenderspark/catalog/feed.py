@@ -119,11 +119,10 @@ def feed_by_metadata(t):
 
 
 @query("feed_sorted_by_score", f"""select row_number() over (order by coalesce(score, 0) desc, {_DUE}, contractor_id) as position, notice_id, contractor_id
- from {_FEED} left join {_LATEST} using (notice_id) qualify position <= 500""")
+ from {_FEED} left join {_LATEST} using (notice_id)""")
 def feed_sorted_by_score(t):
     scored = op.view_model(_feed(t), t.scores).select("notice_id", "contractor_id", "score", "due_date")
-    top = scored.orderBy(F.col("score").desc(), *op.feed_order(), "contractor_id").limit(500)
-    return rank_rows(top, [], [F.col("score").desc(), *op.feed_order(), F.col("contractor_id")], [(F.col("score"), False)], "position") \
+    return rank_rows(scored, [], [F.col("score").desc(), *op.feed_order(), F.col("contractor_id")], [(F.col("score"), False), *op.feed_buckets()], "position") \
         .select("position", "notice_id", "contractor_id")
 
 
@@ -271,7 +270,7 @@ def summary_work_queue(t):
 _CANDIDATES = f"""(with f as (select notice_id, row_number() over (order by {_DUE}) as r from {_FEED}),
  c as (select contractor_id from {{contractors}})
  select contractor_id, notice_id, r from c, f where (contractor_id, notice_id) not in (select (contractor_id, notice_id) from {{scores}})
- and r <= {{cap}} + 400 qualify row_number() over (partition by contractor_id order by r) <= {{cap}})"""
+ and r <= {{cap}} + (select coalesce(max(n), 0) from (select count(*) as n from {{scores}} group by contractor_id)) qualify row_number() over (partition by contractor_id order by r) <= {{cap}})"""
 
 
 @query("candidate_pairs", "select contractor_id, notice_id from " + _CANDIDATES.replace("{cap}", "100"))

@@ -97,9 +97,9 @@ def amended_table(t):
         .select("source", "external_id", "status", "content_hash", "last_amended_at")
 
 
-@query("keep_newest_scores", "select contractor_id, notice_id, score_id from {scores} qualify row_number() over (partition by contractor_id order by computed_at desc, score_id desc) <= 20")
+@query("keep_newest_scores", "select contractor_id, notice_id, score_id from {scores} qualify row_number() over (partition by contractor_id order by computed_at desc, score_id desc) <= 100")
 def keep_newest_scores(t):
-    return op.keep_newest(t.scores, "contractor_id", "computed_at", "score_id", 20).select("contractor_id", "notice_id", "score_id")
+    return op.keep_newest(t.scores, "contractor_id", "computed_at", "score_id", 100).select("contractor_id", "notice_id", "score_id")
 
 
 @query("score_freshness", "select score_id, computed_at >= updated_at as fresh from {scores} join {contractors} using (contractor_id)")
@@ -194,11 +194,11 @@ def summary_upsert(t):
 @query("score_upsert", """with b as (select contractor_id, notice_id, arg_max(score, score_id) as score, max(computed_at) as computed_at from {scores} where model_version = 'compat-v1' group by 1, 2),
  n as (select contractor_id, notice_id, arg_max(score, score_id) as score, max(computed_at) as computed_at from {scores} where model_version = 'compat-v2' group by 1, 2)
  select contractor_id, notice_id, coalesce(n.score, b.score) as score, coalesce(n.computed_at, b.computed_at) as computed_at from b full join n using (contractor_id, notice_id)
- qualify row_number() over (partition by contractor_id order by coalesce(n.computed_at, b.computed_at) desc, notice_id desc) <= 30""")
+ qualify row_number() over (partition by contractor_id order by coalesce(n.computed_at, b.computed_at) desc, notice_id desc) <= 100""")
 def score_upsert(t):
     half = lambda v: t.scores.filter(F.col("model_version") == v).groupBy("contractor_id", "notice_id").agg(
         F.max_by("score", "score_id").alias("score"), F.max("computed_at").alias("computed_at"))
-    return op.merge_scores(half("compat-v1"), half("compat-v2"), keep=30)
+    return op.merge_scores(half("compat-v1"), half("compat-v2"), keep=100)
 
 
 _LOG = """(select ch.*, coalesce(last_value(case when kind in ('save', 'unsave') then kind end ignore nulls) over (partition by ch.contractor_id, ch.notice_id order by ts, change_id rows between unbounded preceding and 1 preceding) = 'save',

@@ -99,16 +99,14 @@ def chunk_top_k_approximate(t):
 
 
 _PAIRS = "(select vec_id as query_id, case when vec_id % 9 = 0 then vec_id % 40 else label end as notice_id from embeddings)"
-_HITS = "(select query_id, item_id, sim, chunk_text, row_number() over (partition by query_id order by sim desc, item_id) as rank from " + _top(4, 0.35, "and q.vec_id % 5 <> i.vec_id % 5") + " h join {chunk_texts} c on c.chunk_id = h.item_id)"
+_HITS = "(select query_id, item_id, sim, chunk_text, row_number() over (partition by query_id order by sim desc, item_id) as rank from " + _top(6, 0.2) + " h join {chunk_texts} c on c.chunk_id = h.item_id)"
 _EVIDENCE = f"""(select query_id, notice_id, rank, chunk_text, sim from {_PAIRS} join {_HITS} using (query_id)
  union all select query_id, notice_id, 1, substr(coalesce(description, title), 1, 4000), 0 from {_PAIRS} join {{notices}} using (notice_id) where query_id not in (select query_id from {_HITS}))"""
 
 
 def _evidence(t):
     queries, items = _vectors(t)
-    # Query and chunk of the same residue class count as the same source and do not meet.
-    cells = F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda c: c != F.col("query_id") % 5))
-    hits = rt.topk_join(queries.withColumn("part", cells), items.withColumn("part", (F.col("item_id") % 5).cast("int")), 4, 0.35, partition="part")
+    hits = rt.topk_join(queries, items, 6, 0.2)
     texts = t.chunk_texts.select(F.col("chunk_id").alias("item_id"), "chunk_text")
     pairs = queries.select("query_id", F.when(F.col("query_id") % 9 == 0, F.col("query_id") % 40).otherwise(F.col("label")).alias("notice_id"))
     return rt.evidence_with_fallback(pairs, hits.join(texts, "item_id"), t.notices.select("notice_id", "title", "description"))

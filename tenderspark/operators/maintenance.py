@@ -101,13 +101,14 @@ def amendments(base: DataFrame, updates: DataFrame, keys: Sequence[str], fields:
 
 
 def apply_amendments(merged: DataFrame, amended: DataFrame, keys: Sequence[str], at: Column) -> DataFrame:
-    """Mark amended notices; run after the merge of the same batch."""
+    """Mark amended notices; run after the merge of the same batch.  Notices without a change keep when they were last amended."""
+    earlier = F.col("last_amended_at") if "last_amended_at" in merged.columns else F.lit(None).cast("timestamp")
     marks = amended.select(*keys, F.lit(True).alias("_hit"), F.col("new_hash").alias("_hash"))
     hit = F.coalesce("_hit", F.lit(False))
     return merged.join(marks, list(keys), "left") \
         .withColumn("status", F.when(hit, "amended").otherwise(F.col("status"))) \
         .withColumn("content_hash", F.when(hit, F.col("_hash")).otherwise(F.col("content_hash"))) \
-        .withColumn("last_amended_at", F.when(hit, at)).drop("_hit", "_hash")
+        .withColumn("last_amended_at", F.when(hit, at).otherwise(earlier)).drop("_hit", "_hash")
 
 
 def keep_newest(df: DataFrame, key: str, ts: str, tie: str, n: int = 100) -> DataFrame:

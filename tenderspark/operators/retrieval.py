@@ -41,41 +41,36 @@ def chunk_body(df: DataFrame, out: str = "body") -> DataFrame:
     return df.withColumn(out, F.coalesce(blank_to_null(body), F.lit(NO_BODY)))
 
 
-def _cutter(target: int, overlap: int):
-    def cut(texts: pd.Series) -> pd.Series:
-        def windows(text):
-            text = (text or "").replace("\r\n", "\n").strip()
-            if len(text) <= target:
-                return [text] if text else []
-            pieces, begin = [], 0
-            while True:
-                stop = min(begin + target, len(text))
-                if stop < len(text):
-                    for mark in ("\n\n", "\n"):
-                        at = text.rfind(mark, begin, stop) - begin
-                        if at > target * 0.4:
-                            stop = begin + at + len(mark)
-                            break
-                piece = text[begin:stop].strip()
-                if piece:
-                    pieces.append(piece)
-                if stop >= len(text):
-                    return pieces
-                begin = max(stop - overlap, begin + 1)
-
-        return texts.map(windows)
-
-    return F.pandas_udf(cut, ArrayType(StringType()))
-
-
 def chunk(df: DataFrame, ident: str = "notice_id", body: str = "body", target: int = 1200, overlap: int = 180) -> DataFrame:
     """Overlapping windows of each body: (ident, chunk_index, chunk_text).
 
     A window ends at its last blank line, else line end, past two fifths of it.
-    The cut depends on the one before, so it runs in Arrow batches, row by row
-    independent of other rows.
+    Each window's place follows from the one before, so a fold over window numbers
+    collects the spans; none moves on by less than two fifths of `target` less
+    `overlap`, which bounds how many there are.
     """
-    return df.select(ident, F.posexplode(_cutter(target, overlap)(body)).alias("chunk_index", "chunk_text"))
+    least = max(1, target * 2 // 5 - overlap)
+    text, size = F.col("_text"), F.length("_text")
+    span = "struct<begin:int,stop:int>"
+
+    def step(acc, _):
+        begin = acc["next"]
+        backwards = F.reverse(F.substring(text, begin + 1, F.lit(target)))
+        last = begin + target >= size
+        blank, line = (F.locate(mark, backwards) for mark in ("\n\n", "\n"))  # from the window's end; 0: none
+        near = F.lit(target - target * 2 // 5)
+        stop = (F.when(last, size).when((blank > 0) & (blank + 1 < near), begin + target - blank + 1)
+                .when((line > 0) & (line < near), begin + target - line + 1).otherwise(begin + target))
+        grown = F.struct(F.when(last, F.lit(-1)).otherwise(F.greatest(stop - overlap, begin + 1)).cast("int").alias("next"),
+                         F.concat(acc["spans"], F.array(F.struct(begin.cast("int").alias("begin"), stop.cast("int").alias("stop")))).alias("spans"))
+        return F.when(begin < 0, acc).otherwise(grown)
+
+    start = F.struct(F.lit(0).alias("next"), F.array().cast(f"array<{span}>").alias("spans"))
+    numbers = F.sequence(F.lit(0), F.floor(size / least).cast("int"))
+    spans = F.aggregate(numbers, start, step, lambda acc: acc["spans"])
+    cut = F.filter(F.transform("_spans", lambda s: strip(F.substring(F.col("_text"), s["begin"] + 1, s["stop"] - s["begin"]))), lambda piece: piece != "")
+    return (df.select(ident, strip(F.replace(F.coalesce(F.col(body), F.lit("")), F.lit("\r\n"), F.lit("\n"))).alias("_text"))
+            .withColumn("_spans", spans).select(ident, F.posexplode(cut).alias("chunk_index", "chunk_text")))
 
 
 def fixed_chunks(df: DataFrame, ident: str = "notice_id", body: str = "body", target: int = 1200, overlap: int = 180) -> DataFrame:

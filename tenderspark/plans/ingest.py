@@ -70,6 +70,8 @@ def ingest(base: DataFrame, processed: DataFrame, at: str) -> tuple[DataFrame, D
     """(new notice table, amendment records) from processed records; `at` is the time of the run."""
     rows = mt.to_notice_row(processed)
     latest = mt.first_by(mt.keyed(rows, KEYS), KEYS, [F.col("content_hash")], latest=True)
+    if "last_amended_at" in base.columns:  # a null keeps what the base has
+        latest = latest.withColumn("last_amended_at", F.lit(None).cast("timestamp"))
     merged = mt.merge_sparse(base, latest, KEYS, OVERWRITE)
     changed = mt.amendments(base, latest, KEYS, COMPARED)
     return mt.apply_amendments(merged, changed, KEYS, F.lit(at).cast("timestamp")), changed

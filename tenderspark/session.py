@@ -34,10 +34,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for a written table or a stream checkpoint.
 
     It lies in the shared folder the cluster names in ``spark.checkpoint.dir``.
-    Only where that is unset, as in tests, a local folder is made.
+    Only a local session, as in tests, may leave that unset and gets a folder of
+    its own; on a cluster no machine's own disk will do.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tenderspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
@@ -52,13 +55,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a part of `df` when its scan has fewer parts than there are cores.
-
-    For costly per-row text work over a few large row groups.  A table of many
-    files is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -69,8 +69,10 @@ def test_notice_file_to_table_and_amendment(spark, tmp_path):
     assert (row.source, row.dept, row.location, row.location_level) == ("sam.gov", "California Department of Technology", "Fresno", "city")
     assert "Cloud" in row.tags and row.tags[-1] == "Fresno" and row.name == "Cloud hosting for records"
     table, none = ingest(to_notice_row(done.limit(0)), done, "2026-01-01 00:00:00")
-    table = table.drop("last_amended_at")
     assert table.count() == 1 and none.count() == 0
     changed, log = ingest(table, done.withColumn("content_hash", F.lit("h2")).withColumn("title", F.lit("New title")), "2026-01-02 00:00:00")
     assert changed.select("status", "content_hash", "title").first() == ("amended", "h2", "New title")
     assert set(log.first().changes) == {"title"}
+    # A later batch in which nothing changes keeps the time of the amendment.
+    later, log = ingest(changed, done.withColumn("content_hash", F.lit("h2")).withColumn("title", F.lit("New title")), "2026-01-03 00:00:00")
+    assert log.count() == 0 and str(later.first().last_amended_at) == "2026-01-02 00:00:00"
