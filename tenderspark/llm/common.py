@@ -64,7 +64,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that `column` (strings or binaries) holds about `most` bytes at a time; a single longer value stands alone."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))

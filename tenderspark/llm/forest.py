@@ -40,7 +40,7 @@ class _Numbers(dict):
     """64-bit hashes of words, a bounded number of them remembered."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

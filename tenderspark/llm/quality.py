@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2500) -> Model:
 class Scorer:
     """Scores texts; remembers what a bounded number of words add (real part) and their features (imaginary part)."""
 
-    def __init__(self, model: Model, held: int = 200_000):
+    def __init__(self, model: Model, held: int = 100_000):
         self.model = model
         self.held = held
         self.known: dict[str, complex] = {}
@@ -197,18 +197,10 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
     """The rows of `docs` that the model accepts, all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast((model.amount.tobytes(), model.bias))
 
-    @F.pandas_udf("boolean")
-    def good(text):
-        import pandas as pd
-
-        own, out, held, size = _scorer(*shared.value), [], [], 0
-        for t in [*text, None]:  # a few texts at a time, as their words take far more room than they do
-            if held and (t is None or size > 4 << 20):
-                out.extend(own.scores(held))
-                held, size = [], 0
-            if t is not None:
-                held.append(t)
-                size += len(t)
-        return pd.Series(np.array(out) >= threshold)
-
-    return docs.filter(good(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _scorer(*shared.value)
+        for batch in slices(batches, "text"):
+            strings = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            yield batch.filter(pa.array([s >= threshold for s in own.scores(strings)]))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -22,7 +22,7 @@ class Chunks:
     bounds how many chunks are remembered: beyond it the memory starts anew.
     """
 
-    def __init__(self, held: int = 300_000, longest: int = 200):
+    def __init__(self, held: int = 150_000, longest: int = 200):
         self.held = held
         self.longest = longest
         self.known: dict = {}
