@@ -14,12 +14,13 @@ import heapq
 import json
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from tenderspark.llm.common import batch_of, map_arrow, slices, texts
-from tenderspark.llm.tokens import Chunks
+from tenderspark.llm.tokens import SLICE, Chunks, byte_symbols
 
 # Fixed: the pattern of the byte-level pre-tokenizer.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -27,17 +28,10 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
 
-def byte_symbols() -> list[str]:
-    """The visible character by which byte-level vocabularies write each byte: itself, or the next one from U+0100."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = iter(range(0x100, 0x200))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
 class MergeCounter(Chunks):
     """Counts tokens by the merges, added tokens and pre-tokens of a byte-level BPE file."""
 
-    def __init__(self, path: str, held: int = 700_000, **limits: int):
+    def __init__(self, path: str, held: int = 300_000, **limits: int):
         super().__init__(held, **limits)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -50,7 +44,6 @@ class MergeCounter(Chunks):
         added = sorted((t["content"] for t in spec.get("added_tokens", ())), key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.pattern = regex.compile(PRE_TOKENS)
-        self.join = sum
 
     def merged(self, symbols: list[int]) -> int:
         """How many symbols are left of `symbols` when no pair can be merged."""
@@ -92,6 +85,9 @@ class MergeCounter(Chunks):
     def compute(self, strings: list[str]) -> list[int]:
         return list(map(self.count, strings))
 
+    def spread(self, values: list[int], at: np.ndarray, bounds: np.ndarray) -> list[int]:
+        return np.add.reduceat(np.array(values)[at], bounds[:-1]).tolist()
+
 
 @functools.lru_cache(maxsize=2)
 def counter(path: str) -> MergeCounter:
@@ -102,7 +98,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every whole text; `path` names a byte-level BPE file of the tokenizers library."""
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             strings = batch.column(1).to_pylist()
             n = own.values(strings)
             yield batch_of(COUNTS, doc_id=batch.column(0), n_bytes=[len(s.encode()) for s in strings], n_tokens=n, over_limit=[x > limit for x in n])

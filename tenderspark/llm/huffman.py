@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderspark.llm.common import Scratch, batch_of, map_arrow, slices, texts
-from tenderspark.llm.tokens import encoder
+from tenderspark.llm.tokens import SLICE, encoder
 
 LONGEST = 16
 STEP = 256
@@ -127,7 +127,7 @@ def _tokenize(path: str, end_id: int):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids = [x + end for x in enc.encode(batch.column(1).to_pylist())]
             yield batch_of(CODED, doc_id=batch.column(0), n=[len(x) // enc.dtype.itemsize for x in ids], ids=ids)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderspark.llm.common import Scratch, batch_of, map_arrow, slices
-from tenderspark.llm.tokens import crc_of, encoder
+from tenderspark.llm.tokens import SLICE, crc_of, encoder
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PLACED = pa.schema([*PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int64()), ("loose", pa.int32())])
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, part: Col
     """The pieces of every whole text with `end_id` after it, and their `part`; only texts longer than `capacity` are cut."""
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             rows = []
             for doc, data, own in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), batch.column(2).to_pylist()):
                 ids = np.append(np.frombuffer(data, enc.dtype), enc.dtype.type(end_id))

@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # A place where a token of a byte-level vocabulary surely ends: before a space that a non-space follows.
 _CHUNKS = re.compile(r"(?= \S)")
-_TAIL = ".,;:!?"
+# What may follow a word without sharing a token with it; an apostrophe may begin a contraction.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+SLICE = 4 << 20  # bytes of text worked on at a time: the more, the fewer words are looked up again
+
+
+def _word(piece: str) -> tuple[str, str] | None:
+    """The letters of a piece and the punctuation after them, if it is nothing else."""
+    core = piece.rstrip(_TAIL)
+    return (core, piece[len(core):]) if core.isalpha() else None
 
 
 class Chunks:
@@ -18,69 +31,105 @@ class Chunks:
 
     The pre-tokenizer of byte-level vocabularies never joins what stands before a
     space with the space when a non-space follows, so a text falls into chunks (a
-    space and the run after it) whose tokens don't depend on each other.  `held`
-    bounds how many chunks are remembered: beyond it the memory starts anew.
+    space and the run after it) whose tokens don't depend on each other.  Within a
+    chunk the same holds for a word, the punctuation after it and a line feed
+    between two words.  `held` bounds how many words are remembered: of two
+    generations the older one goes when the younger is full.
     """
 
-    def __init__(self, held: int = 150_000, longest: int = 200):
+    def __init__(self, held: int = 200_000, longest: int = 200):
         self.held = held
         self.longest = longest
-        self.known: dict = {}
+        self.known: dict[str, dict] = {" ": {}, "": {}}  # words by what stands before them
+        self.older: dict[str, dict] = {" ": {}, "": {}}
+        self.long: list[tuple[str, str]] = []
 
     def compute(self, strings: list[str]) -> list:
         raise NotImplementedError
 
-    def join(self, values):
+    def words(self, words: list[str], before: str) -> list:
+        """Values of words of letters, `before` (a space or nothing) in front of each."""
+        return self.compute([before + w for w in words])
+
+    def spread(self, values: list, at: np.ndarray, bounds: np.ndarray) -> list:
+        """The value of each text: the ones of its chunks, ``values[at[bounds[k]:bounds[k + 1]]]``, together."""
         raise NotImplementedError
 
-    def _learn(self, pieces: set[str]) -> None:
-        known = self.known
-        new = pieces - known.keys()
-        if len(known) + len(new) > self.held:
-            known.clear()
-            new = pieces
-        whole, ended = set(), []
-        for p in new:
-            core = p.rstrip(_TAIL)
-            if len(core) < len(p) and core.isalpha():  # letters and the punctuation after them never share a token
-                whole.add(core)
-                ended.append((p, core, p[len(core):]))
-            elif not p or p[0].isspace():
-                known[p] = None  # not a boundary: such texts are cut by the pattern
-            else:
-                whole.add(p)
-        missing = list(whole - known.keys())
-        known.update(zip(missing, self.compute([" " + p for p in missing])))
-        tails = list({t for _, _, t in ended})
+    def _of_words(self, words: list[str], before: str) -> dict:
+        """Values of `words` with `before` in front, by word; takes them from memory where it can."""
+        known, older = self.known[before], self.older[before]
+        missing = set(words) - known.keys()
+        again = missing & older.keys()
+        known.update(zip(again, map(older.__getitem__, again)))
+        known.update(zip(fresh := list(missing - again), self.words(fresh, before)))
+        self.long += [(before, w) for w in fresh if len(w) > self.longest]
+        return known
+
+    def _forget(self) -> None:
+        for before, w in self.long:
+            self.known[before].pop(w, None)
+        self.long.clear()
+        for before, known in self.known.items():
+            if len(known) > self.held // 2:
+                self.older[before], self.known[before] = known, {}
+
+    def _values(self, pieces: list[str]) -> list:
+        """Values of distinct pieces (the space before each left out); None where a piece begins with white space or is empty."""
+        cores = [p.rstrip(_TAIL) for p in pieces]
+        plain = list(map(str.isalpha, cores))
+        odd = [k for k, ok in enumerate(plain) if not ok]
+        lined = {k: f for k in odd if "\n" in pieces[k] and all(f := [_word(x) for x in pieces[k].split("\n")])}
+        own = self._of_words([c for c, ok in zip(cores, plain) if ok] + [f[0][0] for f in lined.values()], " ")
+        tails = list({p[len(c):] for p, c, ok in zip(pieces, cores, plain) if ok}.union([t for f in lined.values() for _, t in f]))
         after = dict(zip(tails, self.compute(tails)))
-        known.update([(p, known[core] + after[tail]) for p, core, tail in ended])
-
-    def _forget_long(self, pieces: set[str]) -> None:
-        for p in pieces:
-            if len(p) > self.longest:
-                self.known.pop(p, None)
+        out = [own[c] + after[p[len(c):]] if ok else None for p, c, ok in zip(pieces, cores, plain)]
+        if lined:
+            inner = self._of_words([w for f in lined.values() for w, _ in f[1:]], "")
+            feed = self.compute(["\n"])[0]
+            for k, f in lined.items():
+                value = own[f[0][0]] + after[f[0][1]]
+                for w, tail in f[1:]:
+                    value = value + feed + inner[w] + after[tail]
+                out[k] = value
+        whole = [k for k in odd if k not in lined and pieces[k] and not pieces[k][0].isspace()]  # else no boundary: such texts are cut by the pattern
+        for k, value in zip(whole, self.compute([" " + pieces[k] for k in whole])):
+            out[k] = value
+        self._forget()
+        return out
 
     def values(self, texts: list[str]) -> list:
-        cut = [t.split(" ") for t in texts]
-        pieces = {p for c in cut for p in c[1:]}
-        self._learn(pieces)
-        heads = dict(zip(firsts := list({c[0] for c in cut}), self.compute(firsts)))
-        known, out = self.known, []
-        for text, c in zip(texts, cut):
-            try:
-                out.append(heads[c[0]] + self.join(map(known.__getitem__, c[1:])))
-            except TypeError:
-                out.append(self._by_pattern(text))
-        self._forget_long(pieces)
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds = cut.offsets.to_numpy()
+        coded = cut.values.dictionary_encode()
+        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        own = self._values(pieces)
+        heads = {}
+        for k in (first := at[bounds[:-1]]).tolist():
+            heads.setdefault(k, len(own) + len(heads))
+        by_pattern = np.array([v is None for v in own])
+        if by_pattern.any():
+            odd = by_pattern[at]
+            odd[bounds[:-1]] = False
+            odd = np.flatnonzero(np.add.reduceat(odd, bounds[:-1], dtype=np.int64))
+        else:
+            odd = []
+        at[bounds[:-1]] = [heads[k] for k in first.tolist()]
+        nothing = self.compute([""])[0]
+        out = self.spread([nothing if v is None else v for v in own] + self.compute([pieces[k] for k in heads]), at, bounds)
+        for k in odd:
+            out[k] = self._by_pattern(texts[k])
         return out
 
     def _by_pattern(self, text: str):
         """For texts with runs of white space."""
         chunks = _CHUNKS.split(text)
-        known = self.known
-        missing = list({c for c in chunks[1:] if known.get(c[1:]) is None})
-        own = dict(zip(missing, self.compute(missing)))
-        return self.compute([chunks[0]])[0] + self.join([own[c] if c in own else known[c[1:]] for c in chunks[1:]])
+        distinct = list(dict.fromkeys(chunks[1:]))
+        own = self._values([c[1:] for c in distinct])
+        number = {c: k for k, c in enumerate(distinct)}
+        at = np.array([len(own), *map(number.__getitem__, chunks[1:])])
+        return self.spread(own + self.compute(chunks[:1]), at, np.array([0, len(at)]))[0]
 
 
 class ChunkEncoder(Chunks):
@@ -94,21 +143,40 @@ class ChunkEncoder(Chunks):
         super().__init__(**limits)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.join = b"".join
+        self.code = "H" if self.size <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code)
+        self.symbols = dict(enumerate(byte_symbols()))
+        plain = self.tokenizer.normalizer is None and isinstance(self.tokenizer.model, BPE)
+        self.model = self.tokenizer.model if plain else None
 
     def compute(self, strings: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+        return [array(self.code, e.ids).tobytes() for e in found]
+
+    def words(self, words: list[str], before: str) -> list[bytes]:
+        """A word is one pre-token, so the library's model takes it as it is, in the symbols of its bytes."""
+        if self.model is None:
+            return super().words(words, before)
+        split, symbols, code = self.model.tokenize, self.symbols, self.code
+        return [array(code, [t.id for t in split((before + w).encode().decode("latin-1").translate(symbols))]).tobytes() for w in words]
+
+    def spread(self, values: list[bytes], at: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        width = self.dtype.itemsize
+        ends = np.append(0, np.cumsum([len(v) // width for v in values]))
+        ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.frombuffer(b"".join(values), self.dtype))).take(pa.array(at))
+        cuts = (ids.offsets.to_numpy()[bounds] * width).tolist()
+        data = ids.values.to_numpy().tobytes()
+        return [data[a:b] for a, b in itertools.pairwise(cuts)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, little-endian in `dtype`."""
+        """Ids of each text, in `dtype`."""
         return self.values(texts)
 
 
@@ -118,6 +186,13 @@ def encoder(path: str, special_as_text: bool = False) -> ChunkEncoder:
     return ChunkEncoder(path, special_as_text)
 
 
+def byte_symbols() -> list[str]:
+    """The visible character by which byte-level vocabularies write each byte: itself, or the next one from U+0100."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 def crc_of(ids: np.ndarray) -> int:
     """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
     import zlib
