@@ -9,7 +9,6 @@ counted each; an empty table gives no rows; further columns are not read.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 from collections.abc import Iterable, Iterator
@@ -19,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tenderspark.llm.common import batch_of, map_arrow, slices, texts
+from tenderspark.llm.common import batch_of, map_arrow, remembered, slices, texts
 from tenderspark.llm.tokens import SLICE, Chunks, byte_symbols
 
 # Fixed: the pattern of the byte-level pre-tokenizer.
@@ -89,9 +88,8 @@ class MergeCounter(Chunks):
         return np.add.reduceat(np.array(values)[at], bounds[:-1]).tolist()
 
 
-@functools.lru_cache(maxsize=2)
 def counter(path: str) -> MergeCounter:
-    return MergeCounter(path)
+    return remembered(("counter", path), lambda: MergeCounter(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int) -> DataFrame:

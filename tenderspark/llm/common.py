@@ -64,6 +64,19 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+_held: tuple = (None, None)
+
+
+def remembered(key: tuple, make: Callable[[], object]):
+    """What `make` gives, kept by a Python worker until it needs something else: stages share workers, which then hold the memory of one only."""
+    global _held
+    if _held[0] != key:
+        _held = (None, None)
+        pa.default_memory_pool().release_unused()
+        _held = (key, make())
+    return _held[1]
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that `column` (strings or binaries) holds about `most` bytes at a time; a single longer value stands alone."""
     for batch in batches:

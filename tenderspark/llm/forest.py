@@ -15,7 +15,6 @@ empty table gives no rows.  Further columns are not read.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderspark.llm.common import Scratch, batch_of, map_arrow, slices, texts
+from tenderspark.llm.common import Scratch, batch_of, map_arrow, remembered, slices, texts
 from tenderspark.llm.groups import compare_blocks, components, in_blocks, jaccard_links
 from tenderspark.llm.sketch import MinHash, windows
 
@@ -46,9 +45,8 @@ class _Numbers(dict):
         return h
 
 
-@functools.cache
 def _numbers() -> _Numbers:
-    return _Numbers()
+    return remembered(("numbers",), _Numbers)
 
 
 def shingles(text: str) -> np.ndarray:

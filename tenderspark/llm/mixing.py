@@ -134,8 +134,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
     placed = ranked.join(named, F.col(source).eqNullSafe(F.col("_source")))
     number = (F.col("_rank") - 1)
 
-    @F.pandas_udf("long")
-    def slot_of(sources, blocks):
+    # One function for both, so that a task needs one Python worker.
+    @F.pandas_udf("struct<slot:long,begin:long>")
+    def place(sources, blocks):
         import pandas as pd
 
         out = np.empty(len(sources), np.int64)
@@ -143,17 +144,10 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
         for i in np.unique(s):
             at = np.flatnonzero(s == i)
             out[at] = _slots(plan, int(i), b[at])
-        return pd.Series(out)
+        return pd.DataFrame({"slot": out, "begin": out * block - missing[np.searchsorted(late, out, side="left")]})
 
-    @F.pandas_udf("long")
-    def before(slots):
-        import pandas as pd
-
-        s = slots.to_numpy()
-        return pd.Series(s * block - missing[np.searchsorted(late, s, side="left")])
-
-    return (placed.withColumn("block", F.floor(number / block)).withColumn("slot", slot_of("_number", "block"))
-            .withColumn("position", before("slot") + F.pmod(number, F.lit(block)))
+    return (placed.withColumn("block", F.floor(number / block)).withColumn("_place", place("_number", "block"))
+            .withColumn("slot", F.col("_place.slot")).withColumn("position", F.col("_place.begin") + F.pmod(number, F.lit(block)))
             .select(*kept, "position", "slot", "block"))
 
 

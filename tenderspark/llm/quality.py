@@ -17,7 +17,6 @@ An empty table gives no rows.  Further columns are not read.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderspark.llm.common import Scratch, batch_of, map_arrow, slices, texts
+from tenderspark.llm.common import Scratch, batch_of, map_arrow, remembered, slices, texts
 from tenderspark.llm.sketch import windows
 
 BUCKETS = 1 << 18
@@ -174,9 +173,8 @@ class Scorer:
         return out
 
 
-@functools.lru_cache(maxsize=1)
-def _scorer(key: bytes, bias: float) -> Scorer:
-    return Scorer(Model(np.frombuffer(key, np.float64), bias))
+def _scorer(amount: bytes, bias: float) -> Scorer:
+    return remembered(("scorer", xxhash.xxh3_128_digest(amount), bias), lambda: Scorer(Model(np.frombuffer(amount, np.float64), bias)))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

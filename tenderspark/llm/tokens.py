@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 import os
 import re
@@ -12,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tenderspark.llm.common import remembered
+
 # A place where a token of a byte-level vocabulary surely ends: before a space that a non-space follows.
 _CHUNKS = re.compile(r"(?= \S)")
 # What may follow a word without sharing a token with it; an apostrophe may begin a contraction.
@@ -180,10 +181,9 @@ class ChunkEncoder(Chunks):
         return self.values(texts)
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, special_as_text: bool = False) -> ChunkEncoder:
     """One encoder for each Python worker."""
-    return ChunkEncoder(path, special_as_text)
+    return remembered(("encoder", path, special_as_text), lambda: ChunkEncoder(path, special_as_text))
 
 
 def byte_symbols() -> list[str]:
