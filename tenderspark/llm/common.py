@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tenderspark.session import scratch_path
 
@@ -60,8 +62,31 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """`mapInArrow` in batches of `BATCH_BYTES` at most (a single longer row stands alone); a task's memory goes back to the system at its end.
+
+    Whole texts would else fill batches of 64 MB, which the executor and its Python workers all hold.  The
+    setting stays in the session, as Spark reads it only when the plan runs.
+    """
+    conf = df.sparkSession.conf
+    conf.set(BATCH, str(BATCH_BYTES))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(work, schema)
+
+
+def give_back() -> None:
+    """Free memory of this worker, which waits for its next task, goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 _held: tuple = (None, None)
@@ -72,7 +97,7 @@ def remembered(key: tuple, make: Callable[[], object]):
     global _held
     if _held[0] != key:
         _held = (None, None)
-        pa.default_memory_pool().release_unused()
+        give_back()
         _held = (key, make())
     return _held[1]
 

@@ -201,4 +201,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
             strings = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield batch.filter(pa.array([s >= threshold for s in own.scores(strings)]))
 
-    return docs.mapInArrow(work, docs.schema)
+    return map_arrow(docs, work, docs.schema)
