@@ -63,7 +63,7 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:

@@ -18,7 +18,7 @@ _CHUNKS = re.compile(r"(?= \S)")
 # What may follow a word without sharing a token with it; an apostrophe may begin a contraction.
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-SLICE = 4 << 20  # bytes of text worked on at a time: the more, the fewer words are looked up again
+SLICE = 8 << 20  # bytes of text worked on at a time: the more, the fewer words are looked up again
 
 
 def _word(piece: str) -> tuple[str, str] | None:
@@ -38,7 +38,7 @@ class Chunks:
     generations the older one goes when the younger is full.
     """
 
-    def __init__(self, held: int = 200_000, longest: int = 200):
+    def __init__(self, held: int = 300_000, longest: int = 200):
         self.held = held
         self.longest = longest
         self.known: dict[str, dict] = {" ": {}, "": {}}  # words by what stands before them
