@@ -170,6 +170,27 @@ def test_near_vectors_equal_brute_force(spark):
     assert descent.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_hot_group_hides_no_lost_pairs(spark, monkeypatch):
+    monkeypatch.setattr(descent, "TABLES", 2)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 32))
+    x[:600] = x[0] + 0.1 * x[:600]
+    u = unit(x)
+    across = unit(u[600::2] - (u[600::2] * u[601::2]).sum(1)[:, None] * u[601::2])
+    x[600::2] = 0.935 * u[601::2] + np.sqrt(1 - 0.935**2) * across  # pairs just above the threshold
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in descent.near_duplicate_vectors(df).collect()}
+    assert sum(got[i] > 0 for i in range(600, 900)) >= 0.98 * 300
+
+
+def test_tables_reach_the_recall_at_the_threshold():
+    for bits in (4, 14, 20, 24):
+        same = (1 - np.arccos(0.93) / np.pi) ** bits
+        assert 1 - (1 - same) ** descent.tables_for(bits, 0.93, 0.99) >= 0.99
+    # A node with a thousand links doesn't outweigh one whose only link is lost.
+    assert descent.recall_of_nodes({1: (1000, 1000), 2: (1, 1)}, {1: 1000}) == 0
+
+
 def test_nearest_against_brute_force(spark):
     x = vector_rows(np.random.default_rng(7), 900)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3, x[3].tolist())] + ODD_VECTORS
