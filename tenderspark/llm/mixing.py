@@ -1,14 +1,15 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 The documents of a source, in the order of a hash of their ids, form blocks.
-Block j of a source with weight w is released at slot floor((j - 1) / w) and due
-at slot ceil(j / w); in each slot the released block that is due first is
-scheduled.  At every slot each source then has less than one block more or fewer
-than its weight asks for.  Weights are whole multiples of 1 / `period`, so the
-schedule repeats after `period` slots: only one period is worked out, and every
-document's place follows from it by arithmetic.  When a source has no more blocks
-the others go on with their weights scaled up, as a new schedule; so every
-document is placed once and none is dropped or repeated.
+Weights are exact fractions.  In the ideal mixture every source that has blocks
+left gets, at each moment, its weight's part of the weights of all such sources.
+A block is released at the slot in which it begins there and due at the end of the
+slot in which it ends there; in each slot the released block that is due first is
+scheduled.  The ideal mixture fills every slot and keeps all these times, so there
+is an order that does, and earliest deadline first finds it: after every slot each
+source has less than one block more or fewer than the ideal, however long the
+mixture is and whichever sources have ended.  Every document is placed once and
+none is dropped or repeated.
 
 Null sources are a source of their own; repeated rows are placed each; ties of the
 hash go to the id.  An empty table gives no rows.  Columns `position`, `slot` and
@@ -17,9 +18,10 @@ hash go to the id.  An empty table gives no rows.  Columns `position`, `slot` an
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
-from dataclasses import dataclass
+from array import array
 from fractions import Fraction
 
 import numpy as np
@@ -43,68 +45,72 @@ def shares(weights: list[float], period: int) -> list[int]:
 
 
 def schedule(slots: list[int]) -> list[int]:
-    """The source of every slot of one period, by earliest deadline among the released blocks."""
-    period = sum(slots)
-    waiting = [(0, i, 1) for i in range(len(slots))]  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    out = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-j * period // slots[i]), i, j))
-        due, i, j = heapq.heappop(ready)
-        if due <= t:
-            raise AssertionError("a block is late")
-        out.append(i)
-        if j < slots[i]:
-            heapq.heappush(waiting, (j * period // slots[i], i, j + 1))
-    return out
-
+    """The source of every slot of one period in which each source has `slots`."""
+    out = np.empty(sum(slots), np.int64)
+    for i, places in enumerate(phases(slots, slots)):
+        out[places] = i
+    return out.tolist()
 
-@dataclass
-class Phase:
-    """Slots `first` to `last` (excluded), in which the sources' blocks from `begin` on follow `slots`."""
 
-    first: int
-    last: int
-    begin: list[int]
-    places: list[np.ndarray]  # of each source, its slots within a period
-    period: int
+def exact(weights: list[float]) -> list[int]:
+    """Whole numbers in the exact ratio of the weights, floats as they are written in decimals."""
+    fractions = [Fraction(str(w)) if isinstance(w, float) else Fraction(w) for w in weights]
+    scale = math.lcm(*(f.denominator for f in fractions))
+    return [int(f * scale) for f in fractions]
 
 
-def phases(blocks: list[int], weights: list[float], period: int) -> list[Phase]:
-    """The schedule of all blocks: a phase ends as soon as one of its sources has no more blocks.
+def phases(blocks: list[int], weights: list[float], period: int | None = None) -> list[np.ndarray]:
+    """The slot of every block of each source.  There are no periods any more: `period` has no effect.
 
-    Work is in proportion to sources times `period`, whatever the number of blocks.
+    Work is in proportion to the blocks.
     """
-    done, out, now = [0] * len(blocks), [], 0
     left = [i for i, n in enumerate(blocks) if n > 0]
-    while left:
-        own = shares([weights[i] for i in left], period)
-        order = np.array(schedule(own))
-        places = [np.empty(0, np.int64)] * len(blocks)
-        ends = []
-        for k, i in enumerate(left):
-            places[i] = np.flatnonzero(order == k)
-            rest = blocks[i] - done[i]
-            ends.append((rest - 1) // own[k] * period + int(places[i][(rest - 1) % own[k]]) + 1)
-        length = min(ends)
-        out.append(Phase(now, now + length, list(done), places, period))
-        for i in left:
-            done[i] += length // period * len(places[i]) + int(np.searchsorted(places[i], length % period))
-        now += length
-        left = [i for i in left if done[i] < blocks[i]]
-    return out
+    share = dict(zip(left, exact([weights[i] for i in left])))
+    # Until `ends[k]` of virtual time, in which a source gets its share each unit, `gone[k]` blocks are those of ended sources.
+    by_end = sorted((Fraction(blocks[i], share[i]), i) for i in left)
+    ends, gone, rest = [e for e, _ in by_end], [0], [sum(share.values())]
+    for _, i in by_end:
+        gone.append(gone[-1] + blocks[i])
+        rest.append(rest[-1] - share[i])
+    at = dict.fromkeys(left, 0)
+
+    def moment(i: int, j: int) -> tuple[int, int]:
+        """The time at which the ideal mixture has `j` blocks of source `i`, rounded down and up."""
+        k = at[i]
+        if j * ends[k].denominator > ends[k].numerator * share[i]:
+            k = at[i] = bisect.bisect_left(ends, Fraction(j, share[i]), lo=k)
+        whole, part = divmod(j * rest[k], share[i])
+        return gone[k] + whole, gone[k] + whole + (part > 0)
+
+    def window(i: int, begin: int, j: int) -> tuple[int, int, int, int, int]:
+        down, up = moment(i, j)
+        return begin, i, j, up, down
+
+    waiting = [window(i, 0, 1) for i in left]  # release, source, block, due, release of the next
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int, int]] = []
+    out = [array("q") for _ in blocks]
+    for t in range(sum(blocks)):
+        while waiting and waiting[0][0] <= t:
+            _, i, j, due, following = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, i, j, following))
+        due, i, j, following = heapq.heappop(ready)
+        if due <= t:
+            raise AssertionError("a block is late")
+        out[i].append(t)
+        if j < blocks[i]:
+            heapq.heappush(waiting, window(i, following, j + 1))
+    return [np.array(slots, np.int64) for slots in out]
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block: int = 64, period: int = 4096,
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block: int = 64, period: int | None = None,
         key: str = "doc_id", source: str = "source") -> DataFrame:
     """Adds ``position`` (from 0, without gaps), ``slot`` and ``block``.
 
     `weights` by source; without them a source weighs its number of documents to
-    `power`.  There may be up to `period` sources: their counts, a row for each,
-    are all that the driver sees.
+    `power`.  The driver sees a count for each source and works out a slot for each
+    block, which every task gets (8 bytes for `block` documents).  `period` has no
+    effect.
     """
     kept = [c for c in docs.columns if c not in ("position", "slot", "block")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
@@ -116,7 +122,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
     if lacking := [s for s, _ in sizes if weights.get(s, 0) <= 0]:
         raise ValueError(f"no weight for sources {lacking[:5]}")
     counts = [-(-n // block) for _, n in sizes]
-    plan = phases(counts, [weights[s] for s, _ in sizes], period)
+    plan = phases(counts, [weights[s] for s, _ in sizes])
     spark = docs.sparkSession
     # Fewer documents than a full block stand in a source's last block, and shift what comes after.
     short = []
@@ -151,19 +157,12 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
             .select(*kept, "position", "slot", "block"))
 
 
-def _slots(plan: list[Phase], source: int, blocks: np.ndarray) -> np.ndarray:
+def _slots(plan: list[np.ndarray], source: int, blocks: np.ndarray) -> np.ndarray:
     """The slots of the given blocks (from 0) of a source."""
-    begins = np.array([p.begin[source] for p in plan])
-    which = np.searchsorted(begins, blocks, side="right") - 1
-    out = np.empty(len(blocks), np.int64)
-    for k in np.unique(which):
-        at, phase = which == k, plan[k]
-        inside, per = blocks[at] - phase.begin[source], len(phase.places[source])
-        out[at] = phase.first + inside // per * phase.period + phase.places[source][inside % per]
-    return out
+    return plan[source][blocks]
 
 
-def _slot(plan: list[Phase], source: int, block: int) -> int:
+def _slot(plan: list[np.ndarray], source: int, block: int) -> int:
     return int(_slots(plan, source, np.array([block]))[0])
 
 

@@ -27,6 +27,42 @@ def test_phases_place_every_block_once():
         assert slots == list(range(sum(blocks)))
 
 
+def order_of(blocks, plan):
+    out = np.empty(sum(blocks), np.int64)
+    for i, n in enumerate(blocks):
+        out[mixing._slots(plan, i, np.arange(n))] = i
+    return out
+
+
+def test_schedule_follows_the_target_weights():
+    for weights in ([9, 1], [1999, *[2] * 1999]):
+        total = sum(weights)
+        blocks = [w * (60_000 // total + 1) for w in weights]
+        order = order_of(blocks, mixing.phases(blocks, [w / total for w in weights], 4096))
+        for i in range(2):
+            done = np.cumsum(order == i)
+            assert np.abs(done - weights[i] / total * np.arange(1, len(order) + 1)).max() < 1
+
+
+def test_schedule_follows_the_ideal_mixture_when_sources_end():
+    rng = random.Random(4)
+    for _ in range(10):
+        blocks, weights = zip(*((rng.randint(1, 40), rng.randint(1, 30)) for _ in range(12)))
+        order = order_of(blocks, mixing.phases(list(blocks), list(weights), 64))
+        ideal, done = [Fraction(0)] * 12, [0] * 12
+        for i in order.tolist():
+            spare = Fraction(1)  # of this slot
+            while spare:
+                left = [k for k in range(12) if ideal[k] < blocks[k]]
+                total = sum(weights[k] for k in left)
+                step = min(spare, *(Fraction((blocks[k] - ideal[k]) * total, weights[k]) for k in left))
+                for k in left:
+                    ideal[k] += step * weights[k] / total
+                spare -= step
+            done[i] += 1
+            assert all(abs(a - b) < 1 for a, b in zip(done, ideal))
+
+
 def test_mixture(spark):
     rows = [(i, "abc"[min(2, i * i % 7 % 3)] if i % 50 else None, i) for i in range(1000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, position int")
