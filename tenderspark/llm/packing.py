@@ -2,9 +2,12 @@
 
 Pieces are dealt evenly into partitions and packed best-fit decreasing.  Lower
 bounds from dual feasible functions certify the number of bins; while the total
-stays above the bound of the whole table, the partitions give up their loosest
-bins, exchange those pieces in larger groups and run best-fit decreasing again,
-keeping the new bins only where they are fewer.
+stays above the bound of the whole table, all bins but those of a single full
+piece are dealt into groups of bounded size and packed anew, the new bins being
+kept only where they are fewer.  A group that meets the bound of its own pieces is
+left as it is.  Groups are drawn by chance, from neighbouring partitions, then from
+all, until two rounds in a row don't lower the number; then the loosest bins of the
+groups meet in ever fewer groups.  Both are done again as long as that helps.
 
 Only lengths and checksums of pieces move; ids stay where they were made.
 
@@ -26,10 +29,10 @@ from tenderspark.llm.common import Scratch, batch_of, map_arrow, slices
 from tenderspark.llm.tokens import SLICE, crc_of, encoder
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-PLACED = pa.schema([*PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int64()), ("loose", pa.int32())])
+PLACED = pa.schema([*PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int64()), ("home", pa.int64()), ("loose", pa.int32())])
 PIECED = pa.schema([*PIECE, ("part", pa.int64())])
 PIECE_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED_SQL = PIECE_SQL + ", sequence_id long, offset long, part long, loose int"
+PLACED_SQL = PIECE_SQL + ", sequence_id long, offset long, part long, home long, loose int"
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -100,7 +103,10 @@ def lower_bound(histogram: np.ndarray, capacity: int) -> int:
 
 
 def _pack(capacity: int, round_no: int):
-    """Packs the rows of a task, one group for each `part`; where they were packed before, keeps the old bins unless the new are fewer."""
+    """Packs the rows of a task, one group for each `part`; where they were packed before, keeps the old bins unless the new are fewer.
+
+    `home` is the first partition that a bin has pieces of.
+    """
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -112,28 +118,45 @@ def _pack(capacity: int, round_no: int):
         for a, b in zip(bounds, [*bounds[1:], len(order)]):
             rows = table.take(pa.array(order[a:b]))
             length = rows["length"].to_numpy()
-            bins, offset, room = best_fit(length, capacity)
-            if round_no and len(room) >= len(np.unique(old := rows["sequence_id"].to_numpy())):
-                bins, offset = np.unique(old, return_inverse=True)[1], rows["offset"].to_numpy()
+            sequence = None
+            if round_no:
+                old, bins = np.unique(rows["sequence_id"].to_numpy(), return_inverse=True)
+                if lower_bound(np.bincount(length, minlength=capacity + 1), capacity) >= len(old):
+                    sequence = old[bins]
+            if sequence is None:
+                new, offset, room = best_fit(length, capacity)
+                if round_no and len(room) >= len(old):
+                    sequence = old[bins]
+                else:
+                    bins, sequence = new, (round_no << 48) + (int(part[order[a]]) << 28) + new
+            if round_no and sequence[0] == old[bins[0]]:
+                offset = rows["offset"].to_numpy()
                 room = capacity - np.bincount(bins, weights=length).astype(np.int64)
-                sequence = old
-            else:
-                sequence = (round_no << 56) + (int(part[order[a]]) << 28) + bins
             loosest = np.empty(len(room), np.int64)
             loosest[np.argsort(-room, kind="stable")] = np.arange(len(room))
-            loose = np.where(room[bins] > 0, loosest[bins], len(room) + 1)
+            home = np.full(len(room), np.iinfo(np.int64).max)
+            np.minimum.at(home, bins, rows["home"].to_numpy())
             yield batch_of(PLACED, **{n: rows[n].combine_chunks() for n in PIECE.names}, sequence_id=sequence, offset=offset,
-                           part=np.full(b - a, part[order[a]]), loose=loose)
+                           part=np.full(b - a, part[order[a]]), home=home[bins], loose=np.where(room[bins] > 0, loosest[bins], len(room) + 1))
 
     return work
 
 
+def _near(current: DataFrame, span: int, per_part: int, round_no: int) -> tuple[DataFrame, int]:
+    """Bins dealt by chance into groups of about `per_part` pieces, among `span` partitions each; and the number of groups."""
+    spans = F.floor(F.col("home") / span).cast("long")
+    last, most = current.groupBy(spans.alias("s")).count().agg(F.max("s"), F.max("count")).first()
+    each = math.ceil(most / per_part)
+    return current.withColumn("part", spans * each + F.pmod(F.xxhash64("sequence_id", F.lit(round_no)), F.lit(each))), (last + 1) * each
+
+
 def pack(items: DataFrame, capacity: int, scratch: Scratch, per_part: int = 50_000, given_up: int = 64, width: int = 8) -> DataFrame:
     """Adds ``sequence_id, offset`` to `items` (written pieces).
 
     A task holds about `per_part` pieces, dealt in turn; where pieces have a `part`
     (all or none of them), it holds those of one part, and sequences are numbered
-    in the order of the parts.
+    in the order of the parts, those packed anew after the others.  Of each group, the
+    `given_up` loosest bins meet those of `width` groups, after all bins were dealt anew.
     """
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for n, k in items.groupBy("length").count().collect():  # at most one row for each length up to the capacity
@@ -145,24 +168,37 @@ def pack(items: DataFrame, capacity: int, scratch: Scratch, per_part: int = 50_0
         dealt = items.repartition(parts, "part")
     else:
         dealt = items.repartition(parts).withColumn("part", F.spark_partition_id().cast("long"))  # in turn, so that no id or length makes a large part
-    dealt = dealt.select("*", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
-    done = [scratch.stage(map_arrow(dealt, _pack(capacity, 0), PLACED_SQL), "packed")]
-    round_no = 0
-    while True:
-        bins = sum(t.groupBy("part").agg(F.countDistinct("sequence_id").alias("n")).agg(F.sum("n")).first()[0] or 0 for t in done)
-        if bins <= need or parts == 1:
-            break
-        round_no += 1
-        parts = math.ceil(parts / width)
-        current = done[-1]
-        group = (F.col("part") / width).cast("long")
-        freed = current.filter(F.col("loose") < given_up).withColumn("part", group)
-        done[-1] = current.filter(F.col("loose") >= given_up)
-        done.append(scratch.stage(map_arrow(freed.repartition(parts, "part"), _pack(capacity, round_no), PLACED_SQL), "repacked"))
-    out = done[0]
-    for t in done[1:]:
-        out = out.unionByName(t)
-    return out.select(*PIECE.names, "sequence_id", "offset")
+    dealt = dealt.select("*", *[F.lit(None).cast("long").alias(c) for c in ("sequence_id", "offset")], F.col("part").alias("home"))
+    first = scratch.stage(map_arrow(dealt, _pack(capacity, 0), PLACED_SQL), "packed")
+    full, current = first.filter(F.col("length") == capacity), first.filter(F.col("length") < capacity)
+    need -= int(histogram[capacity])
+
+    def bins_of(table: DataFrame) -> int:
+        return table.filter("offset = 0").count()
+
+    bins, span, round_no, groups, last = bins_of(current), 1, 0, parts, math.inf
+    while need < bins < last and parts > 1:
+        last, idle = bins, 0
+        while bins > need and idle < 2:
+            round_no += 1
+            span = span * width if span < parts else span
+            dealt, groups = _near(current, span, per_part, round_no)
+            current = scratch.stage(map_arrow(dealt.repartition(groups, "part"), _pack(capacity, round_no), PLACED_SQL), "repacked")
+            fewer = bins_of(current)
+            idle = 0 if fewer < bins or span < parts else idle + 1
+            bins = fewer
+        tables = [current]
+        while bins > need and groups > 1:
+            round_no += 1
+            groups = math.ceil(groups / width)
+            freed = tables[-1].filter(F.col("loose") < given_up).withColumn("part", F.floor(F.col("part") / width).cast("long"))
+            tables[-1] = tables[-1].filter(F.col("loose") >= given_up)
+            tables.append(scratch.stage(map_arrow(freed.repartition(groups, "part"), _pack(capacity, round_no), PLACED_SQL), "exchanged"))
+            bins = sum(map(bins_of, tables))
+        current = tables[0]
+        for table in tables[1:]:
+            current = current.unionByName(table)
+    return full.unionByName(current).select(*PIECE.names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, part: Column | None = None) -> DataFrame:

@@ -148,6 +148,16 @@ def test_repacking_lowers_the_number_of_bins(spark, part):
     assert need <= check_packed(rows, 1000) <= need + 2
 
 
+def test_unlike_parts_exchange_all_their_bins(spark):
+    # Texts just over half a sequence in one part, small ones in the other.
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
+                                  F.when(F.col("id") < 1000, 550).otherwise(400).cast("long").alias("length"), F.lit(0).cast("long").alias("ids_crc32"),
+                                  F.when(F.col("id") < 1000, 0).otherwise(1).cast("long").alias("part"))
+    rows = packing.pack(df, 1000, Scratch(spark, "test"), per_part=500).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(2000))
+    assert check_packed(rows, 1000) <= 1050  # a bin for each of the larger texts at least; 1500 without any exchange
+
+
 def test_packing_of_odd_rows(odd, path):
     rows = packing.pack_documents(odd, path, 64).collect()
     check_packed(rows, 64)
