@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderspark.llm import boundary, bpe, chat, descent, forest, hnsw, huffman, lines, mixing, packing, quality
+from tenderspark.llm import boundary, bpe, chat, checks, collocation, descent, forest, hnsw, huffman, lines, mixing, packing, quality
 from tenderspark.llm.common import read
 from tenderspark.llm.tokens import vocabulary
 
@@ -64,6 +64,10 @@ def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_ids(spark, huffman.write_ids(read(spark, sf_dir, "documents"), vocabulary(VOCABULARY)))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(read(spark, sf_dir, "documents"), least=10, top=2000)
+
+
 def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary(WORD_VOCABULARY)
     return boundary.digests(boundary.decode(boundary.encode(read(spark, sf_dir, "documents"), path), path))
@@ -77,8 +81,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op3_best_fit_packing, op4_line_dedup, op5_nearest_neighbours, op6_embedding_near_dedup,
-                                    op7_token_counts, op8_quality_classifier, op9_ngram_jaccard_join, op10_token_binary_output, op13_bpe_encoding, pipeline)}
+                                    op7_token_counts, op8_quality_classifier, op9_ngram_jaccard_join, op10_token_binary_output, op11_phrase_collocations, op13_bpe_encoding, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_phrase_collocations": checks.COLLOCATIONS}
