@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderspark.llm import boundary, bpe, chat, checks, collocation, descent, forest, hnsw, huffman, lines, mixing, packing, quality
+from tenderspark.llm import boundary, bpe, chat, checks, collocation, descent, forest, hnsw, huffman, lines, merkle, mixing, packing, quality
 from tenderspark.llm.common import read
 from tenderspark.llm.tokens import vocabulary
 
@@ -68,6 +69,14 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(read(spark, sf_dir, "documents"), least=10, top=2000)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf_hash(*fields, lowered))
+    return merkle.verified(merkle.manifest(docs, "source", "doc_id", [*fields, F.col("text")], tampered)).withColumnRenamed("key", "doc_id")
+
+
 def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary(WORD_VOCABULARY)
     return boundary.digests(boundary.decode(boundary.encode(read(spark, sf_dir, "documents"), path), path))
@@ -81,8 +90,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_chat_formatting, op2_mixing, op3_best_fit_packing, op4_line_dedup, op5_nearest_neighbours, op6_embedding_near_dedup,
-                                    op7_token_counts, op8_quality_classifier, op9_ngram_jaccard_join, op10_token_binary_output, op11_phrase_collocations, op13_bpe_encoding, pipeline)}
+                                    op7_token_counts, op8_quality_classifier, op9_ngram_jaccard_join, op10_token_binary_output, op11_phrase_collocations, op12_merkle_manifest, op13_bpe_encoding, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_phrase_collocations": checks.COLLOCATIONS}
+    return {"op11_phrase_collocations": checks.COLLOCATIONS, "op12_merkle_manifest": checks.MERKLE}
