@@ -212,3 +212,48 @@ def test_nearest_against_brute_force(spark):
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
     assert hnsw.nearest(few, F.col("vec_id") == 0).count() == 2
     assert hnsw.nearest(few.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def recall_in_one_graph(x, k=5):
+    """Of the `k` nearest of every row by id, the share that a search of one graph over all rows finds."""
+    u = unit(np.unique(x, axis=0))
+    g = hnsw.build(u)
+    hit = 0
+    for a in range(0, len(u), 500):
+        found = hnsw._best(u, np.arange(len(u))[:, None], u[a:a + 500], np.arange(a, min(a + 500, len(u))), g.search(u[a:a + 500], 96, 96), k)
+        s = u[a:a + 500] @ u.T
+        s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
+        want = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        got = found["vec_id"].reshape(-1, k)
+        hit += sum(len(set(b) & set(c)) for b, c in zip(got.tolist(), want.tolist()))
+    return hit / (len(u) * k), g
+
+
+@pytest.mark.parametrize("rows", ["given", "random"])
+def test_one_graph_finds_the_nearest(rows):
+    if rows == "given":
+        import pyarrow.parquet as pq
+
+        lists = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist()
+        x = np.array([v for v in lists if v and np.isfinite(np.array(v, dtype=float)).all() and any(v)], dtype=float)
+    else:
+        x = np.random.default_rng(3).normal(size=(8192, 16))
+    recall, g = recall_in_one_graph(x)
+    assert recall >= 0.95
+    for level in g.links:
+        for node, own in enumerate(level):
+            own = own[own >= 0].tolist()
+            assert len(set(own)) == len(own) and node not in own
+
+
+def test_nearest_gives_every_query_its_rows(spark):
+    df = read(spark, "/root/testdata/sf0.01", "embeddings")
+    rows = hnsw.nearest(df, F.col("vec_id") % 50 == 0, k=5).groupBy("query_id").count().collect()
+    assert len(rows) == df.filter("vec_id % 50 = 0").count() and {r["count"] for r in rows} == {5}
+
+
+def test_equal_cosines_go_to_the_smaller_id(spark):
+    # Different vectors of one direction, and of components whose squares overflow.
+    rows = [(0, [1.0, 0.0]), (9, [2.0, 2.0]), (4, [4.0, 4.0]), (7, [0.5, 0.5]), (1, [0.0, 1.0]), (2, [2.0**700, 2.0**700]), (3, [2.0**-700, 2.0**-700])]
+    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [2, 3, 4, 7, 9] and len({r["score"] for r in got}) == 1
