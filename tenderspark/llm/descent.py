@@ -139,14 +139,13 @@ def _meet(floor: float):
     return work
 
 
-def cosine_links(threshold: float) -> Callable[[pa.Table, np.ndarray | None], tuple[np.ndarray, np.ndarray]]:
-    def linked(table: pa.Table, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def cosine_links(threshold: float) -> Callable[[pa.Table, np.ndarray | None], np.ndarray]:
+    def linked(table: pa.Table, side: np.ndarray | None) -> np.ndarray:
         x = unit(matrix(table["vec"], table["dim"][0].as_py()))
-        score = x @ x.T
-        hit = score >= threshold
+        hit = x @ x.T >= threshold
         if side is not None:
             hit &= side[:, None] != side[None, :]
-        return hit, score
+        return hit
 
     return linked
 

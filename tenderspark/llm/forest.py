@@ -4,9 +4,9 @@ A document's set holds the hashes of every five words in a row (lower-cased,
 between white space; fewer words are one shingle).  Equal sets are one class.
 Each tree of the forest is a sorted prefix trie: signatures of `DEPTH` minima in
 order, where documents next to each other share the longest prefixes.  Matches
-start at whole signatures and are shortened value by value until the recall
-estimated from the links found reaches the target; all members of a group that
-hangs together by matches are compared exactly.
+are shortened from whole signatures value by value until the recall of pairs at
+the threshold reaches the target; all members of a group that hangs together by
+matches are compared exactly.
 
 Null and empty texts have no set and no links.  Rows with a null id stay, without
 links.  Rows that share an id are one document with the texts of all of them.  An
@@ -129,18 +129,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, target: float = 0.9
     pairs = map_arrow(dealt, _neighbours, "a long, b long, depth int").groupBy("a", "b").agg(F.max("depth").alias("depth"))
     pairs = scratch.stage(pairs, "pairs")
     classes = scratch.stage(classes, "classes")
-    for depth in range(DEPTH, SHORTEST - 1, -1):
-        groups = components(pairs.filter(F.col("depth") >= depth).select("a", "b"), scratch).withColumnRenamed("component", "grp")
-        members = scratch.stage(groups.join(classes.groupBy("id").agg(F.max("weight").alias("weight"), F.sum("n").alias("n")), "id"), "members")
-        found = named.join(members.withColumnRenamed("id", "doc_id"), "doc_id").select("text", "doc_id", "grp", "weight")
-        sets = map_arrow(found, _sets, "id long, grp long, weight long, n long, items binary").filter("n > 0")
-        links = scratch.stage(compare_blocks(in_blocks(sets, "n", BLOCK, members), jaccard_links(threshold), by_hundredth=True), "links")
-        seen = links.filter("id is null").groupBy("other").agg(F.sum("links")).collect()  # at most 101 rows
-        total = sum(n for _, n in seen)
-        expected = sum(n / reach(s / 100, depth) for s, n in seen)
-        if total >= target * expected and (total or reach(threshold, depth) >= target):
-            break
-    links = links.filter("id is not null")
+    # Prefixes are shortened until a pair that just reaches the threshold is found as surely as asked; other links of the data have no say in it.
+    depth = next((d for d in range(DEPTH, SHORTEST, -1) if reach(threshold, d) >= target), SHORTEST)
+    groups = components(pairs.filter(F.col("depth") >= depth).select("a", "b"), scratch).withColumnRenamed("component", "grp")
+    members = scratch.stage(groups.join(classes.groupBy("id").agg(F.max("weight").alias("weight"), F.sum("n").alias("n")), "id"), "members")
+    found = named.join(members.withColumnRenamed("id", "doc_id"), "doc_id").select("text", "doc_id", "grp", "weight")
+    sets = map_arrow(found, _sets, "id long, grp long, weight long, n long, items binary").filter("n > 0")
+    links = scratch.stage(compare_blocks(in_blocks(sets, "n", BLOCK, members), jaccard_links(threshold)), "links")
     joined = components(links.select(F.col("id").alias("a"), F.col("other").alias("b")), scratch)
     counts = links.groupBy("id").agg(F.sum("links").alias("links")).join(joined, "id", "full")
     of_class = scratch.stage(classes.join(counts, "id", "left").select("cls", F.coalesce("component", "id").alias("component"),

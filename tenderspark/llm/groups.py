@@ -9,53 +9,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderspark.llm.common import Scratch, batch_of, map_arrow, runs
+from tenderspark.llm.common import Scratch, map_arrow, runs
 
-LINKS = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
+MEMBERS = 1000  # of a block, so the matrices of two blocks stay below 200 MB
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``id, component`` of every id in ``edges(a, b)``: the smallest id that links lead to.
 
-    Distributed union-find: in each round every node hooks onto its smallest
-    neighbour, pointers are doubled twice, and the edges are moved to the nodes
-    pointed at.  Each round is written out; a round at least halves the nodes
-    that still have edges, and nothing is gathered per node but one minimum.
-    Rows with a null end and self-links are left out.  No edges: no rows.
+    Distributed union-find: in each round every node that still has edges hooks
+    onto its smallest neighbour, pointers are doubled twice, and the edges are
+    moved to the nodes pointed at.  A round at least halves these nodes.  The hooks
+    of all rounds are kept and put together from the last one back, so the rows of
+    all rounds and joins are a few times the nodes.  Ids may be of any type with an
+    order.  Rows with a null end and self-links are left out.  No edges: no rows.
     """
     both = F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")
     edges = scratch.stage(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = None
-    while True:
+    rounds: list[DataFrame] = []
+    while not rounds or not edges.isEmpty():
         hooks = edges.select(both).groupBy("e.v").agg(F.least(F.min("e.v"), F.min("e.w")).alias("p")).select("v", "p")
         for _ in range(2):  # whatever is pointed at is a node as well
             target = hooks.select(F.col("v").alias("p"), F.col("p").alias("pp"))
             hooks = hooks.join(target, "p").select("v", F.col("pp").alias("p"))
         hooks = scratch.stage(hooks, "hooks")
-        if labels is None:
-            labels = hooks.select(F.col("v").alias("id"), F.col("p").alias("component"))
-        else:
-            moved = hooks.select(F.col("v").alias("component"), F.col("p").alias("root"))
-            labels = scratch.stage(labels.join(moved, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels")
+        rounds.append(hooks)
         left, right = hooks.toDF("a", "pa"), hooks.toDF("b", "pb")
         before = edges
         edges = scratch.stage(edges.join(left, "a").join(right, "b").filter("pa <> pb")
                               .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
         scratch.drop(before)
-        if edges.isEmpty():
-            return labels
+    scratch.drop(edges)
+    labels = rounds.pop().toDF("id", "component")
+    while rounds:
+        after = labels.select(F.col("id").alias("p"), F.col("component").alias("root"))
+        labels = scratch.stage(rounds.pop().join(after, "p", "left").select(F.col("v").alias("id"), F.coalesce("root", "p").alias("component")), "labels")
+    return labels
 
 
 def in_blocks(members: DataFrame, size: str, limit: int, sizes: DataFrame | None = None) -> DataFrame:
-    """Deals the members of each ``grp`` into blocks of about `limit` (summed `size`) and copies each to the pairs of blocks it belongs to.
+    """Deals the members of each ``grp`` into blocks of about `limit` (summed `size`) and `MEMBERS` and copies each to the pairs of blocks it belongs to.
 
     Adds ``i, j, side``: a row for every pair i <= j of blocks of its group with
-    its own among them; `side` says which.  A group within the limit is one
-    block and its members are not copied.  `sizes` may give ``grp`` and `size`
-    without the rest.  No task ever gets more than two
-    blocks at once, however large the group.
+    its own among them; `side` says which.  A group within both limits is one
+    block and its members are not copied; else a member is copied as often as its
+    group has blocks.  `sizes` may give ``grp`` and `size` without the rest.  A
+    task holds two blocks at once, however large the group.
     """
-    totals = (members if sizes is None else sizes).groupBy("grp").agg(F.ceil(F.sum(size) / F.lit(limit)).cast("int").alias("_nb"))
+    counted = F.sum(F.greatest(F.col(size), F.lit(limit / MEMBERS)))
+    totals = (members if sizes is None else sizes).groupBy("grp").agg(F.ceil(counted / F.lit(limit)).cast("int").alias("_nb"))
     own = members.join(totals.filter("_nb > 1"), "grp", "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
     own = own.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
     return (own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
@@ -63,74 +65,68 @@ def in_blocks(members: DataFrame, size: str, limit: int, sizes: DataFrame | None
             .withColumn("side", F.when(F.col("_own") == F.col("i"), 0).otherwise(1)).drop("_nb", "_own", "_other"))
 
 
-def compare_blocks(blocks: DataFrame, linked: Callable[[pa.Table, np.ndarray | None], tuple[np.ndarray, np.ndarray]], by_hundredth: bool = False) -> DataFrame:
-    """``id, other, links``: for each member of a block pair the summed ``weight`` of those it links with (`other` null), and links that connect them.
+def compare_blocks(blocks: DataFrame, linked: Callable[[pa.Table, np.ndarray | None], np.ndarray]) -> DataFrame:
+    """``id, other, links``: for each member of a block pair that links with any the summed ``weight`` of these, and one it hangs together with.
 
-    `linked(table, side)` gives the boolean matrix of links and the similarities;
-    `side` is None inside one block.  The links returned only span the connected
-    parts, so they are fewer than the members.  With `by_hundredth` rows with a
-    null `id` count the links by similarity in hundredths.
+    `linked(table, side)` gives the boolean matrix of links; `side` is None inside
+    one block.  The links returned only span the connected parts, so they are
+    fewer than the members.
     """
+    kind = blocks.schema["id"].dataType.simpleString()
+
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list[np.ndarray]] = []
+        held: list[list[pa.Array]] = []
         rows = 0
-        seen = np.zeros(101, np.int64)
         for table in runs(batches, ("grp", "i", "j")):
-            ids = table["id"].to_numpy()
-            if len(ids) < 2:
+            if table.num_rows < 2:
                 continue
             side = table["side"].to_numpy() if table["i"][0].as_py() != table["j"][0].as_py() else None
-            hit, score = linked(table, side)
+            hit = linked(table, side)
             np.fill_diagonal(hit, False)
             some = np.flatnonzero(hit.any(axis=1))
             if not len(some):
                 continue
-            if by_hundredth:
-                seen += np.bincount(np.clip((score[np.triu(hit)] * 100).astype(np.int64), 0, 100), minlength=101)
-            links = hit @ table["weight"].to_numpy().astype(np.float64)
-            label = np.arange(len(ids))
+            hit = hit[some][:, some]
+            links = hit @ table["weight"].to_numpy().astype(np.float64)[some]
+            label = np.arange(len(some))
             while True:
-                least = np.where(hit[some][:, some], label[some][None, :], len(ids)).min(axis=1)
-                new = np.minimum(label[some], least)
-                if (new == label[some]).all():
+                new = np.minimum(label, np.where(hit, label[None, :], len(some)).min(axis=1))
+                if (new == label).all():
                     break
-                label[some] = new
-            out.append([ids[some], ids[label[some]], links[some].astype(np.int64)])
+                label = new
+            ids = table["id"].combine_chunks().take(pa.array(some))
+            held.append([ids, ids.take(pa.array(label)), pa.array(links.astype(np.int64))])
             rows += len(some)
             if rows > 50_000:
-                yield _links(out)
-                out, rows = [], 0
-        if out:
-            yield _links(out)
-        if by_hundredth:
-            used = np.flatnonzero(seen)
-            yield batch_of(LINKS, id=[None] * len(used), other=used, links=seen[used])
+                yield _links(held)
+                held, rows = [], 0
+        if held:
+            yield _links(held)
 
     dealt = blocks.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "id")
-    return map_arrow(dealt, work, "id long, other long, links long")
+    return map_arrow(dealt, work, f"id {kind}, other {kind}, links long")
 
 
-def _links(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-    a, b, n = (np.concatenate(x) for x in zip(*parts))
-    return batch_of(LINKS, id=a, other=b, links=n)
+def _links(parts: list[list[pa.Array]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*parts)], names=["id", "other", "links"])
 
 
 def stored_sets(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype=np.uint64) for x in table["items"].to_pylist()]
 
 
-def jaccard_links(threshold: float, sets_of: Callable[[pa.Table], list[np.ndarray]] = stored_sets) -> Callable[[pa.Table, np.ndarray | None], tuple[np.ndarray, np.ndarray]]:
+def jaccard_links(threshold: float, sets_of: Callable[[pa.Table], list[np.ndarray]] = stored_sets) -> Callable[[pa.Table, np.ndarray | None], np.ndarray]:
     """Links between sets of distinct 64-bit hashes, which `sets_of` takes from a table: exact Jaccard of at least `threshold`."""
-    def linked(table: pa.Table, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def linked(table: pa.Table, side: np.ndarray | None) -> np.ndarray:
         sets = sets_of(table)
         size = np.array([len(s) for s in sets])
         both = shared(sets, size)
-        union = size[:, None] + size[None, :] - both
-        score = both / np.maximum(union, 1)
-        hit = score >= threshold
+        union = (size[:, None] + size[None, :]).astype(np.float64)
+        union -= both
+        hit = np.divide(both, np.maximum(union, 1, out=union), out=union) >= threshold
         if side is not None:
             hit &= side[:, None] != side[None, :]
-        return hit, score
+        return hit
 
     return linked
 
@@ -140,7 +136,7 @@ def shared(sets: list[np.ndarray], size: np.ndarray) -> np.ndarray:
     n = len(sets)
     if n == 2:
         m = float(len(np.intersect1d(sets[0], sets[1], assume_unique=True)))
-        return np.array([[size[0], m], [m, size[1]]])
+        return np.array([[size[0], m], [m, size[1]]], dtype=np.float32)
     owner = np.repeat(np.arange(n), size)
     values = np.concatenate(sets)
     order = np.argsort(values, kind="stable")
@@ -158,4 +154,4 @@ def shared(sets: list[np.ndarray], size: np.ndarray) -> np.ndarray:
         held = np.zeros((n, min(4096, int(keep.sum()) - low)), dtype=np.float32)
         held[owner[a:b], column[a:b] - low] = 1
         both += held @ held.T
-    return both.astype(np.float64)
+    return both

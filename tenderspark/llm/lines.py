@@ -31,17 +31,17 @@ SHINGLE = 8
 BANDS, ROWS = 10, 4
 BLOCK = 1 << 18
 
-LINE = pa.schema([("line", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("bands", pa.binary())])
-MEMBER = pa.schema([("id", pa.int64()), ("grp", pa.int64()), ("weight", pa.int64()), ("n", pa.int64()), ("text", pa.string())])
+LINE = pa.schema([("line", pa.binary()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("bands", pa.binary())])
+MEMBER = pa.schema([("id", pa.binary()), ("grp", pa.binary()), ("weight", pa.int64()), ("n", pa.int64()), ("text", pa.string())])
 
 
 def plain(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def _key(line: str) -> int:
-    h = xxhash.xxh3_64_intdigest(line)
-    return h - (1 << 64) if h >> 63 else h
+def _key(line: str) -> bytes:
+    """128 bits, so that no two of even 10^12 different lines can be expected to share theirs."""
+    return xxhash.xxh3_128_digest(line)
 
 
 def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,9 +65,9 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not lines:
             continue
         signature = hashes.of(*_shingles(lines)).astype(np.uint64).reshape(len(lines), BANDS, ROWS)
-        band = windows(signature.reshape(-1), ROWS)[::ROWS].reshape(len(lines), BANDS)
-        width = BANDS * 4
-        data = (band >> np.uint64(32)).astype("<u4").tobytes()
+        band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64)[None, :, None], (len(lines), BANDS, 1))
+        data = windows(np.concatenate([band, signature], axis=2).reshape(-1), ROWS + 1)[::ROWS + 1].tobytes()
+        width = BANDS * 8
         yield batch_of(LINE, line=[_key(s) for s in lines], doc_id=docs, line_no=numbers,
                        bands=[data[k:k + width] for k in range(0, len(data), width)])
 
@@ -75,8 +75,8 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _explode_bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").astype(np.int64) + (np.arange(BANDS) << 32)[None, :].repeat(batch.num_rows, 0).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["key", "line"])
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], names=["key", "line"])
 
 
 def _sets(table: pa.Table) -> list[np.ndarray]:
@@ -101,20 +101,23 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, scratch: Scratch | No
     """``doc_id, removed``: the numbers (from 0) of the lines to take out, for documents that lose any."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     named = texts(docs).filter("doc_id is not null")
-    lines = scratch.stage(map_arrow(named, _sign, "line long, doc_id long, line_no int, bands binary"), "lines")
+    lines = scratch.stage(map_arrow(named, _sign, "line binary, doc_id long, line_no int, bands binary"), "lines")
     place = F.struct("doc_id", "line_no")
-    bands = map_arrow(lines.groupBy("line").agg(F.any_value("bands").alias("bands")), _explode_bands, "key long, line long")
+    distinct = scratch.stage(lines.groupBy("line").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.any_value("bands").alias("bands")), "distinct")
+    bands = map_arrow(distinct.select("line", "bands"), _explode_bands, "key long, line binary")
     chained = bands.select(F.col("line").alias("a"), F.lag("line").over(Window.partitionBy("key").orderBy("line")).alias("b"))
-    groups = components(chained.filter("b is not null"), scratch).select(F.col("id").alias("line"), F.col("component").alias("grp"))
-    wanted = (lines.select("line", "doc_id", "line_no").join(groups, "line").groupBy("line", "grp").agg(F.min(place).alias("at"))
-              .groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("at.line_no", "line", "grp")).alias("wanted")))
+    groups = components(chained.filter("b is not null"), scratch).toDF("line", "grp")
+    wanted = distinct.select("line", "at").join(groups, "line").groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("at.line_no", "line", "grp")).alias("wanted"))
     # Texts of lines are shuffled, not their sets, which are larger.
-    members = map_arrow(named.join(wanted, "doc_id").select("text", "wanted"), _lines, "id long, grp long, weight long, n long, text string")
+    members = map_arrow(named.join(wanted, "doc_id").select("text", "wanted"), _lines, "id binary, grp binary, weight long, n long, text string")
     links = scratch.stage(compare_blocks(in_blocks(scratch.stage(members, "members"), "n", BLOCK), jaccard_links(threshold, _sets)), "links")
-    linked = components(links.select(F.col("id").alias("a"), F.col("other").alias("b")), scratch)
-    classes = lines.select("line", "doc_id", "line_no").join(linked.withColumnRenamed("id", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
-    first = classes.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return (classes.join(first.select("component", "first"), "component").filter(place != F.col("first"))
+    linked = components(links.select(F.col("id").alias("a"), F.col("other").alias("b")), scratch).withColumnRenamed("id", "line")
+    # What may be repeated, line by line: where its component comes first.
+    known = scratch.stage(distinct.select("line", "at", "n").join(linked, "line", "left").filter("component is not null or n > 1"), "known")
+    first = known.filter("component is not null").groupBy("component").agg(F.min("at").alias("first"))
+    first = (known.filter("component is not null").select("line", "component").join(first, "component").select("line", "first")
+             .unionByName(known.filter("component is null").select("line", F.col("at").alias("first"))))
+    return (lines.select("line", "doc_id", "line_no").join(first, "line").filter(place != F.col("first"))
             .groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed")))
 
 
