@@ -15,9 +15,9 @@ empty text.
 
 from __future__ import annotations
 
-import heapq
 import itertools
 import json
+import operator
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -35,13 +35,12 @@ from tenderspark.llm.tokens import SLICE, byte_symbols
 # Fixed: the split pattern of word-level vocabularies, and what it comes to for lower-cased ASCII.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-SHORT = 24  # symbols up to which looking through all pairs is cheaper than a heap
 
 IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 class Encoder:
-    """Ids of texts by the merges of a BPE file of the tokenizers library whose pre-tokenizer drops white space.
+    """Ids of texts by a BPE file of the tokenizers library whose pre-tokenizer drops white space.
 
     `held` bounds how many words and how many fragments are remembered; words
     longer than `longest` never are.
@@ -49,6 +48,7 @@ class Encoder:
 
     def __init__(self, path: str, held: int = 300_000, longest: int = 200):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -60,11 +60,8 @@ class Encoder:
             raise ValueError("texts are cut at white space, which this pre-tokenizer keeps")
         self.end = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
-        number = self.vocab.__getitem__
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((number(left), number(right)), (rank, number(left + right)))
+        self.last = self.library.model.tokenize  # puts the word end on the last symbol
+        self.inner = BPE(self.vocab, [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]).tokenize
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", ())):
             raise ValueError("special strings are looked for in the text as it is")
@@ -81,6 +78,8 @@ class Encoder:
     def cut(self, symbols: str) -> list[str]:
         """A pre-token, in the symbols of its bytes, cut at every pair that occurs inside no token."""
         begin, out, inside = 0, [], self.inside
+        if inside.issuperset(map(operator.add, symbols, symbols[1:])):
+            return [symbols]
         for k in range(1, len(symbols)):
             if symbols[k - 1:k + 1] not in inside:
                 out.append(symbols[begin:k])
@@ -92,10 +91,7 @@ class Encoder:
         """Ids of a fragment; `last`: it ends its pre-token."""
         if (known := self.fragments.get((symbols, last))) is not None:
             return known
-        ids = list(map(self.vocab.__getitem__, symbols))
-        if last:
-            ids[-1] = self.vocab[symbols[-1] + self.end]
-        ids = merged_short(ids, self.merges) if len(ids) <= SHORT else merged(ids, self.merges)
+        ids = [t.id for t in (self.last if last else self.inner)(symbols)]
         if len(symbols) <= self.longest:
             if len(self.fragments) >= self.held:
                 self.fragments.clear()
@@ -153,42 +149,6 @@ def pairs_inside(vocab: Iterable[str], end: str) -> set[str]:
     return found
 
 
-def merged_short(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """As `merged`, by looking through all pairs each time."""
-    while len(ids) > 1:
-        best, at = None, 0
-        for k, pair in enumerate(zip(ids, ids[1:])):
-            if (found := merges.get(pair)) and (best is None or found < best):
-                best, at = found, k
-        if best is None:
-            break
-        ids[at:at + 2] = [best[1]]
-    return ids
-
-
-def merged(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """`ids` after all merges, the lowest rank first and of equal ranks the leftmost."""
-    after = [*range(1, len(ids)), -1]
-    before = list(range(-1, len(ids) - 1))
-    heap = [(found[0], k, pair, found[1]) for k, pair in enumerate(zip(ids, ids[1:])) if (found := merges.get(pair))]
-    heapq.heapify(heap)
-    while heap:
-        _, k, pair, made = heapq.heappop(heap)
-        right = after[k]
-        if right < 0 or (ids[k], ids[right]) != pair:
-            continue  # one of the two was taken by an earlier merge
-        ids[k], ids[right] = made, -1
-        beyond = after[k] = after[right]
-        if beyond >= 0:
-            before[beyond] = k
-            if found := merges.get((made, ids[beyond])):
-                heapq.heappush(heap, (found[0], k, (made, ids[beyond]), found[1]))
-        left = before[k]
-        if left >= 0 and (found := merges.get((ids[left], made))):
-            heapq.heappush(heap, (found[0], left, (ids[left], made), found[1]))
-    return [i for i in ids if i >= 0]
-
-
 class Decoder:
     """Texts of ids as the library's decode without skipping special ids gives them: for files without a decoder, tokens joined by a space; for byte-level ones, their bytes."""
 

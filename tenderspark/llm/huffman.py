@@ -30,6 +30,7 @@ from tenderspark.llm.tokens import SLICE, encoder
 LONGEST = 16
 STEP = 256
 BLOCK_IDS = 1 << 20
+BUCKETS = 1 << 14  # at most: the driver holds a bound and a number for each
 
 CODED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 BITS = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("marks", pa.binary())])
@@ -146,6 +147,18 @@ def _count(dtype: np.dtype):
     return work
 
 
+def _sums(bounds: list[int]):
+    """Ids in each bucket."""
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(len(bounds) + 1, np.int64)
+        for batch in batches:
+            np.add.at(own, _bucket(batch.column(0).to_pylist(), bounds), batch.column(1).to_numpy())
+        used = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(own[used])], names=["bucket", "n"])
+
+    return work
+
+
 def _encode(code: Code, dtype: np.dtype, bounds: list[int]):
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "ids", 1 << 20):
@@ -196,7 +209,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, per_bucket: int = 1 <
 
     Texts are encoded once and kept until the codes are known.  Documents are then
     coded where they lie, so only compressed bits are shuffled; buckets are ranges
-    of document ids of about `per_bucket` ids each.
+    of document ids of about `per_bucket` ids each, more where there would be over
+    `BUCKETS` of them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ids")
@@ -207,16 +221,14 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0, per_bucket: int = 1 <
     lengths = code_lengths(counted["n"].to_numpy(np.int64))
     spark.createDataFrame([(int(i), int(n)) for i, n in zip(ids, lengths)], "id long, length int").coalesce(1).write.parquet(f"{scratch.root}/code")
     code = Code(ids, lengths)
-    buckets = max(1, -(-int(counted["n"].sum()) // per_bucket))
+    buckets = min(BUCKETS, max(1, -(-int(counted["n"].sum()) // per_bucket)))
     cuts = coded.stat.approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.05 / buckets) if buckets > 1 else []
     bounds = sorted({int(x) for x in cuts})
-    bits = map_arrow(coded.select("doc_id", "n", "ids"), _encode(code, enc.dtype, bounds), "bucket int, doc_id long, n long, bits binary, marks binary")
-    bucket = F.lit(0)
-    for k, b in enumerate(bounds):
-        bucket = F.when(F.col("doc_id") >= b, k + 1).otherwise(bucket)
-    totals = coded.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).orderBy("bucket").collect()
+    totals = map_arrow(coded.select("doc_id", "n"), _sums(bounds), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).orderBy("bucket").collect()
     before = dict(zip([r[0] for r in totals], itertools.accumulate([0, *[r[1] for r in totals]])))
-    dealt = bits.repartition(max(1, len(totals)), "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "bits")
+    bits = map_arrow(coded.select("doc_id", "n", "ids"), _encode(code, enc.dtype, bounds), "bucket int, doc_id long, n long, bits binary, marks binary")
+    # A task for each bucket: numbers as they are, as hashes of few numbers collide.
+    dealt = bits.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "bits")
     blocks = map_arrow(dealt, _blocks(before), BLOCK_SQL)
     blocks.write.option("compression", "none").partitionBy("bucket").parquet(f"{scratch.root}/blocks")
     scratch.drop(coded)

@@ -38,7 +38,7 @@ class Chunks:
     generations the older one goes when the younger is full.
     """
 
-    def __init__(self, held: int = 300_000, longest: int = 200):
+    def __init__(self, held: int = 600_000, longest: int = 200):
         self.held = held
         self.longest = longest
         self.known: dict[str, dict] = {" ": {}, "": {}}  # words by what stands before them
@@ -166,7 +166,9 @@ class ChunkEncoder(Chunks):
         if self.model is None:
             return super().words(words, before)
         split, symbols, code = self.model.tokenize, self.symbols, self.code
-        return [array(code, [t.id for t in split((before + w).encode().decode("latin-1").translate(symbols))]).tobytes() for w in words]
+        head = before.translate(symbols)
+        shown = [head + (w if w.isascii() else w.encode().decode("latin-1").translate(symbols)) for w in words]  # letters of ASCII stand for themselves
+        return [array(code, [t.id for t in split(w)]).tobytes() for w in shown]
 
     def spread(self, values: list[bytes], at: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         width = self.dtype.itemsize

@@ -57,14 +57,6 @@ def test_cuts_fall_where_no_token_has_the_pair(words_path):
     assert all(a[-1] + b[0] not in own.inside for a, b in zip(pieces, pieces[1:]))
 
 
-def test_both_ways_to_merge_agree(words_path):
-    own = boundary.Encoder(words_path)
-    rng = random.Random(4)
-    for _ in range(2000):
-        ids = [own.vocab[rng.choice("thenaiogsr")] for _ in range(rng.randint(1, 30))]
-        assert boundary.merged(list(ids), own.merges) == boundary.merged_short(list(ids), own.merges)
-
-
 def test_decoding_of_a_byte_level_file(path):
     byte_level = Tokenizer.from_file(path)
     ids = [e.ids for e in byte_level.encode_batch(some_texts(500, 3), add_special_tokens=False)] + [[10, 220, 50256, 126]]
