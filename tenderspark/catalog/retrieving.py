@@ -95,7 +95,16 @@ def chunk_top_k_in_open_notices(t):
 @query("chunk_top_k_approximate")
 def chunk_top_k_approximate(t):
     queries, items = _vectors(t)
-    return rt.topk_lsh(queries, items, 10, 0.2).withColumn("sim", F.round("sim", 6))
+    return rt.topk_cells(queries, items, 10, 0.2).withColumn("sim", F.round("sim", 6))
+
+
+@query("approximate_recall", "select count(*) as n_exact, true as enough from " + _top(10, 0.2))
+def approximate_recall(t):
+    """Of the exact results of every vector, whether the approximate search gives 0.9 or more, and none besides them with another similarity."""
+    queries, items = _vectors(t)
+    exact = rt.topk_join(queries, items, 10, 0.2).select("query_id", "item_id", F.lit(1).alias("exact"))
+    found = rt.topk_cells(queries, items, 10, 0.2).select("query_id", "item_id", F.lit(1).alias("found"))
+    return exact.join(found, ["query_id", "item_id"], "left").agg(F.count("exact").alias("n_exact"), (F.coalesce(F.count("found") / F.count("exact"), F.lit(1.0)) >= 0.9).alias("enough"))
 
 
 _PAIRS = "(select vec_id as query_id, case when vec_id % 9 = 0 then vec_id % 40 else label end as notice_id from embeddings)"

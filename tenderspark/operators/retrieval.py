@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from tenderspark.functions.common import blank_to_null, drop_blank, head, literals, strip
 from tenderspark.operators.ranking import top_per_key
 
+if TYPE_CHECKING:
+    import numpy as np
+    import pandas as pd
+
 NO_BODY = "(No description provided for this RFP.)"
 NO_PROJECT = "(Empty past performance row.)"
 RULE = "\n\n---\n\n"
@@ -150,6 +153,11 @@ def topk_join(queries: DataFrame, items: DataFrame, k: int = 10, threshold: floa
         pairs = q.drop("part").join(i.drop("part"), ["icell", "qcell"])
     else:
         pairs = q.join(i, "part")
+    return _best_of(pairs, queries, items, k, threshold)
+
+
+def _best_of(pairs: DataFrame, queries: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The best `k` of every query over pairs of blocks (qids, qvecs, iids, ivecs), each pair cut to `k` by itself first."""
     kinds = dict(queries.dtypes)["query_id"], dict(items.dtypes)["item_id"]
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,12 +170,13 @@ def topk_join(queries: DataFrame, items: DataFrame, k: int = 10, threshold: floa
                 if not len(qids) or not len(iids):
                     continue
                 sims = np.frombuffer(qvecs).reshape(len(qids), -1) @ np.frombuffer(ivecs).reshape(len(iids), -1).T
-                ids = np.asarray(iids)
                 rows, cols = np.nonzero(sims > threshold)
-                found = pd.DataFrame({"query_id": np.asarray(qids)[rows], "item_id": ids[cols], "sim": sims[rows, cols]})
-                if len(found) > k:
-                    found = found.sort_values(["sim", "item_id"], ascending=[False, True]).groupby("query_id", sort=False).head(k)
-                out.append(found)
+                sim, ids = sims[rows, cols], np.asarray(iids)[cols]
+                order = np.lexsort((ids, -sim, rows))
+                rows, sim, ids = rows[order], sim[order], ids[order]
+                first = np.searchsorted(rows, rows)  # rows are sorted: where each query's begin
+                keep = np.arange(len(rows)) - first < k
+                out.append(pd.DataFrame({"query_id": np.asarray(qids)[rows[keep]], "item_id": ids[keep], "sim": sim[keep]}))
             if out:
                 yield pd.concat(out)
 
@@ -175,33 +184,117 @@ def topk_join(queries: DataFrame, items: DataFrame, k: int = 10, threshold: floa
     return top_per_key(hits, ["query_id"], [F.col("sim").desc(), F.col("item_id")], k, rank="rank")
 
 
-def _signatures(bits: int, tables: int, seed: int):
-    def sign(vectors: pd.Series) -> pd.Series:
+def _some_vectors(df: DataFrame, ident: str, n: int) -> np.ndarray:
+    """Unit vectors of `n` rows at most, chosen by a hash of their ids."""
+    import numpy as np
+
+    rows = df.filter(F.col("embedding").isNotNull()).select(F.xxhash64(ident).alias("h"), F.col("embedding").cast("array<double>").alias("e")).orderBy("h", "e").limit(n).collect()
+    x = np.array([r["e"] for r in rows], dtype="float64")
+    norm = np.linalg.norm(x, axis=1) if len(x) else np.empty(0)
+    return x[norm > 0] / norm[norm > 0, None]
+
+
+def fit_cells(items: DataFrame, cells: int, sample: int = 20_000, rounds: int = 8, seed: int = 7) -> np.ndarray:
+    """Unit centroids by k-means on the sphere over `sample` items at most."""
+    import numpy as np
+
+    x = _some_vectors(items, "item_id", sample)
+    rng = np.random.default_rng(seed)
+    centroids = x[rng.permutation(len(x))[:cells]]
+    for _ in range(rounds):
+        own = np.concatenate([np.argmax(x[a:a + 4096] @ centroids.T, axis=1) for a in range(0, len(x), 4096)])
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, own, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(norm > 0, sums / np.maximum(norm, 1e-300), centroids)
+    return centroids
+
+
+def _in_cells(df: DataFrame, ident: str, centroids: np.ndarray, probes: int) -> DataFrame:
+    """Blocks of unit vectors by cell: each vector in its `probes` nearest cells; no shuffle."""
+    kind = dict(df.dtypes)[ident]
+    rows = df.filter(F.col("embedding").isNotNull()).select(F.col(ident).alias("ident"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.stack(batch["embedding"].to_numpy())
+            norm = np.linalg.norm(x, axis=1)
+            ids, x = batch["ident"].to_numpy()[norm > 0], x[norm > 0] / norm[norm > 0, None]
+            near = x @ centroids.T
+            near = np.argpartition(-near, probes - 1, axis=1)[:, :probes] if probes < len(centroids) else np.broadcast_to(np.arange(len(centroids)), near.shape)
+            order = np.argsort(near, axis=None, kind="stable")
+            cell, row = near.reshape(-1)[order], order // near.shape[1]
+            cuts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else []
+            out = []
+            for a, b in zip(cuts, np.append(cuts[1:], len(cell)).astype(int)):
+                for c in range(a, b, BLOCK_ROWS):
+                    at = row[c:min(b, c + BLOCK_ROWS)]
+                    out.append((int(cell[a]), ids[at].tolist(), x[at].tobytes()))
+            yield pd.DataFrame(out, columns=["cell", "ids", "vecs"])
 
-        mat = np.stack(vectors.to_numpy())
-        planes = np.random.default_rng(seed).standard_normal((mat.shape[1], tables * bits))
-        high = (mat @ planes > 0).reshape(len(mat), tables, bits)
-        codes = (high * (1 << np.arange(bits))).sum(axis=2)
-        return pd.Series([[f"{t}:{c}" for t, c in enumerate(row)] for row in codes])
+    return rows.mapInPandas(blocks, f"cell int, ids array<{kind}>, vecs binary")
 
-    return F.pandas_udf(sign, ArrayType(StringType()))
 
+def probes_needed(queries: DataFrame, items: DataFrame, centroids: np.ndarray, k: int, threshold: float, target: float, audited: int = 256) -> int:
+    """How many nearest cells of a query hold the share `target` of its `k` nearest items, by `audited` queries compared with all items."""
+    import numpy as np
 
-def topk_lsh(queries: DataFrame, items: DataFrame, k: int = 10, threshold: float = 0.7, bits: int = 8, tables: int = 12,
-             seed: int = 7) -> DataFrame:
-    """As `topk_join`, but only vectors that share a random-hyperplane bucket in one of the tables meet.
+    asked = _some_vectors(queries, "query_id", audited)
+    if not len(asked):
+        return 1
+    place = np.argsort(np.argsort(-(asked @ centroids.T), axis=1), axis=1)  # of each cell in a query's order
+    kind = dict(items.dtypes)["item_id"]
+    rows = items.filter(F.col("embedding").isNotNull()).select("item_id", F.col("embedding").cast("array<double>").alias("embedding"))
 
-    Similarities are exact; recall grows with `tables` and falls with `bits`.
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.stack(batch["embedding"].to_numpy())
+            norm = np.linalg.norm(x, axis=1)
+            ids, x = batch["item_id"].to_numpy()[norm > 0], x[norm > 0] / norm[norm > 0, None]
+            sims = asked @ x.T
+            top = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < len(x) else np.broadcast_to(np.arange(len(x)), sims.shape)
+            q, at = np.repeat(np.arange(len(asked)), top.shape[1]), top.reshape(-1)
+            cell = np.argmax(x @ centroids.T, axis=1)
+            keep = sims[q, at] > threshold
+            yield pd.DataFrame({"q": q[keep], "item_id": ids[at[keep]], "sim": sims[q[keep], at[keep]], "place": place[q[keep], cell[at[keep]]]})
+
+    found = rows.mapInPandas(best, f"q int, item_id {kind}, sim double, place int")
+    # `k` rows for each audited query.
+    places = [r["place"] for r in top_per_key(found, ["q"], [F.col("sim").desc(), F.col("item_id")], k).groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect() for _ in range(r["n"])]
+    if not places:
+        return 1
+    return int(np.sort(places)[max(0, int(np.ceil(target * len(places))) - 1)]) + 1
+
+
+def topk_cells(queries: DataFrame, items: DataFrame, k: int = 10, threshold: float = 0.7, target: float = 0.95, cells: int | None = None,
+               sample: int = 20_000, audited: int = 256) -> DataFrame:
+    """As `topk_join`, but a query meets only the items of the cells nearest to it.
+
+    Cells belong to centroids fitted on `sample` items at most; every item is in
+    the cell of its nearest centroid.  How many cells a query looks into follows
+    from an audit: `audited` queries are compared with all items, and the fewest
+    cells that hold the share `target` of their results are taken.  Vectors
+    without any structure need many cells, clustered ones few.  Similarities are
+    exact.
     """
-    def bucketed(df: DataFrame) -> DataFrame:
-        filled = df.filter(F.col("embedding").isNotNull()).withColumn("embedding", F.col("embedding").cast("array<double>"))
-        return filled.withColumn("bucket", F.explode(_signatures(bits, tables, seed)("embedding")))
-
-    # A pair may meet in every table, so each table's hits are ranked k deep before duplicates go.
-    hits = topk_join(bucketed(queries), bucketed(items), k * tables, threshold, partition="bucket")
-    once = hits.groupBy("query_id", "item_id").agg(F.max("sim").alias("sim"))
-    return top_per_key(once, ["query_id"], [F.col("sim").desc(), F.col("item_id")], k, rank="rank")
+    n = items.count()
+    centroids = fit_cells(items, cells or max(1, min(4096, round(2 * n ** 0.5))), sample)
+    if not len(centroids):
+        return topk_join(queries, items, k, threshold)
+    probes = probes_needed(queries, items, centroids, k, threshold, target, audited)
+    q = _in_cells(queries, "query_id", centroids, probes).select("cell", F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
+    i = _in_cells(items, "item_id", centroids, 1).select("cell", F.col("ids").alias("iids"), F.col("vecs").alias("ivecs"))
+    return _best_of(q.join(i, "cell"), queries, items, k, threshold)
 
 
 # --- evidence texts ------------------------------------------------------------------

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -148,14 +149,27 @@ def test_topk_equals_brute_force_on_a_hot_partition(spark):
             assert got[got.query_id == i].item_id.tolist() == want
 
 
-def test_lsh_recall(spark):
-    base = vectors(300, seed=5)
-    near = base + 0.25 * vectors(300, seed=6)
-    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "item_id bigint, embedding array<double>")
+@pytest.mark.parametrize("k,threshold,noise", [(1, 0.7, 0.25), (10, 0.2, 1.0)])
+def test_recall_of_cells(spark, k, threshold, noise):
+    base = vectors(600, seed=5)
+    near = base + noise * vectors(600, seed=6)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)] + [(1000, None), (1001, [0.0] * base.shape[1])], "item_id bigint, embedding array<double>")
     queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)], "query_id bigint, embedding array<double>")
-    exact = rt.topk_join(queries, items, 1, 0.7).select("query_id", "item_id")
-    fast = rt.topk_lsh(queries, items, 1, 0.7).select("query_id", "item_id")
-    assert fast.join(exact, ["query_id", "item_id"]).count() >= 0.95 * exact.count()
+    exact = {(r.query_id, r.item_id): r.sim for r in rt.topk_join(queries, items, k, threshold).collect()}
+    fast = {(r.query_id, r.item_id): r.sim for r in rt.topk_cells(queries, items, k, threshold, audited=64).collect()}
+    assert len(fast.keys() & exact.keys()) >= 0.9 * len(exact)
+    assert all(abs(fast[p] - exact[p]) < 1e-12 for p in fast.keys() & exact.keys())
+    assert rt.topk_cells(queries, items.limit(0), k, threshold).count() == 0 and rt.topk_cells(queries.limit(0), items, k, threshold).count() == 0
+
+
+def test_clustered_vectors_need_few_cells(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 32)) * 4
+    rows = [(i, (centres[i % 20] + rng.normal(size=32) * 0.3).tolist()) for i in range(1000)]
+    items = spark.createDataFrame(rows, "item_id bigint, embedding array<double>")
+    queries = items.withColumnRenamed("item_id", "query_id")
+    centroids = rt.fit_cells(items, 40)
+    assert rt.probes_needed(queries, items, centroids, 5, 0.7, 0.95) <= 8
 
 
 def test_close_alias_equals_sequence_matching(spark):
