@@ -8,7 +8,7 @@ from tenderspark.schemas import OPPORTUNITY
 from tenderspark.session import scratch_path
 from tenderspark.sources import pages as pg
 from tenderspark.sources import portals as po
-from tenderspark.operators.maintenance import ingest_counts
+from tenderspark.operators.maintenance import ingest_status
 from tenderspark.sources.raw import read_raw, write_processed
 from tenderspark.streaming.intake import stream_intake
 
@@ -135,12 +135,13 @@ def processed_files(t):
     return t.spark.read.parquet(path).select("source", "external_id", "title", "name", "status", "notice_id")
 
 
-
 def _raw_files(t, name):
-    """Land every document as JSON notices, one broken record among them per source file."""
+    """Land every document as JSON notices with keys that no schema lists, one broken record among them per source file."""
     path = scratch_path(t.spark, name)
     notice = F.to_json(F.struct(F.lit("Cal eProcure").alias("source"), F.col("external_id"), F.lit("active").alias("status"), F.col("text").alias("description"),
-                                F.struct(F.array(F.struct(F.col("url").alias("url"), F.lit("Page").alias("label"))).alias("documents")).alias("metadata")))
+                                F.struct(F.array(F.struct(F.col("url").alias("url"), F.lit("Page").alias("label"))).alias("documents"),
+                                         F.struct(F.col("doc_id").alias("seen"), F.lit("no").alias("quiet")).alias("portal_flags")).alias("metadata"),
+                                F.concat(F.lit("run "), (F.col("doc_id") % 3).cast("string")).alias("scraper_run"), F.col("doc_id").alias("rank")))
     body = F.when(F.col("doc_id") % 50 == 7, F.concat(F.lit("broken "), F.col("external_id"))).otherwise(notice)
     t.portal_text.repartition(8, "doc_id").select(body.alias("value")).write.text(path)
     return path
@@ -149,10 +150,27 @@ def _raw_files(t, name):
 _LANDED = "(select external_id, text, url, doc_id % 50 = 7 as broken from {portal_text})"
 
 
-@query("raw_files_accounting", f"select case when broken then 'failed' else 'upserted' end as ingest_status, count(*) as n from {_LANDED} group by 1")
+@query("raw_files_accounting", f"""select case when broken then 'failed' else 'upserted' end as ingest_status, run, count(*) as n, sum(seen)::bigint as seen
+ from (select *, case when not broken then 'run ' || doc_id % 3 end as run, case when not broken then doc_id end as seen from (select *, doc_id % 50 = 7 as broken from {{portal_text}})) group by 1, 2""")
 def raw_files_accounting(t):
-    """Record-per-line files; unreadable ones are counted, not fatal."""
-    return ingest_counts(read_raw(t.spark, [_raw_files(t, "raw")], multi_line=False, suffix="txt"))
+    """Record-per-line files; unreadable ones are counted, not fatal.  `run` and `seen` come from keys that no schema lists."""
+    read = read_raw(t.spark, [_raw_files(t, "raw")], multi_line=False, suffix="txt")
+    run, seen = F.get_json_object("extra", "$.scraper_run"), F.get_json_object("metadata_json", "$.portal_flags.seen").cast("long")
+    return ingest_status(read).groupBy("ingest_status", run.alias("run")).agg(F.count(F.lit(1)).alias("n"), F.sum(seen).alias("seen"))
+
+
+@query("processed_records_with_unknown_keys", """select external_id, 'run ' || doc_id % 3 as run, doc_id as seen, '["source","external_id","title"]' as first_keys, '["metadata","scraper_run","rank"]' as last_keys
+ from {portal_text} where doc_id % 50 <> 7""")
+def processed_records_with_unknown_keys(t):
+    """Raw files written as processed JSON records and read again: unlisted keys stand at the tail."""
+    path = scratch_path(t.spark, "processed-json")
+    read = read_raw(t.spark, [_raw_files(t, "raw-json")], multi_line=False, suffix="txt")
+    write_processed(read.filter("_corrupt_record is null"), path, "json")
+    keys = F.json_object_keys("value")
+    flags = F.get_json_object("value", "$.metadata.portal_flags.seen").cast("long")
+    return t.spark.read.text(path).select(
+        F.get_json_object("value", "$.external_id").alias("external_id"), F.get_json_object("value", "$.scraper_run").alias("run"), flags.alias("seen"),
+        F.to_json(F.slice(keys, 1, 3)).alias("first_keys"), F.to_json(F.slice(keys, -3, 3)).alias("last_keys"))
 
 
 @query("raw_files_streamed", f"select external_id, text as description, url from {_LANDED} where not broken")

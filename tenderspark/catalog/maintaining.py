@@ -42,8 +42,8 @@ def first_arrival_wins(t):
     return op.first_wins(t.events.select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], [F.col("event_id")])
 
 
-@query("notice_rows", """select external_id, department, case when location = 'California' or location_level = 'state' then 'California' end as state, posted_date, status, pdf_url_1, pdf_url_2, pdf_url_3
- from (select external_id, dept as department, location, case when notice_id % 2 = 0 then 'state' else 'city' end as location_level, due_date as posted_date, coalesce(st, 'active') as status,
+@query("notice_rows", """select external_id, department, case when location = 'California' or location_level = 'state' then 'California' end as state, posted_date, status, pdf_url_1, pdf_url_2, pdf_url_3, 'x' || notice_id as odd, notice_id as rank, external_id as raw_id
+ from (select notice_id, external_id, dept as department, location, case when notice_id % 2 = 0 then 'state' else 'city' end as location_level, due_date as posted_date, coalesce(st, 'active') as status,
   case when notice_id % 3 <> 0 then 'u' || notice_id else 'v' || notice_id end as pdf_url_1, case when notice_id % 3 <> 0 then 'v' || notice_id end as pdf_url_2, cast(null as varchar) as pdf_url_3
   from (select *, department as dept, nullif(status, 'closed') as st from {notices}))""")
 def notice_rows(t):
@@ -55,8 +55,12 @@ def notice_rows(t):
         "source", "external_id", "title", "name", "statement_of_work", "deliverables", "description", "location",
         F.when(F.col("notice_id") % 2 == 0, "state").otherwise("city").alias("location_level"), F.col("department").alias("dept"),
         "due_date", F.col("due_date").alias("published_date"), "tags", "is_relevant", none.alias("contact_name"), none.alias("contact_email"),
-        none.alias("contact_phone"), "content_hash", F.nullif("status", F.lit("closed")).alias("status"), docs.alias("documents"))
-    return op.to_notice_row(processed).select("external_id", "department", "state", "posted_date", "status", "pdf_url_1", "pdf_url_2", "pdf_url_3")
+        none.alias("contact_phone"), "content_hash", F.nullif("status", F.lit("closed")).alias("status"), docs.alias("documents"),
+        F.to_json(F.struct(F.struct(F.concat(F.lit("x"), ident).alias("odd")).alias("portal"))).alias("metadata_json"), F.to_json(F.struct(F.col("notice_id").alias("rank"))).alias("extra"))
+    # `odd` and `rank` stand under keys that no schema lists.
+    return op.to_notice_row(processed).select(
+        "external_id", "department", "state", "posted_date", "status", "pdf_url_1", "pdf_url_2", "pdf_url_3", F.get_json_object("metadata", "$.portal.odd").alias("odd"),
+        F.get_json_object("raw_data", "$.rank").cast("long").alias("rank"), F.get_json_object("raw_data", "$.external_id").alias("raw_id"))
 
 
 _MERGED = f"""(select coalesce(o.source, n.source) as source, coalesce(o.external_id, n.external_id) as external_id, coalesce(n.title, o.title) as title,

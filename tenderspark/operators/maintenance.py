@@ -12,6 +12,7 @@ from tenderspark.functions.common import blank_to_null, drop_blank, strip
 from tenderspark.functions.normalize import safe_id
 from tenderspark.operators.ranking import first_by, last_before, rank_rows, top_per_key
 from tenderspark.session import stage
+from tenderspark.sources.raw import metadata_text, processed_json
 
 SLOTS = 10
 
@@ -27,8 +28,8 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return first_by(df, keys, order)
 
 
-def to_notice_row(df: DataFrame) -> DataFrame:
-    """Processed record -> table row: renamed fields, state, URL slots, empty arrays instead of null."""
+def to_notice_row(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Processed record -> table row: renamed fields, state, URL slots, empty arrays instead of null, metadata and the whole record as JSON."""
     state = F.when((F.col("location_level") == "state") | (F.col("location") == "California"), F.lit("California"))
     urls = F.filter(F.transform("documents", lambda d: d["url"]), lambda u: u.isNotNull() & (u != ""))
     empty = F.array().cast("array<string>")
@@ -39,7 +40,8 @@ def to_notice_row(df: DataFrame) -> DataFrame:
         F.coalesce("deliverables", empty).alias("deliverables"), "description", "location", "location_level",
         state.alias("state"), F.col("dept").alias("department"), "due_date", F.col("published_date").alias("posted_date"),
         F.coalesce("tags", empty).alias("tags"), "is_relevant", "contact_name", "contact_email", "contact_phone",
-        "content_hash", F.coalesce("status", F.lit("active")).alias("status"), *slots)
+        "content_hash", F.coalesce("status", F.lit("active")).alias("status"),
+        metadata_text(df).alias("metadata"), processed_json(df).alias("raw_data"), *slots, *keep)
 
 
 def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -84,6 +86,18 @@ def merge_sparse(base: DataFrame, updates: DataFrame, keys: Sequence[str], overw
     return both.select(*keys, *cols).select(*base.columns)
 
 
+def fold_updates(updates: DataFrame, keys: Sequence[str], order: Sequence[str], overwrite: Sequence[str] = ()) -> DataFrame:
+    """The updates of each key as one: every field's last value that isn't null, of `overwrite` fields the last one as it is.
+
+    Merged at once this gives what merging them one after the other in `order`
+    (columns, greatest last; they don't stay) would.  An aggregate, so a key with
+    many updates is folded before the shuffle.
+    """
+    at = F.struct(*order)
+    last = [F.max_by(c, at if c in overwrite else F.when(F.col(c).isNotNull(), at)).alias(c) for c in updates.columns if c not in keys and c not in order]
+    return keyed(updates, keys).groupBy(*keys).agg(*last).select(*[c for c in updates.columns if c not in order])
+
+
 def amendments(base: DataFrame, updates: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """One row per known notice whose content hash differs, with its changed fields.
 

@@ -199,6 +199,8 @@ def fit_cells(items: DataFrame, cells: int, sample: int = 20_000, rounds: int =
     import numpy as np
 
     x = _some_vectors(items, "item_id", sample)
+    if not len(x):
+        return x
     rng = np.random.default_rng(seed)
     centroids = x[rng.permutation(len(x))[:cells]]
     for _ in range(rounds):

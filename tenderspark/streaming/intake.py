@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tenderspark.operators.maintenance import merge_sparse
-from tenderspark.schemas import RAW_NOTICE
+from tenderspark.sources.raw import parse_notices
 
 
 def raw_stream(spark: SparkSession, in_dir: str, archive_dir: str | None = None, prefix: str | None = None,
                multi_line: bool = True, suffix: str = "json") -> DataFrame:
     """New JSON notices of a folder.  With `archive_dir` a file moves there once a later batch has committed."""
-    reader = spark.readStream.schema(RAW_NOTICE).option("multiLine", multi_line).option("pathGlobFilter", f"{prefix or ''}*.{suffix}")
+    reader = spark.readStream.option("pathGlobFilter", f"{prefix or ''}*.{suffix}")
     if archive_dir:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
-    return reader.json(in_dir)
+    return parse_notices(reader.text(in_dir, wholetext=multi_line).select("value", F.col("_metadata.file_name").alias("file_name")))
 
 
 def stream_intake(spark: SparkSession, in_dir: str, archive_dir: str | None, out_dir: str, checkpoint: str,
