@@ -36,7 +36,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tenderspark.llm.common import Scratch, batch_of, map_arrow, runs
-from tenderspark.llm.groups import compare_blocks, components, in_blocks
+from tenderspark.llm.groups import between, compare_blocks, components, in_blocks
 from tenderspark.llm.vectors import matrix, unit, vectors
 
 TABLES = 32
@@ -142,10 +142,7 @@ def _meet(floor: float):
 def cosine_links(threshold: float) -> Callable[[pa.Table, np.ndarray | None], np.ndarray]:
     def linked(table: pa.Table, side: np.ndarray | None) -> np.ndarray:
         x = unit(matrix(table["vec"], table["dim"][0].as_py()))
-        hit = x @ x.T >= threshold
-        if side is not None:
-            hit &= side[:, None] != side[None, :]
-        return hit
+        return between(side, len(x), lambda a, b: x[a] @ x[b].T >= threshold)
 
     return linked
 

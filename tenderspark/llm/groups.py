@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tenderspark.llm.common import Scratch, map_arrow, runs
 
-MEMBERS = 1000  # of a block, so the matrices of two blocks stay below 200 MB
+MEMBERS = 500  # of a block, so the matrices of two blocks take a few MB
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -120,30 +120,42 @@ def jaccard_links(threshold: float, sets_of: Callable[[pa.Table], list[np.ndarra
     def linked(table: pa.Table, side: np.ndarray | None) -> np.ndarray:
         sets = sets_of(table)
         size = np.array([len(s) for s in sets])
-        both = shared(sets, size)
-        union = (size[:, None] + size[None, :]).astype(np.float64)
-        union -= both
-        hit = np.divide(both, np.maximum(union, 1, out=union), out=union) >= threshold
-        if side is not None:
-            hit &= side[:, None] != side[None, :]
-        return hit
+
+        def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            both = shared(sets, size, a, b)
+            return both / np.maximum(size[a][:, None] + size[b][None, :] - both, 1) >= threshold
+
+        return between(side, len(sets), similar)
 
     return linked
 
 
-def shared(sets: list[np.ndarray], size: np.ndarray) -> np.ndarray:
-    """Sizes of all pairwise intersections."""
+def between(side: np.ndarray | None, n: int, similar: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The links of `n` members: all that `similar` finds among them, or with `side` only those from one side to the other."""
+    if side is None:
+        return similar(np.arange(n), np.arange(n))
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    hit = np.zeros((n, n), bool)
+    if len(a) and len(b):
+        found = similar(a, b)
+        hit[np.ix_(a, b)] = found
+        hit[np.ix_(b, a)] = found.T
+    return hit
+
+
+def shared(sets: list[np.ndarray], size: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets `rows` with the sets `cols`."""
     n = len(sets)
     if n == 2:
-        m = float(len(np.intersect1d(sets[0], sets[1], assume_unique=True)))
-        return np.array([[size[0], m], [m, size[1]]], dtype=np.float32)
+        m = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return np.array([[size[0], m], [m, size[1]]], dtype=np.float64)[np.ix_(rows, cols)]
     owner = np.repeat(np.arange(n), size)
     values = np.concatenate(sets)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     start = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
     count = np.diff(np.append(start, len(values)))
-    both = np.zeros((n, n), dtype=np.float32)
+    both = np.zeros((len(rows), len(cols)), dtype=np.float32)
     everywhere = count == n  # held by all: a constant
     both += float(everywhere.sum())
     keep = (count > 1) & ~everywhere
@@ -153,5 +165,5 @@ def shared(sets: list[np.ndarray], size: np.ndarray) -> np.ndarray:
         a, b = np.searchsorted(column, [low, low + 4096])
         held = np.zeros((n, min(4096, int(keep.sum()) - low)), dtype=np.float32)
         held[owner[a:b], column[a:b] - low] = 1
-        both += held @ held.T
-    return both
+        both += held[rows] @ held[cols].T
+    return both.astype(np.float64)

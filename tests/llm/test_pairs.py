@@ -257,3 +257,23 @@ def test_equal_cosines_go_to_the_smaller_id(spark):
     rows = [(0, [1.0, 0.0]), (9, [2.0, 2.0]), (4, [4.0, 4.0]), (7, [0.5, 0.5]), (1, [0.0, 1.0]), (2, [2.0**700, 2.0**700]), (3, [2.0**-700, 2.0**-700])]
     got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=5).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [2, 3, 4, 7, 9] and len({r["score"] for r in got}) == 1
+
+
+def test_blocks_hold_few_members_however_short(spark):
+    """Time stamps hang together by the thousand and are short."""
+    rows = [(k, "x", 1, 16, f"2024-01-{k % 28 + 1:02d} 10:{k % 60:02d}:{k % 59:02d}.{k:05d}") for k in range(3000)]
+    members = spark.createDataFrame(rows, "id long, grp string, weight long, n long, text string")
+    blocks = groups.in_blocks(members, "n", lines.BLOCK)
+    assert blocks.groupBy("grp", "i", "j").count().agg({"count": "max"}).first()[0] <= 2.3 * groups.MEMBERS
+    got = groups.compare_blocks(blocks, groups.jaccard_links(0.8, lines._sets)).groupBy("id").agg(F.sum("links").alias("links")).collect()
+    sets = [{t[k:k + lines.SHINGLE] for k in range(len(t) - lines.SHINGLE + 1)} for *_, t in rows]
+    want = Counter(i for i, j in itertools.combinations(range(600), 2) for i, j in ((i, j), (j, i)) if jaccard(sets[i], sets[j]) >= 0.8)
+    assert all(r["links"] >= want[r["id"]] for r in got) and set(want) <= {r["id"] for r in got}
+
+
+def test_components_of_binary_ids(spark):
+    rng = random.Random(9)
+    pairs = [(rng.randbytes(1) * 16, rng.randbytes(1) * 16) for _ in range(150)]
+    want = parts({x for p in pairs for x in p}, pairs)
+    got = {bytes(r["id"]): bytes(r["component"]) for r in groups.components(spark.createDataFrame(pairs, "a binary, b binary"), Scratch(spark, "test")).collect()}
+    assert got == {i: c for i, c in want.items() if i in got} and len(got) >= len({x for p in pairs if p[0] != p[1] for x in p})
