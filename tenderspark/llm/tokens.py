@@ -27,6 +27,18 @@ def _word(piece: str) -> tuple[str, str] | None:
     return (core, piece[len(core):]) if core.isalpha() else None
 
 
+def _after(pieces: pa.Array, cores: pa.Array) -> pa.Array:
+    """What stands after its core in each piece, which begins with it."""
+    _, offsets, data = pieces.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[pieces.offset:pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data else np.empty(0, np.uint8)
+    size = pc.binary_length(cores).to_numpy(zero_copy_only=False).astype(np.int64)
+    length = np.diff(offsets)
+    keep = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], length) >= np.repeat(size, length)
+    ends = np.append(0, np.cumsum(length - size))
+    return pa.Array.from_buffers(pa.large_string(), len(pieces), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[keep]))])
+
+
 class Chunks:
     """Values of whole texts from the values of their chunks, each distinct chunk worked out once.
 
@@ -104,22 +116,36 @@ class Chunks:
         cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         bounds = cut.offsets.to_numpy()
         coded = cut.values.dictionary_encode()
-        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        own = self._values(pieces)
-        heads = {}
-        for k in (first := at[bounds[:-1]]).tolist():
-            heads.setdefault(k, len(own) + len(heads))
-        by_pattern = np.array([v is None for v in own])
+        at = coded.indices.to_numpy().astype(np.int64)
+        # Words of ASCII letters and the punctuation after them: two values each, so only distinct words and distinct tails are touched one by one.
+        cores = pc.utf8_rtrim(coded.dictionary, _TAIL)
+        plain = pc.ascii_is_alpha(cores).to_numpy(zero_copy_only=False)
+        words = cores.filter(pa.array(plain)).dictionary_encode()
+        tails = _after(coded.dictionary.filter(pa.array(plain)), cores.filter(pa.array(plain))).dictionary_encode()
+        known, listed = words.dictionary.to_pylist(), tails.dictionary.to_pylist()
+        values = list(map(self._of_words(known, " ").__getitem__, known)) + self.compute(listed)
+        nothing = len(values)
+        first, second = np.empty(len(plain), np.int64), np.full(len(plain), nothing)
+        first[plain], second[plain] = words.indices.to_numpy(), len(known) + tails.indices.to_numpy().astype(np.int64)
+        values += self.compute([""])
+        first[~plain] = len(values) + np.arange(int((~plain).sum()))
+        others = self._values(coded.dictionary.filter(pa.array(~plain)).to_pylist())
+        by_pattern = np.zeros(len(plain), bool)
+        by_pattern[~plain] = [v is None for v in others]
+        values += [values[nothing] if v is None else v for v in others]
+        # The first piece of a text has no space before it.
+        begins = at[bounds[:-1]]
+        heads, head = np.unique(begins, return_inverse=True)
+        odd = np.empty(0, np.int64)
         if by_pattern.any():
-            odd = by_pattern[at]
-            odd[bounds[:-1]] = False
-            odd = np.flatnonzero(np.add.reduceat(odd, bounds[:-1], dtype=np.int64))
-        else:
-            odd = []
-        at[bounds[:-1]] = [heads[k] for k in first.tolist()]
-        nothing = self.compute([""])[0]
-        out = self.spread([nothing if v is None else v for v in own] + self.compute([pieces[k] for k in heads]), at, bounds)
-        for k in odd:
+            found = by_pattern[at]
+            found[bounds[:-1]] = False
+            odd = np.flatnonzero(np.add.reduceat(found, bounds[:-1], dtype=np.int64))
+        places = np.stack([first[at], second[at]], axis=1)
+        places[bounds[:-1], 0], places[bounds[:-1], 1] = len(values) + head, nothing
+        values += self.compute(coded.dictionary.take(pa.array(heads)).to_pylist())
+        out = self.spread(values, places.reshape(-1), bounds * 2)
+        for k in odd.tolist():
             out[k] = self._by_pattern(texts[k])
         return out
 
