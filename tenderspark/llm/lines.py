@@ -30,6 +30,7 @@ from tenderspark.llm.sketch import MinHash, windows
 SHINGLE = 8
 BANDS, ROWS = 10, 4
 BLOCK = 1 << 18
+PART = 1 << 19
 
 LINE = pa.schema([("line", pa.binary()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("bands", pa.binary())])
 MEMBER = pa.schema([("id", pa.binary()), ("grp", pa.binary()), ("weight", pa.int64()), ("n", pa.int64()), ("text", pa.string())])
@@ -52,24 +53,38 @@ def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return windows(symbols, SHINGLE), np.cumsum(length) - length, length - SHINGLE + 1
 
 
-def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = MinHash(BANDS * ROWS, 4)
+def _numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, str]]:
+    """All lines that aren't blank, with their documents and numbers."""
     for batch in slices(batches, "text", 1 << 20):
-        docs, numbers, lines = [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for k, line in enumerate(text.split("\n")):
                 if found := plain(line):
-                    docs.append(doc)
-                    numbers.append(k)
-                    lines.append(found)
-        if not lines:
-            continue
+                    yield doc, k, found
+
+
+def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and bands of lines, `PART` characters at a time: a text may be longer than any slice."""
+    hashes = MinHash(BANDS * ROWS, 4)
+    held: list[tuple[int, int, str]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        docs, numbers, lines = map(list, zip(*held))
         signature = hashes.of(*_shingles(lines)).astype(np.uint64).reshape(len(lines), BANDS, ROWS)
         band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64)[None, :, None], (len(lines), BANDS, 1))
         data = windows(np.concatenate([band, signature], axis=2).reshape(-1), ROWS + 1)[::ROWS + 1].tobytes()
         width = BANDS * 8
-        yield batch_of(LINE, line=[_key(s) for s in lines], doc_id=docs, line_no=numbers,
-                       bands=[data[k:k + width] for k in range(0, len(data), width)])
+        return batch_of(LINE, line=[_key(s) for s in lines], doc_id=docs, line_no=numbers,
+                        bands=[data[k:k + width] for k in range(0, len(data), width)])
+
+    for row in _numbered(batches):
+        held.append(row)
+        size += max(len(row[2]), SHINGLE)
+        if size >= PART:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
 
 
 def _explode_bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

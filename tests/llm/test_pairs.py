@@ -277,3 +277,12 @@ def test_components_of_binary_ids(spark):
     want = parts({x for p in pairs for x in p}, pairs)
     got = {bytes(r["id"]): bytes(r["component"]) for r in groups.components(spark.createDataFrame(pairs, "a binary, b binary"), Scratch(spark, "test")).collect()}
     assert got == {i: c for i, c in want.items() if i in got} and len(got) >= len({x for p in pairs if p[0] != p[1] for x in p})
+
+
+def test_a_text_longer_than_a_batch_loses_its_repeated_lines(spark):
+    rng = random.Random(11)
+    line = lambda: "".join(rng.choice("abcdefghijklmnop ") for _ in range(120))
+    body = [line() for _ in range(80_000)]  # 9.7 MB
+    rows = [(1, "\n".join(body)), (2, "\n".join([line(), body[7], body[79_999]])), (3, body[5])]
+    got = {r["doc_id"]: r["removed"] for r in lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: [1, 2], 3: [0]}
