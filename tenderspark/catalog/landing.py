@@ -180,5 +180,5 @@ def raw_files_streamed(t):
     def keep(batch):
         return batch.filter("external_id is not null").select("external_id", "description", F.col("metadata.documents")[0]["url"].alias("url"))
 
-    stream_intake(t.spark, source, None, out, scratch_path(t.spark, "raw-stream-checkpoint"), keep, multi_line=False, suffix="txt").awaitTermination()
+    stream_intake(t.spark, source, out, scratch_path(t.spark, "raw-stream-checkpoint"), keep, multi_line=False, suffix="txt").awaitTermination()
     return t.spark.read.parquet(out).drop("batch")

@@ -11,7 +11,6 @@ from tenderspark.fixed import BID_STATUSES
 from tenderspark.functions.common import blank_to_null, drop_blank, strip
 from tenderspark.functions.normalize import safe_id
 from tenderspark.operators.ranking import first_by, last_before, rank_rows, top_per_key
-from tenderspark.session import stage
 from tenderspark.sources.raw import metadata_text, processed_json
 
 SLOTS = 10
@@ -216,51 +215,66 @@ def merge_scores(base: DataFrame, new: DataFrame, keep: int = 100) -> DataFrame:
     return keep_newest(merged, "contractor_id", "computed_at", "notice_id", keep)
 
 
-def apply_saved_changes(base: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply a log of save / unsave / note / status changes to the saved list.
-
-    `base`: contractor_id, notice_id, saved_at, sort_position, notes, bid_status.
-    `changes`: change_id, contractor_id, notice_id, kind, value, ts.
-    Returns (new list, rejected changes).  A note or status for a notice that
-    is not saved at that moment is rejected.  Unsaving forgets the row; a new
-    save starts with no note and `reviewing`, behind the kept rows in save order.
-    The log with the state before each change is staged, as both results read it.
+PAIR = ["contractor_id", "notice_id"]
+
+
+def saved_state(base: DataFrame) -> DataFrame:
+    """A saved list as the state that changes are folded into: its rows, all `kept` so far."""
+    return base.withColumn("kept", F.lit(True))
+
+
+def fold_saved_changes(state: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One state row per saved (contractor, notice), with a log of save / unsave / note / status changes folded in.
+
+    `state`: contractor_id, notice_id, saved_at, sort_position, notes, bid_status,
+    kept.  `changes`: change_id, contractor_id, notice_id, kind, value, ts.  Returns
+    (new state, rejected changes).  A note or status for a notice that is not saved
+    at that moment is rejected.  Unsaving forgets the row; a new save starts with
+    no note and `reviewing`.  Folding a log in parts, in the order of time, gives
+    the state that folding it at once gives.
     """
-    pair = ["contractor_id", "notice_id"]
-    held = base.select(*pair, F.lit(True).alias("_held"))
+    held = state.select(*PAIR, F.lit(True).alias("_held"))
     toggle = F.when(F.col("kind").isin("save", "unsave"), F.col("kind"))
-    log = last_before(changes, pair, "ts", "change_id", toggle, "_state").join(held, pair, "left")
+    log = last_before(changes, PAIR, "ts", "change_id", toggle, "_state").join(held, PAIR, "left")
     saved_now = F.coalesce(F.col("_state") == "save", F.col("_held"), F.lit(False))
     edit = F.col("kind").isin("note", "status")
     valid_value = (F.col("kind") != "status") | F.col("value").isin(*BID_STATUSES)
-    log = log.withColumn("_ok", ~edit | (saved_now & F.coalesce(valid_value, F.lit(False))))
-    # A save that really inserts: the notice was not saved before it.
-    log = stage(log.withColumn("_insert", (F.col("kind") == "save") & ~saved_now), "saved-log")
+    log = log.withColumn("_ok", ~edit | (saved_now & F.coalesce(valid_value, F.lit(False)))).withColumn("_saved_now", saved_now)
     moment = F.struct("ts", "change_id")
-    marks = log.groupBy(*pair).agg(
-        F.max_by("kind", F.when(toggle.isNotNull(), moment)).alias("_last"),
-        F.max(F.when(F.col("kind") == "unsave", moment)).alias("_unsaved"),
-        F.max(F.when(F.col("_insert"), moment)).alias("_inserted"))
-    current = log.filter(edit & F.col("_ok")).join(marks.select(*pair, "_unsaved", "_inserted"), pair) \
-        .filter(F.col("_unsaved").isNull() | (moment > F.col("_unsaved")))
-    edits = current.groupBy(*pair).agg(
-        F.max_by(F.struct(F.nullif(strip("value"), F.lit("")).alias("v")), F.when(F.col("kind") == "note", moment)).alias("_note"),
-        F.max_by("value", F.when(F.col("kind") == "status", moment)).alias("_status"))
-    full = base.withColumn("_held", F.lit(True)).join(marks, pair, "full_outer").join(edits, pair, "left")
+    at = lambda rows: F.when(rows, moment)
+    accepted = lambda kind: at((F.col("kind") == kind) & F.col("_ok"))
+    marks = log.groupBy(*PAIR).agg(
+        F.max_by("kind", at(toggle.isNotNull())).alias("_last"),
+        F.max(at(F.col("kind") == "unsave")).alias("_unsaved"),
+        F.max(at((F.col("kind") == "save") & ~F.col("_saved_now"))).alias("_inserted"),  # a save that really inserts
+        F.max_by(F.struct(F.nullif(strip("value"), F.lit("")).alias("v"), moment.alias("at")), accepted("note")).alias("_note"),
+        F.max_by(F.struct(F.col("value").alias("v"), moment.alias("at")), accepted("status")).alias("_status"))
+    # The last edit counts unless the row was forgotten after it.
+    fresh = lambda c: F.col(c).isNotNull() & (F.col("_unsaved").isNull() | (F.col(f"{c}.at") > F.col("_unsaved")))
+    full = state.withColumn("_held", F.lit(True)).join(marks, PAIR, "full_outer")
     alive = full.filter(F.coalesce(F.col("_last") == "save", F.col("_last").isNull() & F.col("_held"), F.lit(False)))
-    kept = F.coalesce("_held", F.lit(False)) & F.col("_unsaved").isNull()
+    stayed = F.coalesce("_held", F.lit(False)) & F.col("_unsaved").isNull()
     rows = alive.select(
-        *pair, kept.alias("_kept"),
-        F.when(kept, F.col("saved_at")).otherwise(F.col("_inserted.ts")).alias("saved_at"),
-        F.when(kept, F.col("sort_position")).alias("sort_position"),
-        F.when(F.col("_note").isNotNull(), F.col("_note.v")).when(kept, F.col("notes")).alias("notes"),
-        F.coalesce("_status", F.when(kept, F.col("bid_status")), F.lit("reviewing")).alias("bid_status"))
-    tops = rows.filter("_kept").groupBy("contractor_id").agg(F.max(F.coalesce("sort_position", F.lit(-1))).alias("_top"))
-    added = rank_rows(rows.filter("not _kept"), ["contractor_id"], [F.col("saved_at"), F.col("notice_id")],
+        *PAIR, F.when(stayed, F.col("saved_at")).otherwise(F.col("_inserted.ts")).alias("saved_at"), F.when(stayed, F.col("sort_position")).alias("sort_position"),
+        F.when(fresh("_note"), F.col("_note.v")).when(stayed, F.col("notes")).alias("notes"),
+        F.coalesce(F.when(fresh("_status"), F.col("_status.v")), F.when(stayed, F.col("bid_status")), F.lit("reviewing")).alias("bid_status"),
+        (stayed & F.coalesce("kept", F.lit(False))).alias("kept"))
+    return rows, log.filter(~F.col("_ok")).select(*changes.columns)
+
+
+def saved_list(state: DataFrame) -> DataFrame:
+    """The saved list of a state: new saves stand behind the kept rows, in the order in which they were saved."""
+    tops = state.filter("kept").groupBy("contractor_id").agg(F.max(F.coalesce("sort_position", F.lit(-1))).alias("_top"))
+    added = rank_rows(state.filter("not kept"), ["contractor_id"], [F.col("saved_at"), F.col("notice_id")],
                       [(F.date_trunc("hour", "saved_at"), True)], "_rank").join(tops, "contractor_id", "left") \
         .withColumn("sort_position", (F.coalesce("_top", F.lit(-1)) + F.col("_rank")).cast("int")).drop("_rank", "_top")
-    out = rows.filter("_kept").unionByName(added).drop("_kept")
-    return out, log.filter(~F.col("_ok")).select(*changes.columns)
+    return state.filter("kept").unionByName(added).drop("kept")
+
+
+def apply_saved_changes(base: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new saved list, rejected changes): a whole log folded into a saved list at once."""
+    state, rejected = fold_saved_changes(saved_state(base), changes)
+    return saved_list(state), rejected
 
 
 def purge_orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:

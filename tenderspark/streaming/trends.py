@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,3 +28,15 @@ def write_stream(df: DataFrame, out_dir: str, checkpoint: str) -> StreamingQuery
     """Append finished rows to a table until the source is drained."""
     return df.writeStream.outputMode("append").format("parquet").option("path", out_dir) \
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def open_counts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The windows that a run of `stream_counts` has left open, as its state holds them: with the emitted ones all counts so far."""
+    return spark.read.format("statestore").load(checkpoint).select(
+        F.col("key.window.start").alias("window_start"), F.col("key.window.end").alias("window_end"), "key.event_type", F.col("value.count").alias("n"))
+
+
+def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The sessions that a run of `stream_sessions` has left open."""
+    return spark.read.format("statestore").load(checkpoint).select(
+        "value.user_id", F.col("value.session_window.start").alias("session_start"), F.col("value.session_window.end").alias("session_end"), F.col("value.count").alias("n"))

@@ -3,13 +3,16 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from tenderspark.operators import maintenance as mt
 from tenderspark.operators.maintenance import ingest_counts, to_notice_row
 from tenderspark.operators.departments import alias_table
 from tenderspark.plans.ingest import flatten_metadata, ingest, process
 from tenderspark.sources.raw import read_raw, write_processed
-from tenderspark.streaming.intake import read_latest_views, stream_intake, stream_latest_views
+from tenderspark.streaming import buckets
+from tenderspark.streaming.intake import archive_committed, intake, read_latest_views, stream_latest_views
 
 
 def land(folder, name, **fields):
@@ -29,16 +32,69 @@ def test_reader_counts_broken_files(spark, tmp_path):
 def test_intake_handles_each_file_once(spark, tmp_path):
     src, out, check, archive = (str(tmp_path / n) for n in ("in", "out", "check", "archive"))
     os.mkdir(src)
-    run = lambda: stream_intake(spark, src, archive, out, check, lambda b: b.select("external_id")).awaitTermination()
-    land(src, "a.json", external_id="1")
-    run()
+    run = lambda: intake(spark, src, archive, out, check, lambda b: b.select("external_id"))
+    land(src, "a b.json", external_id="1")
+    assert run() == 1 and os.listdir(archive) == ["a b.json"] and os.listdir(src) == []
     land(src, "b.json", external_id="2")
-    run()
-    run()
+    assert run() == 1 and run() == 0 and sorted(os.listdir(archive)) == ["a b.json", "b.json"]
     ids = sorted(r.external_id for r in spark.read.parquet(out).collect())
     assert ids == ["1", "2"]
 
 
+def test_files_of_a_batch_that_broke_off_stay(spark, tmp_path):
+    src, out, check, archive = (str(tmp_path / n) for n in ("in", "out", "check", "archive"))
+    os.mkdir(src)
+    land(src, "a.json", external_id="1")
+
+    def broken(batch):
+        raise RuntimeError("broken on purpose")
+
+    with pytest.raises(Exception, match="broken on purpose"):
+        intake(spark, src, archive, out, check, broken)
+    os.makedirs(os.path.join(check, "commits"), exist_ok=True)
+    assert archive_committed(spark, check, archive) == 0 and os.listdir(src) == ["a.json"]
+    assert intake(spark, src, archive, out, check, lambda b: b.select("external_id")) == 1
+    assert [r.external_id for r in spark.read.parquet(out).collect()] == ["1"]
+
+
+def test_a_change_reads_and_writes_only_its_buckets(spark, tmp_path):
+    root, keys = str(tmp_path / "t"), ["id"]
+    base = spark.range(200).select(F.col("id"), F.lit("old").alias("v"))
+    buckets.create(base, root, keys, 32)
+    new = lambda k: spark.createDataFrame([(k, "new")], "id long, v string")
+    fold = lambda before, batch: mt.merge_sparse(before, batch, keys)
+    touched = buckets.change(new(5), root, 1, keys, fold)
+    assert len(touched) == 1
+    files = lambda v: {f.removeprefix("file:") for f in buckets.read(spark, root, v).inputFiles()}
+    assert len(files(0) - files(1)) == len(files(1) - files(0)) == 1 and all(f"_b={touched[0]}/" in f for f in files(1) - files(0))
+    # Files of other buckets are spoilt: a change that read them would fail.
+    other = next(k for k in range(200) if k != 5 and buckets.change(new(k), root, 2, keys, fold) != touched)
+    for f in files(2):
+        if f"_b={touched[0]}/" not in f:
+            with open(f, "w") as out:
+                out.write("spoilt")
+    assert buckets.change(new(5), root, 3, keys, fold) == touched
+    assert not os.path.exists(os.path.join(root, "data", "v=0", f"_b={touched[0]}")) and sorted(os.listdir(os.path.join(root, "manifest"))) == ["v=2", "v=3"]
+    assert other != 5 and buckets.read(spark, root, 3, touched).filter("id = 5").first().v == "new"
+
+
+def test_changes_add_remove_and_run_again(spark, tmp_path):
+    root, keys = str(tmp_path / "t"), ["id"]
+    df = lambda rows: spark.createDataFrame(rows, "id long, v string")
+    buckets.create(df([]), root, keys, 4)
+    assert buckets.read(spark, root).count() == 0
+    add = lambda before, batch: before.unionByName(batch)
+    drop = lambda before, batch: before.join(batch, "id", "left_anti")
+    for _ in range(2):  # the same change again, as after a lost driver
+        buckets.change(df([(k, "a") for k in range(10)]), root, 1, keys, add)
+    buckets.change(df([(k, "a") for k in range(10) if k != 3]), root, 2, keys, drop)
+    assert buckets.read(spark, root).collect() == [(3, "a")]
+    buckets.change(df([(3, "a")]), root, 3, keys, drop)
+    assert buckets.read(spark, root).count() == 0
+    buckets.change(df([(7, "b")]), root, 4, keys, add)
+    assert buckets.read(spark, root).collect() == [(7, "b")]
+
+
 def test_processed_output_keeps_other_sources(spark, tmp_path):
     path = str(tmp_path / "out")
     make = lambda rows: spark.createDataFrame(rows, "zz int, title string, source string, external_id string")
