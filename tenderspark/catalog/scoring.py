@@ -9,10 +9,10 @@ from tenderspark.fixed import AGENCY_STOPWORDS, KEYWORD_STOPWORDS, PLACE_STOPWOR
 from tenderspark.operators import feed
 from tenderspark.operators import scoring as sc
 from tenderspark.operators.departments import alias_table
-from tenderspark.plans.score import score_pairs
+from tenderspark.plans.score import refresh_scores, score_pairs
 from tenderspark.session import stage
 
-_PAIRS = "(select contractor_id, notice_id from {saved} where notice_id in (select notice_id from {notices}) and contractor_id in (select contractor_id from {contractors}) union select contractor_id, notice_id from " + _CANDIDATES.replace("{cap}", "10") + ")"
+_PAIRS = "(select contractor_id, notice_id from {saved} where notice_id in (select notice_id from {notices}) and contractor_id in (select contractor_id from {contractors}) union select contractor_id, notice_id from " + _CANDIDATES.replace("{cap}", "100") + ")"
 _ROWS = f"""(select contractor_id, notice_id, n.*exclude (notice_id, naics_codes), c.* exclude (contractor_id, naics_codes), n.naics_codes as required_codes, c.naics_codes as held_codes
  from {_PAIRS} join {{notices}} n using (notice_id) join {{contractors}} c using (contractor_id))""".replace("n.*exclude", "n.* exclude")
 
@@ -22,9 +22,9 @@ def _list(ws):
 
 
 def _pairs(t):
-    """Saved notices of every contractor and the first ten unscored ones of the feed, staged once."""
+    """Saved notices of every contractor and the first 100 unscored ones of the feed, staged once."""
     ready = feed.has_signal(t.contractors, t.past_projects)
-    fresh = feed.candidate_pairs(ready, feed.base_feed(t.notices), t.scores, 10).select("contractor_id", "notice_id")
+    fresh = feed.candidate_pairs(ready, feed.base_feed(t.notices), t.scores, 100).select("contractor_id", "notice_id")
     kept = t.saved.select("contractor_id", "notice_id").join(t.notices.select("notice_id"), "notice_id", "left_semi").join(t.contractors.select("contractor_id"), "contractor_id", "left_semi")
     return stage(kept.select("contractor_id", "notice_id").union(fresh).distinct(), "pairs")
 
@@ -63,7 +63,13 @@ def _tok(expr, stop):
     return f"list_filter(regexp_split_to_array(lower({expr}), '[^a-z0-9]+'), lambda w: length(w) > 2 and not list_contains({_list(stop)}, w))"
 
 
-_GEO = f"""(select contractor_id, notice_id, len(ps) = 0 or len(fs) = 0 as is_null, case when len(ps) = 0 or len(fs) = 0 then 0 when list_has_any(ps, ['federal', 'nationwide', 'any', '*']) then 100
+_FIRST = """list_filter(list_transform(ps, lambda p: case when contains(array_to_string(fs, ' | '), p) then 'Preferred location "' || p || '" matches RFP location.'
+ when len(list_filter(fs, lambda f: contains(p, f) and length(f) > 2)) > 0 then 'RFP location "' || list_filter(fs, lambda f: contains(p, f) and length(f) > 2)[1] || '" is part of preferred area "' || p || '".' end), lambda r: r is not null)[1]"""
+_SHARED = f"""list_filter({_tok("array_to_string(ps, ' ')", PLACE_STOPWORDS)}, lambda w, i: list_contains({_tok("array_to_string(fs, ' ')", PLACE_STOPWORDS)}, w) and list_position({_tok("array_to_string(ps, ' ')", PLACE_STOPWORDS)}, w) = i)"""
+_GEO = f"""(select contractor_id, notice_id, case when len(ps) = 0 or len(fs) = 0 then 'Skipped: contractor has no preferred locations or RFP has no state/location.' when list_has_any(ps, ['federal', 'nationwide', 'any', '*']) then 'Contractor accepts federal / nationwide opportunities.'
+ when {_FIRST} is not null then {_FIRST} when len({_SHARED}) > 0 then 'Partial location overlap on: ' || array_to_string({_SHARED}, ', ') || '.'
+ else 'RFP location (' || array_to_string(fs, ' / ') || ') not in contractor''s preferred areas (' || array_to_string(ps, ', ') || ').' end as reason,
+ len(ps) = 0 or len(fs) = 0 as is_null, case when len(ps) = 0 or len(fs) = 0 then 0 when list_has_any(ps, ['federal', 'nationwide', 'any', '*']) then 100
  when len(list_filter(ps, lambda p: contains(array_to_string(fs, ' | '), p) or len(list_filter(fs, lambda f: contains(p, f) and length(f) > 2)) > 0)) > 0 then 100
  when list_has_any({_tok("array_to_string(ps, ' ')", PLACE_STOPWORDS)}, {_tok("array_to_string(fs, ' ')", PLACE_STOPWORDS)}) then 60 else 0 end as score
  from (select contractor_id, notice_id, list_filter(list_transform(preferred_locations, lambda x: lower(trim(x))), lambda x: x <> '') as ps, list_filter([lower(trim(coalesce(state, ''))), lower(trim(coalesce(location, '')))], lambda x: x <> '') as fs from {_ROWS}))"""
@@ -71,18 +77,20 @@ _GEO = f"""(select contractor_id, notice_id, len(ps) = 0 or len(fs) = 0 as is_nu
 
 @query("geography_factor", f"select * from {_GEO}")
 def geography_factor(t):
-    return sc.geography(_rows(t)).select("contractor_id", "notice_id", "is_null", "score")
+    return sc.geography(_rows(t)).select("contractor_id", "notice_id", "is_null", "score", "reason")
 
 
-_KTERMS = f"(select distinct contractor_id, lower(trim(x)) as term from (select contractor_id, unnest(list_concat(industries, sub_industries)) as x from {{contractors}} union all select contractor_id, unnest(tags) from {{past_projects}}) where length(trim(x)) > 1 and not list_contains({_list(KEYWORD_STOPWORDS)}, lower(trim(x))))"
+_KTERMS = f"(select contractor_id, lower(trim(x)) as term, min((kind, project, i)) as place from (select contractor_id, unnest(list_concat(industries, sub_industries)) as x, 1 as kind, 0 as project, unnest(range(len(industries) + len(sub_industries))) as i from {{contractors}} union all select contractor_id, unnest(tags), 0, project_id, unnest(range(len(tags))) from {{past_projects}}) where length(trim(x)) > 1 and not list_contains({_list(KEYWORD_STOPWORDS)}, lower(trim(x))) group by 1, 2)"
 _KEY = f"""(with kt as {_KTERMS}, b as {_BLOB}, h as (select notice_id, term from b, (select distinct term from kt) where {_MATCH}), n as (select contractor_id, count(*) as total from kt group by 1),
- m as (select contractor_id, notice_id, count(*) as c, string_agg(term, '|' order by term) as matched from {_PAIRS} join kt using (contractor_id) join h using (notice_id, term) group by 1, 2)
- select contractor_id, notice_id, total is null as is_null, coalesce(matched, '') as matched, coalesce(cast(least(100, floor(coalesce(c, 0) / total * 250 + 0.5)) as int), 0) as score from {_PAIRS} left join n using (contractor_id) left join m using (contractor_id, notice_id))"""
+ m as (select contractor_id, notice_id, count(*) as c, string_agg(term, '|' order by place) as matched from {_PAIRS} join kt using (contractor_id) join h using (notice_id, term) group by 1, 2)
+ select contractor_id, notice_id, total is null as is_null, coalesce(matched, '') as matched, coalesce(cast(least(100, floor(coalesce(c, 0) / total * 250 + 0.5)) as int), 0) as score,
+ case when total is null then 'Skipped: contractor has no tags / industries / sub-industries on file.' when c is null then 'No contractor industries or tags appear in this RFP.' else 'Matched ' || c || ' of ' || total || ' contractor terms in RFP text/tags.' end as reason
+ from {_PAIRS} left join n using (contractor_id) left join m using (contractor_id, notice_id))"""
 
 
 @query("keyword_factor", f"select * from {_KEY}")
 def keyword_factor(t):
-    return sc.keywords(_pairs(t), t.contractors, t.past_projects, t.notices).select("contractor_id", "notice_id", "is_null", F.array_join("matched_terms", "|").alias("matched"), "score")
+    return sc.keywords(_pairs(t), t.contractors, t.past_projects, t.notices).select("contractor_id", "notice_id", "is_null", F.array_join("matched_terms", "|").alias("matched"), "score", "reason")
 
 
 def _canon(table, column, out):
@@ -115,11 +123,13 @@ def code_matches(t):
     return rows.select("contractor_id", "notice_id", "m.required", "m.score", "m.held", "m.level")
 
 
-_STRUCT = f"""(select contractor_id, notice_id, concat_ws('|', ce, cg, case when ok then 'Set-aside eligible: ' || w end) as met, concat_ws('|', cs, cn, case when w <> '' and not ok then 'Set-aside requires ' || w || '; contractor not certified.' end) as unmet,
+_STRUCT = f"""(select contractor_id, notice_id, concat_ws(' ', re, rg, rs, rn, case when ok then 'Eligible for ' || w || ' set-aside.' when w <> '' then 'Not certified for ' || w || ' set-aside.' end) as reasons, concat_ws('|', ce, cg, case when ok then 'Set-aside eligible: ' || w end) as met, concat_ws('|', cs, cn, case when w <> '' and not ok then 'Set-aside requires ' || w || '; contractor not certified.' end) as unmet,
  (case when ce is null then 0 else 1 end + case when cg is null then 0 else 1 end + case when ok then 1 else 0 end) as n_met, 1 + case when w <> '' then 1 else 0 end as structured
  from (select contractor_id, notice_id, trim(coalesce(set_aside, '')) as w, trim(coalesce(set_aside, '')) <> '' and list_contains(list_transform(set_aside_eligibility, lambda e: lower(e)), lower(trim(set_aside))) as ok from {_ROWS})
  join (select contractor_id, notice_id, 'NAICS exact match: ' || string_agg(req, ', ' order by i) filter (best.s = 1) as ce, 'NAICS industry-group match: ' || string_agg(req || '~' || best.h, ', ' order by i) filter (best.s = 0.6::double) as cg,
-  'NAICS sector-only match (2-digit): ' || string_agg(req || '~' || best.h, ', ' order by i) filter (best.s = 0.3::double) as cs, 'NAICS not held: ' || string_agg(req, ', ' order by i) filter (best.s = 0) || '.' as cn from {_CODE} group by 1, 2) using (contractor_id, notice_id))"""
+  'NAICS sector-only match (2-digit): ' || string_agg(req || '~' || best.h, ', ' order by i) filter (best.s = 0.3::double) as cs, 'NAICS not held: ' || string_agg(req, ', ' order by i) filter (best.s = 0) || '.' as cn,
+  'Matches NAICS ' || string_agg(req, ', ' order by i) filter (best.s = 1) || '.' as re, 'Adjacent NAICS match (4-digit) for ' || string_agg(req, ', ' order by i) filter (best.s = 0.6::double) || '.' as rg,
+  'Only broad sector overlap on NAICS ' || string_agg(req, ', ' order by i) filter (best.s = 0.3::double) || '.' as rs, 'Missing NAICS ' || string_agg(req, ', ' order by i) filter (best.s = 0) || '.' as rn from {_CODE} group by 1, 2) using (contractor_id, notice_id))"""
 
 
 @query("structured_prereqs", f"select contractor_id, notice_id, met, unmet, cast(structured as int) as structured from {_STRUCT}".replace("list_contains(list_transform(set_aside_eligibility, lambda e: lower(e)), lower(trim(set_aside)))", "coalesce(list_contains(list_transform(set_aside_eligibility, lambda e: lower(e)), lower(trim(set_aside))), false)"))
@@ -128,22 +138,31 @@ def structured_prereqs(t):
 
 
 _STRUCT_OK = _STRUCT.replace("list_contains(list_transform(set_aside_eligibility, lambda e: lower(e)), lower(trim(set_aside)))", "coalesce(list_contains(list_transform(set_aside_eligibility, lambda e: lower(e)), lower(trim(set_aside))), false)")
-_PREREQ = f"""(select contractor_id, notice_id, false as is_null, cast(floor(least(n_met + coalesce(j.n_met_, 0), structured + coalesce(j.n_met_ + j.n_unmet_, 0)) / (structured + coalesce(j.n_met_ + j.n_unmet_, 0)) * 100 + 0.5) as int) as score
- from {_STRUCT_OK} left join (select contractor_id, notice_id, n_met as n_met_, n_unmet as n_unmet_ from {{judgements}} where factor = 'prereqs') j using (contractor_id, notice_id))"""
+_PREREQ = f"""(select contractor_id, notice_id, met, unmet, structured + coalesce(n_met_ + n_unmet_, 0) as total, n_met_, n_unmet_, concat_ws(' ', nullif(reasons, ''), why) as reason, false as is_null, cast(floor(least(n_met + coalesce(j.n_met_, 0), structured + coalesce(j.n_met_ + j.n_unmet_, 0)) / (structured + coalesce(j.n_met_ + j.n_unmet_, 0)) * 100 + 0.5) as int) as score
+ from {_STRUCT_OK} left join (select contractor_id, notice_id, n_met as n_met_, n_unmet as n_unmet_, reason as why from {{judgements}} where factor = 'prereqs') j using (contractor_id, notice_id))"""
 
 
-@query("prereq_factor", f"select * from {_PREREQ}")
+@query("prereq_factor", f"select contractor_id, notice_id, is_null, score, reason, cast(total as int) as total from {_PREREQ}")
 def prereq_factor(t):
-    return sc.prereqs(_rows(t), _judgements(t)).select("contractor_id", "notice_id", "is_null", "score")
+    return sc.prereqs(_rows(t), _judgements(t)).select("contractor_id", "notice_id", "is_null", "score", "reason", "total")
 
 
-_EXP = f"""(select contractor_id, notice_id, w.contractor_id is not null and j.score is null as is_null, case when w.contractor_id is null then 0 else coalesce(j.score, 0) end as score from {_PAIRS} p
- left join (select distinct contractor_id from {{past_projects}}) w using (contractor_id) left join (select contractor_id, notice_id, score from {{judgements}} where factor = 'experience') j using (contractor_id, notice_id))"""
+@query("prereq_factor_by_requirements", f"""select contractor_id, notice_id, cast(structured + case when n_met_ is null then 0 else 3 end as int) as total,
+ cast(floor(least(n_met + coalesce(n_met_, 0), structured + case when n_met_ is null then 0 else 3 end) / (structured + case when n_met_ is null then 0 else 3 end) * 100 + 0.5) as int) as score
+ from {_STRUCT_OK} left join (select contractor_id, notice_id, n_met as n_met_ from {{judgements}} where factor = 'prereqs') using (contractor_id, notice_id)""")
+def prereq_factor_by_requirements(t):
+    """The denominator is what was asked of the judge, three requirements here, whatever the reply lists."""
+    asked = t.notices.select("notice_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rank"))
+    return sc.prereqs(_rows(t), _judgements(t), asked).select("contractor_id", "notice_id", "total", "score")
+
+
+_EXP = f"""(select contractor_id, notice_id, case when w.names is null or j.score is null then '' else w.names end as matched, w.names is not null and j.score is null as is_null, case when w.names is null then 0 else coalesce(j.score, 0) end as score from {_PAIRS} p
+ left join (select contractor_id, string_agg(project_name, '|' order by project_id) as names from (select * from {{past_projects}} qualify row_number() over (partition by contractor_id order by project_id) <= 5) group by 1) w using (contractor_id) left join (select contractor_id, notice_id, score from {{judgements}} where factor = 'experience') j using (contractor_id, notice_id))"""
 
 
 @query("experience_factor", f"select * from {_EXP}")
 def experience_factor(t):
-    return sc.experience(_pairs(t), t.past_projects, _judgements(t)).select("contractor_id", "notice_id", "is_null", "score")
+    return sc.experience(_pairs(t), t.past_projects, _judgements(t)).select("contractor_id", "notice_id", "is_null", "score", F.array_join("matched_past_projects", "|").alias("matched"))
 
 
 _GOAL = f"""(select contractor_id, notice_id, trim(coalesce(goals, '')) = '' or j.score is null as is_null, case when trim(coalesce(goals, '')) = '' then 0 else coalesce(j.score, 0) end as score from {_ROWS}
@@ -177,3 +196,29 @@ def factor_weights(t):
     for f, null in (("experience", False), ("goals", True), ("prereqs", False), ("agency", True), ("keywords", True)):
         known = known.withColumn(f"{f}_null", F.lit(null))
     return sc.weights(known).select(*sc.PAIR, *[F.round(f"w_{f}", 9).alias(f"w_{f}") for f in sc.FACTORS])
+
+
+_FRESH = "(select contractor_id, notice_id from " + _CANDIDATES.replace("{cap}", "100") + ")"
+_OLD = "(select contractor_id, notice_id, arg_max(score, score_id) as score, max(computed_at) as computed_at from {scores} group by 1, 2)"
+_W = ", ".join(f"case when a = 0 then 1.0::double / 7 when {f}_null then 0 else 1.0::double / a end" for f in sc.FACTORS)
+
+
+@query("refreshed_scores", f"""with fresh as (select x.*, geography.reason as geo_reason, keywords.matched as terms, keywords.reason as key_reason, agency.matched as clients, prereqs.reason as pre_reason, prereqs.total as pre_total, experience.matched as projects
+   from {_TOTAL} x join {_FRESH} using (contractor_id, notice_id) join {_GEO} geography using (contractor_id, notice_id) join {_KEY} keywords using (contractor_id, notice_id) join {_AGENCY} agency using (contractor_id, notice_id)
+   join {_PREREQ} prereqs using (contractor_id, notice_id) join {_EXP} experience using (contractor_id, notice_id)),
+ merged as (select contractor_id, notice_id, coalesce(f.total::double, o.score) as score, case when f.total is not null then timestamp '{AS_OF}' else o.computed_at end as computed_at, case when f.total is null then 'old' else 'compat-v2' end as model_version,
+   {', '.join(f"f.{c}" for c in ("geo_reason", "terms", "key_reason", "clients", "pre_reason", "excluded_term"))}, cast(f.pre_total as int) as pre_total, f.projects, case when f.total is not null then concat_ws(',', {', '.join(f"case when f.{c}_null then '{c}' end" for c in sc.FACTORS)}) end as null_factors,
+   case when f.total is not null then round(list_sum([{_W}]), 6) end as weight_sum, f.timing as timing_score, f.total as kept_total from {_OLD} o full join fresh f using (contractor_id, notice_id))
+ select * from merged qualify row_number() over (partition by contractor_id order by computed_at desc, notice_id desc) <= 100""")
+def refreshed_scores(t):
+    """The whole refresh: the first 100 unscored notices of every contractor scored, their breakdown stored beside the cached scores, the newest 100 kept."""
+    cached = t.scores.groupBy("contractor_id", "notice_id").agg(F.max_by("score", "score_id").alias("score"), F.max("computed_at").alias("computed_at"))
+    cached = cached.withColumns({"model_version": F.lit("old"), "reasoning": F.lit(None).cast("string")})
+    done = refresh_scores(t.contractors, t.notices, t.past_projects, alias_table(t.spark), _judgements(t), cached, AS_OF)
+    f = F.col("factors.factors")
+    weights = [F.col("factors.weights")[c] for c in sc.FACTORS]
+    return done.select(
+        *sc.PAIR, "score", "computed_at", "model_version", f["geography"]["reason"].alias("geo_reason"), F.array_join(f["keywords"]["matched_terms"], "|").alias("terms"), f["keywords"]["reason"].alias("key_reason"),
+        F.array_join(f["agency"]["matched_clients"], "|").alias("clients"), f["prereqs"]["reason"].alias("pre_reason"), F.col("factors.excluded.term").alias("excluded_term"), f["prereqs"]["total"].alias("pre_total"),
+        F.array_join(f["experience"]["matched_past_projects"], "|").alias("projects"), F.array_join("factors.null_factors", ",").alias("null_factors"), F.round(sum(weights[1:], weights[0]), 6).alias("weight_sum"),
+        f["timing"]["score"].alias("timing_score"), F.col("factors.total").alias("kept_total"))

@@ -12,10 +12,17 @@ from pyspark.sql import functions as F
 from tenderspark.fixed import AGENCY_STOPWORDS, KEYWORD_STOPWORDS, PLACE_STOPWORDS
 from tenderspark.functions.common import drop_blank, let, literals, round_half_up, strip, tokens
 from tenderspark.operators.departments import lookup_department
+from tenderspark.operators.ranking import top_per_key
+from tenderspark.session import stage
 
 PAIR = ["contractor_id", "notice_id"]
 FACTORS = ("timing", "experience", "goals", "prereqs", "geography", "agency", "keywords")
 MODEL_VERSION = "compat-v2"
+SHOWN = 5  # past projects a judge is shown
+DETAILS = {"experience": ("matched_past_projects",), "prereqs": ("met", "unmet", "total"), "agency": ("matched_clients",), "keywords": ("matched_terms",)}
+# Fixed: wording of the reasons for codes, by how well they match.
+CODE_REASONS = (("exact", "Matches NAICS "), ("industry-group", "Adjacent NAICS match (4-digit) for "),
+                ("sector", "Only broad sector overlap on NAICS "), ("none", "Missing NAICS "))
 WILDCARDS = ("federal", "nationwide", "any", "*")
 
 
@@ -27,40 +34,85 @@ def notice_text(notices: DataFrame) -> DataFrame:
         " ", "title", F.coalesce("description", F.lit("")), F.array_join("tags", " "))).alias("text"))
 
 
-def _first_key(term: Column) -> Column:
-    """First alphanumeric run of a term; its first character where it has none."""
-    run = F.regexp_extract(term, "[a-z0-9]+", 0)
-    return F.when(run != "", run).otherwise(F.concat(F.lit("!"), F.left(term, F.lit(1))))
+def _runs(text: Column) -> tuple[Column, Column]:
+    """The runs of letters and digits of a lower-case text, and what stands before the first, between them and after the last."""
+    return F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)), F.split(text, "[a-z0-9]+", -1)
 
 
-def _text_keys(text: Column) -> Column:
-    runs = drop_blank(F.split(text, "[^a-z0-9]+"))
-    marks = F.transform(drop_blank(F.split(F.regexp_replace(text, "[a-z0-9]+", ""), "")), lambda c: F.concat(F.lit("!"), c))
-    return F.array_distinct(F.concat(runs, marks))
+def term_parts(terms: DataFrame) -> DataFrame:
+    """(term, m, k, run, t_before, t_after): the `m` runs of each distinct term, with the term's characters around each."""
+    runs, gaps = _runs(F.col("term"))
+    cut = terms.select("term").distinct().select("term", runs.alias("_r"), gaps.alias("_g"))
+    return cut.select("term", F.size("_r").alias("m"), "_g", F.posexplode("_r").alias("k", "run")) \
+        .select("term", "m", "k", "run", F.element_at("_g", F.col("k") + 1).alias("t_before"), F.element_at("_g", F.col("k") + 2).alias("t_after"))
 
 
-def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(notice_id, term): terms that stand in a text as whole words.
+def postings(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(notice_id, pos, n, run, before, after): where in the `n` runs of a text runs of any term stand, and what stands around them.
 
-    A whole-word occurrence always shows the term's first alphanumeric run as a
-    whole run of the text, so candidates come from an equi-join on that run
-    (ids only); the texts are joined once, with their candidates as an array,
-    and the boundaries are checked there.
+    Of the characters beside a run as many are kept as any term has there, and one
+    more.  Other runs go where the texts lie: with a vocabulary that Spark may
+    broadcast nothing of a text is shuffled, and never more than its runs.
     """
-    # Laid out by notice once: the candidates gather and meet their text without another shuffle.
-    texts = texts.repartition("notice_id")
-    keyed = terms.select("term").distinct().withColumn("_key", _first_key(F.col("term")))
-    shown = texts.select("notice_id", F.explode(_text_keys(F.col("text"))).alias("_key"))
-    candidates = shown.join(keyed, "_key").groupBy("notice_id").agg(F.collect_set("term").alias("_terms"))
+    vocabulary = parts.groupBy("run").agg((F.max(F.greatest(F.length("t_before"), F.length("t_after"))) + 1).alias("_near"))
+    runs, gaps = _runs(F.col("text"))
+    cut = texts.select("notice_id", runs.alias("_r"), gaps.alias("_g"))
+    shown = cut.select("notice_id", F.size("_r").alias("n"), F.posexplode(F.arrays_zip(
+        "_r", F.slice("_g", F.lit(1), F.size("_r")).alias("_b"), F.slice("_g", F.lit(2), F.size("_r")).alias("_a"))).alias("pos", "_x"))
+    run, before, after = (F.col("_x").getField(c) for c in ("_r", "_b", "_a"))
+    near = F.col("_near")
+    return shown.select("notice_id", "pos", "n", run.alias("run"), before.alias("before"), after.alias("after")).join(vocabulary, "run").select(
+        "notice_id", "pos", "n", "run", F.right("before", near).alias("before"), F.left("after", near).alias("after"))
+
+
+def _fits() -> Column:
+    """Whether what stands around a run in a text is what stands around it in a term: outside the term comes an end or a character that is no letter or digit."""
+    left = F.when(F.col("k") > 0, F.col("before") == F.col("t_before")).otherwise(
+        (F.col("t_before") == "") | (F.endswith("before", "t_before") & ((F.length("before") > F.length("t_before")) | (F.col("pos") == 0))))
+    right = F.when(F.col("k") < F.col("m") - 1, F.col("after") == F.col("t_after")).otherwise(
+        (F.col("t_after") == "") | (F.startswith("after", "t_after") & ((F.length("after") > F.length("t_after")) | (F.col("pos") == F.col("n") - 1))))
+    return left & right
+
+
+def _bare_hits(texts: DataFrame, bare: DataFrame) -> DataFrame:
+    """(notice_id, term) for terms without letters or digits: looked for in what stands between the runs, by their first character."""
+    gaps = F.split(F.col("text"), "[a-z0-9]+", -1)
+    shown = texts.select("notice_id", F.size(gaps).alias("n"), F.posexplode(gaps).alias("pos", "gap")).filter(F.trim("gap") != "")
+    # A letter stands for the run that a gap begins or ends at.
+    edge = lambda inner: F.when(inner, F.lit("a")).otherwise("")
+    shown = shown.select("notice_id", F.concat(edge(F.col("pos") > 0), "gap", edge(F.col("pos") < F.col("n") - 1)).alias("gap"),
+                         F.explode(F.array_distinct(F.split("gap", ""))).alias("_c"))
+    met = shown.join(bare.select("term", F.left("term", F.lit(1)).alias("_c")), "_c")
+    quoted = F.regexp_replace("term", r"([^a-z0-9 ])", r"\\$1")
+    edges = F.lit("[^a-z0-9]")
+    return met.filter(F.rlike("gap", F.concat(F.lit("(?:^|"), edges, F.lit(")"), quoted, F.lit("(?:$|"), edges, F.lit(")")))).select("notice_id", "term")
 
-    def stands(text: Column, term: Column) -> Column:
-        quoted = F.regexp_replace(term, r"([^a-z0-9 ])", r"\\$1")
-        edge = F.lit("[^a-z0-9]")
-        return F.rlike(text, F.concat(F.lit("(?:^|"), edge, F.lit(")"), quoted, F.lit("(?:$|"), edge, F.lit(")")))
 
-    checked = texts.join(candidates, "notice_id").select(
-        "notice_id", F.explode(F.filter("_terms", lambda x: F.contains(F.col("text"), x) & stands(F.col("text"), x))).alias("term"))
-    return checked
+def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(notice_id, term): terms that stand in a text as whole words.
+
+    An inverted index of the runs that terms consist of, with their places.  A term
+    of one run is found in it at once; a longer one is looked for from its rarest
+    run, and its other runs must stand at the places around it with the term's
+    characters between them.  The parts of the terms and the index are staged: the
+    parts so that Spark knows their size, the index as it is read again.
+    """
+    parts = stage(term_parts(terms), "term-parts")
+    index = stage(postings(texts, parts), "term-postings")
+    single = index.join(parts.filter("m = 1"), "run").filter(_fits()).select("notice_id", "term")
+    often = index.groupBy("run").agg(F.count(F.lit(1)).alias("_n"))
+    longer = parts.filter("m > 1").join(often, "run", "left")
+    rarest = longer.groupBy("term").agg(F.min_by("k", F.struct(F.coalesce("_n", F.lit(0)), "k")).alias("_rare"))
+    longer = longer.drop("_n").join(rarest, "term")
+    starts = index.join(longer.filter("k = _rare"), "run").filter(_fits()).select("notice_id", "term", (F.col("pos") - F.col("k")).alias("start"))
+    wanted = starts.join(longer.filter("k <> _rare").drop("_rare"), "term").withColumn("pos", F.col("start") + F.col("k"))
+    together = wanted.join(index, ["notice_id", "pos", "run"]).filter(_fits()).groupBy("notice_id", "term", "start", "m").agg(F.count(F.lit(1)).alias("_found")) \
+        .filter("_found = m - 1").select("notice_id", "term")
+    hits = single.unionByName(together)
+    bare = terms.select("term").distinct().filter(~F.rlike("term", F.lit("[a-z0-9]")))
+    if not bare.isEmpty():
+        hits = hits.unionByName(_bare_hits(texts, bare))
+    return hits.distinct()
 
 
 def exclusions(pairs: DataFrame, contractors: DataFrame, notices: DataFrame) -> DataFrame:
@@ -91,55 +143,62 @@ def timing(pairs: DataFrame, as_of: str) -> DataFrame:
 
 
 def geography_score(preferred: Column, state: Column, location: Column) -> Column:
-    """struct(score, is_null): preferred places against the notice's state and location."""
+    """struct(score, is_null, reason): preferred places against the notice's state and location."""
     prefs = drop_blank(F.transform(preferred, lambda p: F.lower(strip(p))))
     fields = drop_blank(F.transform(F.filter(F.array(state, location), lambda x: x.isNotNull()), lambda x: F.lower(strip(x))))
 
     def rate(both: Column) -> Column:
         ps, fs = both["p"], both["f"]
         place = F.array_join(fs, " | ")
-        wild = F.arrays_overlap(ps, literals(WILDCARDS))
-        inside = F.exists(ps, lambda p: F.contains(place, p) | F.exists(fs, lambda f: F.contains(p, f) & (F.length(f) > 2)))
-        shared = F.arrays_overlap(tokens(F.array_join(ps, " "), 2, PLACE_STOPWORDS), tokens(F.array_join(fs, " "), 2, PLACE_STOPWORDS))
+
+        def match(p: Column) -> Column:
+            part = F.filter(fs, lambda f: F.contains(p, f) & (F.length(f) > 2))
+            return (F.when(F.contains(place, p), F.concat(F.lit('Preferred location "'), p, F.lit('" matches RFP location.')))
+                    .when(F.size(part) > 0, F.concat(F.lit('RFP location "'), F.try_element_at(part, F.lit(1)), F.lit('" is part of preferred area "'), p, F.lit('".'))))
+
+        first = F.try_element_at(F.filter(F.transform(ps, match), lambda r: r.isNotNull()), F.lit(1))
+        shared = F.array_intersect(tokens(F.array_join(ps, " "), 2, PLACE_STOPWORDS), tokens(F.array_join(fs, " "), 2, PLACE_STOPWORDS))
         null = (F.size(ps) == 0) | (F.size(fs) == 0)
-        score = F.when(null, 0).when(wild | inside, 100).when(F.coalesce(shared, F.lit(False)), 60).otherwise(0)
-        return F.struct(score.alias("score"), null.alias("is_null"))
+        said = lambda score, is_null, reason: F.struct(F.lit(score).alias("score"), F.lit(is_null).alias("is_null"), reason.alias("reason"))
+        return (F.when(null, said(0, True, F.lit("Skipped: contractor has no preferred locations or RFP has no state/location.")))
+                .when(F.arrays_overlap(ps, literals(WILDCARDS)), said(100, False, F.lit("Contractor accepts federal / nationwide opportunities.")))
+                .when(first.isNotNull(), said(100, False, first))
+                .when(F.size(shared) > 0, said(60, False, F.concat(F.lit("Partial location overlap on: "), F.array_join(shared, ", "), F.lit("."))))
+                .otherwise(said(0, False, F.concat(F.lit("RFP location ("), F.array_join(fs, " / "), F.lit(") not in contractor's preferred areas ("),
+                                                   F.array_join(ps, ", "), F.lit(").")))))
 
     return let(F.struct(prefs.alias("p"), fields.alias("f")), rate)
 
 
 def geography(pairs: DataFrame) -> DataFrame:
-    """Uses preferred_locations, state and location.  Equal place sets are rated once."""
-    keys = ["preferred_locations", "state", "location"]
-    sets = pairs.select(*keys).distinct().withColumn("_g", geography_score(F.col("preferred_locations"), F.col("state"), F.col("location")))
-    match = [pairs[k].eqNullSafe(sets[k]) for k in keys]
-    reason = (F.when(F.col("_g.is_null"), "Skipped: contractor has no preferred locations or RFP has no state/location.")
-              .when(F.col("_g.score") == 100, "Preferred location matches the RFP location.")
-              .when(F.col("_g.score") == 60, "Partial location overlap.").otherwise("RFP location not in contractor's preferred areas."))
-    return pairs.join(sets, match).select(*PAIR, F.col("_g.score").alias("score"), F.col("_g.is_null").alias("is_null"), reason.alias("reason"))
+    """Uses preferred_locations, state and location; rated in the row."""
+    rated = pairs.select(*PAIR, geography_score(F.col("preferred_locations"), F.col("state"), F.col("location")).alias("_g"))
+    return rated.select(*PAIR, "_g.score", "_g.is_null", "_g.reason")
 
 
 def contractor_terms(contractors: DataFrame, past: DataFrame) -> DataFrame:
-    """(contractor_id, term): distinct tags of past work, industries and sub-industries without stop words."""
-    given = contractors.select("contractor_id", F.explode(F.concat("industries", "sub_industries")).alias("term"))
-    worked = past.select("contractor_id", F.explode("tags").alias("term"))
-    return given.unionByName(worked).select("contractor_id", F.lower(strip("term")).alias("term")) \
-        .filter((F.length("term") > 1) & ~F.array_contains(literals(KEYWORD_STOPWORDS), F.col("term"))).distinct()
+    """(contractor_id, term, place): distinct tags of past work, industries and sub-industries without stop words, in that order."""
+    given = contractors.select("contractor_id", F.posexplode(F.concat("industries", "sub_industries")).alias("i", "term")) \
+        .select("contractor_id", "term", F.struct(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("project"), "i").alias("place"))
+    worked = past.select("contractor_id", F.col("project_id").cast("long").alias("project"), F.posexplode("tags").alias("i", "term")) \
+        .select("contractor_id", "term", F.struct(F.lit(0).alias("kind"), "project", "i").alias("place"))
+    return given.unionByName(worked).select("contractor_id", F.lower(strip("term")).alias("term"), "place") \
+        .filter((F.length("term") > 1) & ~F.array_contains(literals(KEYWORD_STOPWORDS), F.col("term"))).groupBy("contractor_id", "term").agg(F.min("place").alias("place"))
 
 
 def keywords(pairs: DataFrame, contractors: DataFrame, past: DataFrame, notices: DataFrame) -> DataFrame:
-    """Share of contractor terms found in the notice, times 250, at most 100."""
+    """Share of contractor terms found in the notice, times 250, at most 100; matched terms in the contractor's order."""
     terms = contractor_terms(contractors.join(pairs.select("contractor_id").distinct(), "contractor_id", "left_semi"),
                              past.join(pairs.select("contractor_id").distinct(), "contractor_id", "left_semi"))
     totals = terms.groupBy("contractor_id").agg(F.count(F.lit(1)).alias("_total"))
     wanted = notices.join(pairs.select("notice_id").distinct(), "notice_id", "left_semi")
     hits = term_hits(notice_text(wanted), terms)
+    # A pair gathers terms of its contractor alone.
     found = pairs.select(*PAIR).join(terms, "contractor_id").join(hits, ["notice_id", "term"]) \
-        .groupBy(*PAIR).agg(F.array_sort(F.collect_set("term")).alias("matched_terms"))
+        .groupBy(*PAIR).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("matched_terms"))
     joined = pairs.select(*PAIR).join(found, PAIR, "left").join(totals, "contractor_id", "left")
-    matched = F.coalesce(F.size("matched_terms"), F.lit(0))
     null = F.col("_total").isNull()
-    n = F.when(F.col("matched_terms").isNull(), 0).otherwise(matched)
+    n = F.when(F.col("matched_terms").isNull(), 0).otherwise(F.size("matched_terms"))
     score = F.least(F.lit(100), round_half_up(n / F.col("_total") * 250)).cast("int")
     reason = (F.when(null, "Skipped: contractor has no tags / industries / sub-industries on file.")
               .when(n == 0, "No contractor industries or tags appear in this RFP.")
@@ -209,7 +268,7 @@ def code_matches(required: Column, held: Column) -> Column:
 
 
 def structured_prereqs(pairs: DataFrame) -> DataFrame:
-    """Adds met, unmet and structured: code list and set-aside as one requirement each.
+    """Adds met, unmet, reasons and structured: code list and set-aside as one requirement each.
 
     Uses required_codes, held_codes, set_aside, set_aside_eligibility.
     """
@@ -220,7 +279,8 @@ def structured_prereqs(pairs: DataFrame) -> DataFrame:
         line = lambda level, text, end="": F.when(F.size(of(level)) > 0, F.concat(F.lit(text), codes(level) if level in ("exact", "none") else near(level), F.lit(end)))
         return F.struct(
             F.array(line("exact", "NAICS exact match: "), line("industry-group", "NAICS industry-group match: ")).alias("met"),
-            F.array(line("sector", "NAICS sector-only match (2-digit): "), line("none", "NAICS not held: ", ".")).alias("unmet"))
+            F.array(line("sector", "NAICS sector-only match (2-digit): "), line("none", "NAICS not held: ", ".")).alias("unmet"),
+            F.array(*[F.when(F.size(of(level)) > 0, F.concat(F.lit(text), codes(level), F.lit("."))) for level, text in CODE_REASONS]).alias("reasons"))
 
     wanted = strip(F.coalesce("set_aside", F.lit("")))
     asked = wanted != ""
@@ -232,24 +292,32 @@ def structured_prereqs(pairs: DataFrame) -> DataFrame:
     met = F.concat(F.coalesce("_l.met", empty), F.array(F.when(asked & held, F.concat(F.lit("Set-aside eligible: "), wanted))))
     unmet = F.concat(F.coalesce("_l.unmet", empty), F.array(F.when(asked & ~held, F.concat(
         F.lit("Set-aside requires "), wanted, F.lit("; contractor not certified.")))))
-    return work.select(*PAIR, filled(met).alias("met"), filled(unmet).alias("unmet"), (coded.cast("int") + asked.cast("int")).alias("structured"))
+    aside = F.when(asked & held, F.concat(F.lit("Eligible for "), wanted, F.lit(" set-aside."))).when(asked, F.concat(F.lit("Not certified for "), wanted, F.lit(" set-aside.")))
+    return work.select(*PAIR, filled(met).alias("met"), filled(unmet).alias("unmet"), filled(F.concat(F.coalesce("_l.reasons", empty), F.array(aside))).alias("reasons"),
+                       (coded.cast("int") + asked.cast("int")).alias("structured"))
 
 
-def prereqs(pairs: DataFrame, judgements: DataFrame) -> DataFrame:
+def prereqs(pairs: DataFrame, judgements: DataFrame, requirements: DataFrame | None = None) -> DataFrame:
     """Met share of structured and judged textual requirements.
 
     `judgements` rows of factor `prereqs` bring met and unmet requirement lists.
+    `requirements` (notice_id and a row for each requirement found in its text)
+    says how many were judged; without it those the judgement lists count.
     """
     base = structured_prereqs(pairs)
-    judged = judgements.filter(F.col("factor") == "prereqs").select(*PAIR, F.col("met").alias("_jm"), F.col("unmet").alias("_ju"), F.col("reason").alias("_jr"))
+    judged = judgements.filter(F.col("factor") == "prereqs").select(*PAIR, F.col("met").alias("_jm"), F.col("unmet").alias("_ju"), F.col("reason").alias("_jr"), F.lit(True).alias("_j"))
     joined = base.join(judged, PAIR, "left")
     empty = F.array().cast("array<string>")
     met, unmet = F.concat("met", F.coalesce("_jm", empty)), F.concat("unmet", F.coalesce("_ju", empty))
-    total = F.col("structured") + F.size(F.coalesce("_jm", empty)) + F.size(F.coalesce("_ju", empty))
+    textual = F.size(F.coalesce("_jm", empty)) + F.size(F.coalesce("_ju", empty))
+    if requirements is not None:
+        joined = joined.join(requirements.groupBy("notice_id").agg(F.count(F.lit(1)).cast("int").alias("_asked")), "notice_id", "left")
+        textual = F.when(F.col("_j"), F.coalesce("_asked", F.lit(0))).otherwise(0)
+    total = F.col("structured") + textual
     null = total == 0
     score = round_half_up(F.least(F.size(met), total) / F.nullif(total, F.lit(0)) * 100).cast("int")
     reason = F.when(null, F.lit("Skipped: RFP has no structured eligibility metadata and no extractable textual requirements.")) \
-        .otherwise(F.array_join(drop_blank(F.array(F.array_join(met, "; "), F.coalesce("_jr", F.lit("")))), " "))
+        .otherwise(F.array_join(drop_blank(F.array(F.array_join("reasons", " "), strip(F.coalesce("_jr", F.lit(""))))), " "))
     return joined.select(*PAIR, F.when(null, 0).otherwise(score).alias("score"), null.alias("is_null"), reason.alias("reason"),
                          met.alias("met"), unmet.alias("unmet"), total.alias("total"))
 
@@ -260,14 +328,26 @@ def _judged(judgements: DataFrame, factor: str) -> DataFrame:
     return judgements.filter(F.col("factor") == factor).select(*PAIR, round_half_up(F.col("score").cast("double")).cast("int").alias("_score"), F.col("reason").alias("_reason"))
 
 
-def experience(pairs: DataFrame, past: DataFrame, judgements: DataFrame) -> DataFrame:
-    """Judged score; without past work it is 0 and counts; without a judgement yet it is left out."""
-    worked = past.select("contractor_id").distinct().withColumn("_worked", F.lit(True))
-    joined = pairs.select(*PAIR).join(worked, "contractor_id", "left").join(_judged(judgements, "experience"), PAIR, "left")
-    bare = F.col("_worked").isNull()
+def experience(pairs: DataFrame, past: DataFrame, judgements: DataFrame, retrieved: DataFrame | None = None) -> DataFrame:
+    """Judged score; without past work it is 0 and counts; without a judgement yet it is left out.
+
+    matched_past_projects names the work the judge was shown: `retrieved`
+    (contractor_id, notice_id, rank, project_name) where there is any, else the
+    first `SHOWN` projects on file.
+    """
+    filed = top_per_key(past, ["contractor_id"], [F.col("project_id")], SHOWN, rank="rank")
+    named = lambda df, keys: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "project_name"))), lambda x: x["project_name"]).alias("_names"))
+    joined = pairs.select(*PAIR).join(named(filed, ["contractor_id"]).withColumnRenamed("_names", "_filed"), "contractor_id", "left").join(_judged(judgements, "experience"), PAIR, "left")
+    shown = F.col("_filed")
+    if retrieved is not None:
+        joined = joined.join(named(retrieved, PAIR), PAIR, "left")
+        shown = F.coalesce("_names", "_filed")
+    bare = F.col("_filed").isNull()
     null = ~bare & F.col("_score").isNull()
+    none = F.array().cast("array<string>")
     return joined.select(*PAIR, F.when(bare, 0).otherwise(F.coalesce("_score", F.lit(0))).alias("score"), null.alias("is_null"),
-                         F.when(bare, "Contractor has no past projects on file.").when(null, "Skipped: not judged yet.").otherwise(F.col("_reason")).alias("reason"))
+                         F.when(bare, "Contractor has no past projects on file.").when(null, "Skipped: not judged yet.").otherwise(F.col("_reason")).alias("reason"),
+                         F.when(bare | null, none).otherwise(shown).alias("matched_past_projects"))
 
 
 def goals(pairs: DataFrame, judgements: DataFrame) -> DataFrame:
@@ -300,12 +380,21 @@ def total(df: DataFrame) -> DataFrame:
 
 
 def breakdown(df: DataFrame) -> DataFrame:
-    """Adds null_factors, reasoning and model_version."""
+    """Adds null_factors, reasoning, model_version and `factors`, the whole breakdown as one struct.
+
+    `factors` holds total, weights, for each factor its score, reason and details
+    (columns ``<factor>_reason`` and ``<factor>_<detail>``), null_factors, the
+    exclusion where there is one, and model_version.
+    """
     nulls = F.filter(F.array(*[F.when(F.col(f"{f}_null"), F.lit(f)) for f in FACTORS]), lambda x: x.isNotNull())
     line = F.array_join(F.array(*[F.concat(F.lit(f"{f}: "), F.col(f).cast("string")) for f in FACTORS]), "; ")
     plain = F.concat(F.lit("Compatibility "), F.col("total").cast("string"), F.lit("/100. "), line, F.lit("."))
-    return df.withColumn("null_factors", nulls).withColumn("reasoning", F.when(F.col("excluded"), F.col("exclusion_reason")).otherwise(plain)) \
+    each = [F.struct(F.col(f).alias("score"), F.col(f"{f}_reason").alias("reason"), *[F.col(f"{f}_{d}").alias(d) for d in DETAILS.get(f, ())]).alias(f) for f in FACTORS]
+    out = df.withColumn("null_factors", nulls).withColumn("reasoning", F.when(F.col("excluded"), F.col("exclusion_reason")).otherwise(plain)) \
         .withColumn("model_version", F.lit(MODEL_VERSION))
+    return out.withColumn("factors", F.struct(
+        "total", F.struct(*[F.col(f"w_{f}").alias(f) for f in FACTORS]).alias("weights"), F.struct(*each).alias("factors"), "null_factors",
+        F.when(F.col("excluded"), F.struct(F.col("excluded_term").alias("term"), F.col("exclusion_reason").alias("reason"))).alias("excluded"), "model_version"))
 
 
 def pair_inputs(pairs: DataFrame, contractors: DataFrame, notices: DataFrame) -> DataFrame:

@@ -3,6 +3,9 @@
 import datetime as dt
 
 import pytest
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from tenderspark.functions import derive as dv
@@ -166,6 +169,16 @@ def test_term_hits_boundaries(spark):
     assert got == {(1, "c++"), (1, "gis"), (1, "gis-data"), (1, "24/7"), (1, "a.b"), (2, "data center"), (2, "++")}
 
 
+def test_term_hits_equal_the_pattern(spark):
+    rng = random.Random(6)
+    pieces = ["a", "b", "ab", "1", " ", " ", "-", "(", ")", ".", "++", "é", "\n", "a b"]
+    make = lambda n: "".join(rng.choice(pieces) for _ in range(rng.randint(1, n)))
+    texts = [(k, make(25)) for k in range(250)] + [(999, "")]
+    terms = sorted({t for t in (make(4).strip() for _ in range(300)) if t})
+    got = {(r.notice_id, r.term) for r in sc.term_hits(spark.createDataFrame(texts, "notice_id int, text string"), spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    assert got == {(k, t) for k, text in texts for t in terms if re.search(f"(?:^|[^a-z0-9]){re.escape(t)}(?:$|[^a-z0-9])", text)}
+
+
 def test_document_text_keeps_last_anchor(spark):
     text = "Cover\nDescription:\nOld part\n\nScope of Work:\nThe new body."
     assert one(spark, tx.document_text("t"), t=text) == "The new body."
