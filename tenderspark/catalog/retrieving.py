@@ -6,6 +6,7 @@ from tenderspark.catalog.registry import query
 from tenderspark.catalog.tables import TABLES
 from tenderspark.operators import feed
 from tenderspark.operators import retrieval as rt
+from tenderspark.operators import scoring as sc
 from tenderspark.operators.ranking import top_per_key
 
 _S = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -13,6 +14,13 @@ _RULE = "(chr(10) || chr(10) || '---' || chr(10) || chr(10))"
 
 TABLES["chunk_texts"] = """select e.vec_id as chunk_id, e.label as notice_id, coalesce(d.text, 'chunk ' || cast(e.vec_id as string)) as chunk_text from {embeddings} e left join {documents} d on e.vec_id = d.doc_id"""
 TABLES["project_vectors"] = """select p.project_id, p.contractor_id, p.project_name, p.description, case when p.project_id % 3 = 0 then cast(null as string) else 'v' end as embedding from {past_projects} p"""
+# Vectors of contractors' goals, of notices and of past work, and eight chunks for two thirds of the saved notices.
+_N_VECTORS = "(select count(*) from {embeddings})"
+TABLES["contractor_vectors"] = f"""select c.contractor_id, e.embedding from (select c_custkey as contractor_id, c_custkey % {_N_VECTORS} as v from {{customer}}) c join {{embeddings}} e on e.vec_id = c.v where c.contractor_id % 10 <> 4"""
+TABLES["saved_notice_vectors"] = f"""select n.notice_id, e.embedding from (select notice_id, (notice_id * 5 + 1) % {_N_VECTORS} as v from (select distinct notice_id from {{saved}}) s) n join {{embeddings}} e on e.vec_id = n.v"""
+TABLES["past_vectors"] = f"""select p.project_id, p.contractor_id, p.project_name, p.description, e.embedding from (select *, (project_id * 3 + 2) % {_N_VECTORS} as v from {{past_projects}}) p join {{embeddings}} e on e.vec_id = p.v"""
+TABLES["saved_notice_chunks"] = f"""select n.chunk_id, n.notice_id, 'excerpt ' || cast(n.chunk_id as string) as chunk_text, e.embedding from (select notice_id * 8 + j as chunk_id, notice_id, (notice_id * 13 + j * 37) % {_N_VECTORS} as v
+ from (select distinct notice_id from {{saved}}) s cross join (values (0), (1), (2), (3), (4), (5), (6), (7)) t(j) where notice_id % 3 <> 0) n join {{embeddings}} e on e.vec_id = n.v"""
 # One notice per document, with the sections that are cut into chunks.
 TABLES["bodies"] = """select d.doc_id as notice_id, case when d.doc_id % 5 = 0 then ' ' else 'Doc ' || cast(d.doc_id as string) end as title, case when d.doc_id % 7 = 0 then cast(null as string) else d.text end as description,
  case when d.doc_id % 2 = 0 then ' Work. ' end as statement_of_work, case when d.doc_id % 3 = 0 then ARR('a', 'b') else NULLARR end as deliverables, case when d.doc_id % 4 = 0 then d.lang || chr(10) || d.text end as document_text, d.source, d.lang from {documents} d"""
@@ -194,19 +202,64 @@ def _past(t):
     return top_per_key(t.past_projects, ["contractor_id"], [F.col("project_id")], 3, rank="rank").select("contractor_id", "rank", "project_name", "description", "tags")
 
 
-@query("experience_requests", f"""select contractor_id, notice_id, 'RFP: ' || title || chr(10) || chr(10) || '## Most relevant RFP excerpts' || chr(10) || '### RFP excerpt 1' || chr(10) || coalesce(description, title) || chr(10) || chr(10) || '## Contractor past performance' || chr(10)
- || coalesce(p, '(Contractor has no past projects on file.)') as request from {_PAIR} left join (select contractor_id, string_agg('### Past project ' || rank || ': ' || project_name || chr(10) || coalesce(description, '(no description)'), chr(10) || chr(10) order by rank) as p from {_PAST3} group by 1) using (contractor_id)""")
+_SIM = "list_cosine_similarity({0}.embedding::double[], {1}.embedding::double[])"
+# Six chunks of the pair's own notice, else its description or title.
+_EXCERPTS = f"""(with h as (select p.contractor_id, p.notice_id, i.chunk_text, {_SIM.format('q', 'i')} as sim, i.chunk_id from {_PAIR} p join {{contractor_vectors}} q using (contractor_id) join {{saved_notice_chunks}} i using (notice_id)
+  where sim > 0.2 qualify row_number() over (partition by p.contractor_id, p.notice_id order by sim desc, chunk_id) <= 6)
+ select contractor_id, notice_id, string_agg('### RFP excerpt ' || rank || chr(10) || chunk_text, chr(10) || chr(10) order by rank) as e from (
+  select contractor_id, notice_id, chunk_text, row_number() over (partition by contractor_id, notice_id order by sim desc, chunk_id) as rank from h
+  union all select contractor_id, notice_id, substr(coalesce(description, title), 1, 4000), 1 from {_PAIR} where (contractor_id, notice_id) not in (select (contractor_id, notice_id) from h)) group by 1, 2)"""
+_SHOWN = f"""(with h as (select p.contractor_id, p.notice_id, i.project_id, i.project_name, i.description, {_SIM.format('q', 'i')} as sim from {_PAIR} p join {{saved_notice_vectors}} q using (notice_id) join {{past_vectors}} i using (contractor_id)
+  where sim > 0.2 qualify row_number() over (partition by p.contractor_id, p.notice_id order by sim desc, i.project_id) <= 5)
+ select contractor_id, notice_id, string_agg('### Past project ' || rank || ': ' || project_name || chr(10) || coalesce(description, '(no description)'), chr(10) || chr(10) order by rank) as p, string_agg(project_name, '|' order by rank) as names from (
+  select contractor_id, notice_id, project_name, description, row_number() over (partition by contractor_id, notice_id order by sim desc, project_id) as rank from h
+  union all select contractor_id, notice_id, f.project_name, f.description, f.rank from {_PAIR} join (select *, row_number() over (partition by contractor_id order by project_id) as rank from {{past_projects}} qualify rank <= 5) f using (contractor_id)
+   where (contractor_id, notice_id) not in (select (contractor_id, notice_id) from h)) group by 1, 2)"""
+
+
+def _excerpts(t):
+    """Chunks of each saved notice nearest to the contractor's vector."""
+    return rt.pair_excerpts(_pairs(t).join(t.contractor_vectors, "contractor_id", "left"), t.saved_notice_chunks)
+
+
+def _shown(t):
+    """Past projects of each contractor nearest to the saved notice's vector."""
+    return rt.pair_projects(_pairs(t).join(t.saved_notice_vectors, "notice_id", "left"), t.past_vectors)
+
+
+@query("pair_excerpts", f"select contractor_id, notice_id, e as excerpts from {_EXCERPTS}")
+def pair_excerpts(t):
+    text = F.concat(F.lit("### RFP excerpt "), F.col("rank"), F.lit("\n"), F.col("chunk_text"))
+    return rt._numbered(_excerpts(t), ["contractor_id", "notice_id"], text, "excerpts")
+
+
+@query("experience_requests", f"""select contractor_id, notice_id, 'RFP: ' || title || chr(10) || chr(10) || '## Most relevant RFP excerpts' || chr(10) || e || chr(10) || chr(10) || '## Contractor past performance' || chr(10)
+ || coalesce(p, '(Contractor has no past projects on file.)') as request from {_PAIR} join {_EXCERPTS} using (contractor_id, notice_id) left join {_SHOWN} using (contractor_id, notice_id)""")
 def experience_requests(t):
-    pairs = _pairs(t)
-    excerpts = pairs.select("contractor_id", "notice_id", F.lit(1).alias("rank"), F.coalesce("description", "title").alias("chunk_text"))
-    return rt.experience_requests(pairs, excerpts, _past(t))
+    return rt.experience_requests(_pairs(t), _excerpts(t), _shown(t))
+
 
+@query("experience_with_retrieved_work", f"""select contractor_id, notice_id, case when names is null then 0 else coalesce(j.score, 0) end as score, case when j.score is null then '' else coalesce(names, '') end as matched from {_PAIR} left join {_SHOWN} using (contractor_id, notice_id)
+ left join (select contractor_id, notice_id, score from {{judgements}} where factor = 'experience') j using (contractor_id, notice_id)""")
+def experience_with_retrieved_work(t):
+    """The judged factor names the work that was retrieved for the judge."""
+    judged = sc.experience(_pairs(t), t.past_projects, t.judgements, _shown(t))
+    return judged.select("contractor_id", "notice_id", "score", F.array_join("matched_past_projects", "|").alias("matched"))
 
-@query("goals_requests", f"""select contractor_id, notice_id, 'RFP: ' || title || chr(10) || chr(10) || '## Most relevant RFP excerpts' || chr(10) || '### RFP excerpt 1' || chr(10) || coalesce(description, title) || chr(10) || chr(10) || '## Contractor''s stated goals' || chr(10)
- || coalesce(nullif(trim(goals), ''), '(empty)') as request from {_PAIR} join (select contractor_id, goals from {{contractors}}) using (contractor_id)""")
+
+@query("goals_requests", f"""select contractor_id, notice_id, 'RFP: ' || title || chr(10) || chr(10) || '## Most relevant RFP excerpts' || chr(10) || e || chr(10) || chr(10) || '## Contractor''s stated goals' || chr(10)
+ || coalesce(nullif(trim(goals), ''), '(empty)') as request from {_PAIR} join {_EXCERPTS} using (contractor_id, notice_id) join (select contractor_id, goals from {{contractors}}) using (contractor_id)""")
 def goals_requests(t):
     pairs = _pairs(t).join(t.contractors.select("contractor_id", "goals"), "contractor_id")
-    return rt.goals_requests(pairs, pairs.select("contractor_id", "notice_id", F.lit(1).alias("rank"), F.coalesce("description", "title").alias("chunk_text")))
+    return rt.goals_requests(pairs, _excerpts(t))
+
+
+@query("reasoning_requests", """select contractor_id, notice_id, 'Contractor: ' || company_name || chr(10) || 'RFP: ' || n.title || chr(10) || 'Overall score: ' || cast(floor(score) as int) || '/100' || chr(10) || chr(10) || 'Factor breakdown:' || chr(10) || '- timing: ' || cast(floor(score) as int) || chr(10) || '- goals: 0' as request
+ from (select contractor_id, notice_id, arg_max(score, score_id) as score from {scores} group by 1, 2) join {notices} n using (notice_id) join {contractors} using (contractor_id)""")
+def reasoning_requests(t):
+    scored = t.scores.groupBy("contractor_id", "notice_id").agg(F.floor(F.max_by("score", "score_id")).cast("int").alias("total")) \
+        .join(t.notices.select("notice_id", "title"), "notice_id").join(t.contractors.select("contractor_id", "company_name"), "contractor_id")
+    return rt.reasoning_requests(scored.withColumn("factor_lines", F.array(F.concat(F.lit("- timing: "), F.col("total").cast("string")), F.lit("- goals: 0"))))
 
 
 @query("requirement_requests", f"select notice_id, 'RFP: ' || title || chr(10) || chr(10) || '## Description' || chr(10) || substr({_S.format('description')}, 1, 12000) as request from {{notices}} where trim(description) <> ''")

@@ -318,6 +318,44 @@ def evidence_with_fallback(pairs: DataFrame, hits: DataFrame, notices: DataFrame
     return found.select("query_id", "notice_id", "rank", "chunk_text", "sim").unionByName(bare)
 
 
+def pair_excerpts(pairs: DataFrame, chunks: DataFrame, k: int = 6, threshold: float = 0.2) -> DataFrame:
+    """(contractor_id, notice_id, rank, chunk_text, sim): for each pair the chunks of its own notice nearest to the pair's vector.
+
+    `pairs`: contractor_id, notice_id, title, description, embedding; `chunks`:
+    chunk_id, notice_id, chunk_text, embedding.  A pair without a chunk above the
+    threshold, or without a vector, gets the notice's description, and where there
+    is none its title.  One block join partitioned by notice: pairs meet the chunks
+    of their notice only.
+    """
+    keys = ["contractor_id", "notice_id"]
+    # The notice is part of the id, so an id belongs to one pair.
+    asked = pairs.select(F.struct(*keys).alias("_pair"), F.to_json(F.struct(*keys)).alias("query_id"), F.col("notice_id").alias("part"), "embedding")
+    items = chunks.select(F.col("chunk_id").alias("item_id"), F.col("notice_id").alias("part"), "embedding")
+    hits = topk_join(asked.drop("_pair"), items, k, threshold, partition="part")
+    found = hits.join(asked.select("_pair", "query_id"), "query_id").join(chunks.select(F.col("chunk_id").alias("item_id"), "chunk_text"), "item_id") \
+        .select("_pair.*", "rank", "chunk_text", "sim")
+    bare = pairs.join(found.select(*keys).distinct(), keys, "left_anti") \
+        .select(*keys, F.lit(1).alias("rank"), F.left(F.coalesce("description", "title"), F.lit(4000)).alias("chunk_text"), F.lit(0.0).alias("sim"))
+    return found.unionByName(bare)
+
+
+def pair_projects(pairs: DataFrame, past: DataFrame, k: int = 5, threshold: float = 0.2) -> DataFrame:
+    """(contractor_id, notice_id, rank, project_id, project_name, description, sim): for each pair the contractor's own projects nearest to the notice's vector, else the first `k` on file.
+
+    `pairs`: contractor_id, notice_id, embedding; `past`: contractor_id, project_id, project_name, description, embedding.
+    """
+    keys = ["contractor_id", "notice_id"]
+    asked = pairs.select(F.struct(*keys).alias("_pair"), F.to_json(F.struct(*keys)).alias("query_id"), F.col("contractor_id").alias("part"), "embedding")
+    items = past.select(F.col("project_id").alias("item_id"), F.col("contractor_id").alias("part"), "embedding")
+    hits = topk_join(asked.drop("_pair"), items, k, threshold, partition="part")
+    text = past.select("contractor_id", "project_id", "project_name", "description")
+    found = hits.join(asked.select("_pair", "query_id"), "query_id").select("_pair.*", "rank", F.col("item_id").alias("project_id"), "sim").join(text.drop("contractor_id"), "project_id")
+    filed = top_per_key(text, ["contractor_id"], [F.col("project_id")], k, rank="rank").withColumn("sim", F.lit(0.0))
+    bare = pairs.select(*keys).join(found.select(*keys).distinct(), keys, "left_anti").join(filed, "contractor_id")
+    cols = [*keys, "rank", "project_id", "project_name", "description", "sim"]
+    return found.select(*cols).unionByName(bare.select(*cols))
+
+
 def project_fallback(contractors: DataFrame, hits: DataFrame, past: DataFrame, n: int = 5) -> DataFrame:
     """Past projects found for each contractor, else the first `n` on file."""
     rest = past.join(hits.select("contractor_id"), "contractor_id", "left_anti").join(contractors.select("contractor_id"), "contractor_id", "left_semi")
@@ -415,14 +453,14 @@ def _numbered(df: DataFrame, keys: Sequence[str], text: Column, out: str) -> Dat
 def experience_requests(pairs: DataFrame, excerpts: DataFrame, projects: DataFrame) -> DataFrame:
     """Judge requests of the experience factor: numbered excerpts and past projects per (contractor, notice).
 
-    `pairs`: contractor_id, notice_id, title; `excerpts`: keys, rank, chunk_text; `projects`: contractor_id, rank, project_name, description.
+    `pairs`: contractor_id, notice_id, title; `excerpts`: keys, rank, chunk_text; `projects`: keys, rank, project_name, description.
     """
     keys = ["contractor_id", "notice_id"]
     quoted = _numbered(excerpts, keys, F.concat(F.lit("### RFP excerpt "), F.col("rank"), F.lit("\n"), F.col("chunk_text")), "_e")
-    done = _numbered(projects, ["contractor_id"], F.concat(F.lit("### Past project "), F.col("rank"), F.lit(": "), F.col("project_name"), F.lit("\n"),
-                                                         F.coalesce("description", F.lit("(no description)"))), "_p")
+    done = _numbered(projects, keys, F.concat(F.lit("### Past project "), F.col("rank"), F.lit(": "), F.col("project_name"), F.lit("\n"),
+                                              F.coalesce("description", F.lit("(no description)"))), "_p")
     none = F.lit("(Contractor has no past projects on file.)")
-    return pairs.join(quoted, keys, "left").join(done, "contractor_id", "left").select(*keys, F.concat(
+    return pairs.join(quoted, keys, "left").join(done, keys, "left").select(*keys, F.concat(
         F.lit("RFP: "), "title", F.lit("\n\n## Most relevant RFP excerpts\n"), F.coalesce("_e", F.lit("")),
         F.lit("\n\n## Contractor past performance\n"), F.coalesce("_p", none)).alias("request"))
 
