@@ -1,5 +1,8 @@
 """Tag queries over the whole documents."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderspark.catalog.cleaning import _q
@@ -8,6 +11,7 @@ from tenderspark.catalog.tables import TABLES
 from tenderspark.fixed import FAMILY_TAGS, KEYWORD_RULES, TAG_VOCABULARY
 from tenderspark.functions.derive import detect_location
 from tenderspark.operators import tagging as tg
+from tenderspark.session import scratch_path, stage
 
 TABLES["tag_sources"] = """select d.doc_id, d.title, d.dept, d.labels, d.meeting_location, case d.doc_id % 6 when 0 then 'Install a database server. ' when 1 then 'Court budget development and hardware. ' when 2 then 'UNSPSC: 85101500 and 72101500. '
  when 3 then 'Cloud-based saas, gis maps. ' when 4 then 'UNSPSC 20260101 43211500 ' else '' end || coalesce(d.description, '') as description from {descriptions} d"""
@@ -71,5 +75,20 @@ def documents_without_known_rule(t):
 @query("tagger_predictions")
 def tagger_predictions(t):
     labelled = detect_location(tg.weak_labels(_sources(t)).withColumn("name", F.lit(None).cast("string")))
-    tagger = tg.Tagger.train(labelled, "feature_text", "labels_found", max_iter=15)
+    tagger = tg.Tagger.train(labelled, "feature_text", "labels_found")
     return tagger.predict(labelled, "feature_text").select("doc_id", F.array_join(tg.append_location(F.col("tags"), F.col("location")), "|").alias("tags"))
+
+
+@query("tagger_gate", """select step, action, (select count(*) from documents) as n_tagged from (values ('first', 'trained'), ('again', 'loaded'), ('other rules', 'trained'), ('same rules', 'loaded')) v(step, action)""")
+def tagger_gate(t):
+    """Whether a stored tagger is used: not when the hash of the rules that it was trained under differs from theirs now."""
+    folder, labelled = scratch_path(t.spark, "tagger"), stage(tg.weak_labels(_sources(t)), "labelled")
+    steps = []
+    for step in ("first", "again", "other rules", "same rules"):
+        if step == "other rules":
+            kept = t.spark.read.parquet(f"{folder}/settings").first()
+            t.spark.createDataFrame([("0" * 16, *kept[1:])], "rules string, constants string, scaling array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/settings")
+        tagger, action = tg.load_or_train(labelled, "feature_text", "labels_found", folder, max_iter=1)
+        tagged = tagger.predict(labelled, "feature_text").filter(F.size("tags") >= 1).agg(F.count(F.lit(1)).alias("n_tagged"))
+        steps.append(tagged.select(F.lit(step).alias("step"), F.lit(action).alias("action"), "n_tagged"))
+    return reduce(DataFrame.unionByName, steps)

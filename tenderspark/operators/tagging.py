@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from typing import TYPE_CHECKING
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import ElementwiseProduct, HashingTF, IDF, NGram, Normalizer, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from tenderspark.fixed import FAMILY_TAGS, KEYWORD_RULES, TAG_VOCABULARY
 from tenderspark.functions.common import drop_blank, let, literals, lookup, strip
 from tenderspark.functions.extract import commodity_codes
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 FEATURE_BITS = 18
 
 
@@ -76,18 +83,28 @@ def bad_rules(spark: SparkSession, rules=KEYWORD_RULES + FAMILY_TAGS, vocabulary
 
 
 def rules_hash() -> str:
-    """Changes with the vocabulary, the rules or the feature space; names the model folder."""
+    """Changes with the vocabulary, the rules or the feature space; stored with a model and compared before it is used."""
     rules = {"vocabulary": TAG_VOCABULARY, "keywords": KEYWORD_RULES, "families": FAMILY_TAGS, "bits": FEATURE_BITS}
     return hashlib.sha256(json.dumps(rules, sort_keys=True).encode()).hexdigest()[:16]
 
 
-def _log_counts():
-    def log_counts(v):
-        import numpy as np
+def _log_counts(counted: DataFrame) -> DataFrame:
+    """Sparse counts ``_c`` as 1 + log(count); whole Arrow batches, as a vector column has no SQL function for its values."""
+    place = counted.columns.index("_c")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        return SparseVector(v.size, v.indices, 1.0 + np.log(v.values))
+        for batch in batches:
+            vectors = batch.column(place)
+            kind, size, indices, values = (vectors.field(k) for k in range(4))
+            weights = pa.ListArray.from_arrays(values.offsets, pc.add(1.0, pc.ln(values.values)), type=values.type)
+            columns = batch.columns
+            columns[place] = pa.StructArray.from_arrays([kind, size, indices, weights], fields=list(vectors.type))
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return F.udf(log_counts, VectorUDT())
+    return counted.mapInArrow(work, counted.schema)
 
 
 class Tagger:
@@ -102,14 +119,14 @@ class Tagger:
         kept = StopWordsRemover(inputCol="_w", outputCol="_k").transform(words)
         pairs = NGram(n=2, inputCol="_k", outputCol="_g").transform(kept).withColumn("_t", F.concat("_k", "_g"))
         counted = HashingTF(inputCol="_t", outputCol="_c", numFeatures=1 << FEATURE_BITS).transform(pairs)
-        return counted.withColumn("_c", _log_counts()("_c")).drop("_w", "_k", "_g", "_t")
+        return _log_counts(counted.drop("_w", "_k", "_g", "_t"))
 
     def _features(self, counted: DataFrame) -> DataFrame:
         scaled = ElementwiseProduct(scalingVec=self.scaling, inputCol="_c", outputCol="_s").transform(counted)
         return Normalizer(inputCol="_s", outputCol="_f").transform(scaled).drop("_c", "_s")
 
     @classmethod
-    def train(cls, df: DataFrame, text: str, labels: str, max_iter: int = 100) -> "Tagger":
+    def train(cls, df: DataFrame, text: str, labels: str, max_iter: int = 100, parallel: int = 8) -> "Tagger":
         import numpy as np
 
         counted = cls._counts(df.select(text, labels), text).persist()
@@ -122,15 +139,20 @@ class Tagger:
             try:
                 counts = featured.agg(*[F.count_if(F.array_contains(labels, t)).alias(f"t{i}") for i, t in enumerate(TAG_VOCABULARY)]).first()
                 for i, tag in enumerate(TAG_VOCABULARY):
-                    positive = counts[f"t{i}"]
-                    if positive in (0, n):
-                        tagger.constants[tag] = float(positive == n)
-                        continue
+                    if counts[f"t{i}"] in (0, n):
+                        tagger.constants[tag] = float(counts[f"t{i}"] == n)
+
+                def fit(tag: str) -> LogisticRegressionModel:
+                    positive = counts[f"t{TAG_VOCABULARY.index(tag)}"]
                     target = F.array_contains(labels, tag)
                     balanced = F.when(target, n / (2.0 * positive)).otherwise(n / (2.0 * (n - positive)))
                     data = featured.select("_f", target.cast("double").alias("label"), balanced.alias("weight"))
-                    tagger.models[tag] = LogisticRegression(featuresCol="_f", weightCol="weight", regParam=1.0 / n, standardization=False,
-                                                            maxIter=max_iter).fit(data)
+                    return LogisticRegression(featuresCol="_f", weightCol="weight", regParam=1.0 / n, standardization=False, maxIter=max_iter).fit(data)
+
+                # The tags' fits share the cached features and run side by side, so the passes of one fill the gaps of another.
+                open_ = [tag for tag in TAG_VOCABULARY if tag not in tagger.constants]
+                with ThreadPoolExecutor(parallel) as pool:
+                    tagger.models = dict(zip(open_, pool.map(inheritable_thread_target(df.sparkSession)(fit), open_)))
             finally:
                 featured.unpersist()
         finally:
@@ -159,11 +181,12 @@ class Tagger:
         return scored.withColumn(out, chosen).drop("_scored")
 
     def save(self, spark: SparkSession, folder: str) -> None:
+        """The models and, last of all, the settings with the hash of the rules they were trained under."""
         for i, tag in enumerate(TAG_VOCABULARY):
             if tag in self.models:
                 self.models[tag].write().overwrite().save(f"{folder}/tag-{i}")
-        rows = [(json.dumps(self.constants), [float(x) for x in self.scaling])]
-        spark.createDataFrame(rows, "constants string, scaling array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/settings")
+        rows = [(rules_hash(), json.dumps(self.constants), [float(x) for x in self.scaling])]
+        spark.createDataFrame(rows, "rules string, constants string, scaling array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/settings")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> "Tagger":
@@ -173,15 +196,21 @@ class Tagger:
         return cls(DenseVector(row["scaling"]), models, constants)
 
 
-def load_or_train(df: DataFrame, text: str, labels: str, root: str) -> Tagger:
-    """The tagger stored for the current rules, else a new one, stored under their hash."""
+def stored_rules(spark: SparkSession, folder: str) -> str | None:
+    """The hash of the rules that the stored tagger was trained under; None without one."""
     from pyspark.errors import AnalysisException
 
-    spark = df.sparkSession
-    folder = f"{root}/{rules_hash()}"
     try:
-        return Tagger.load(spark, folder)
+        return spark.read.parquet(f"{folder}/settings").first()["rules"]
     except AnalysisException:
-        tagger = Tagger.train(df, text, labels)
-        tagger.save(spark, folder)
-        return tagger
+        return None
+
+
+def load_or_train(df: DataFrame, text: str, labels: str, folder: str, max_iter: int = 100) -> tuple[Tagger, str]:
+    """The stored tagger, if it was trained under the current rules, else a new one that takes its place; and `loaded` or `trained`."""
+    spark = df.sparkSession
+    if stored_rules(spark, folder) == rules_hash():
+        return Tagger.load(spark, folder), "loaded"
+    tagger = Tagger.train(df, text, labels, max_iter)
+    tagger.save(spark, folder)
+    return tagger, "trained"

@@ -201,13 +201,16 @@ def test_tagger_is_stored_and_loaded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tg, "TAG_VOCABULARY", ("Cloud", "Water", "Forestry"))
     rows = [(i, "cloud hosting platform service" if i % 2 else "drinking water supply pipes", ["Cloud"] if i % 2 else ["Water"]) for i in range(40)]
     df = spark.createDataFrame(rows, "i int, t string, l array<string>")
-    first = tg.load_or_train(df, "t", "l", str(tmp_path))
-    again = tg.load_or_train(df, "t", "l", str(tmp_path))
+    first, trained = tg.load_or_train(df, "t", "l", str(tmp_path))
+    again, loaded = tg.load_or_train(df, "t", "l", str(tmp_path))
+    assert (trained, loaded) == ("trained", "loaded")
     assert first.constants == again.constants == {"Forestry": 0.0}
     probe = spark.createDataFrame([(1, "a cloud platform"), (2, "water pipes"), (3, " ")], "i int, t string")
     for model in (first, again):
         tags = {r.i: r.tags for r in model.predict(probe, "t").collect()}
         assert tags[1][0] == "Cloud" and tags[2][0] == "Water" and tags[3] == ["Cloud", "Water"]
+    monkeypatch.setattr(tg, "TAG_VOCABULARY", ("Cloud", "Water"))
+    assert tg.load_or_train(df, "t", "l", str(tmp_path))[1] == "trained"
 
 
 def test_statement_and_deliverables_fallbacks(spark):
