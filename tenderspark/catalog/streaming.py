@@ -42,8 +42,9 @@ def streamed_sessions(t):
 
 @query("streamed_latest_views", "select contractor_id, notice_id, max(viewed_at) as viewed_at from {views} group by 1, 2")
 def streamed_latest_views(t):
+    ids = int(t.orders.count() * 1.25)
     views = _stream(t, "events").filter("event_type = 'view'").select(
-        F.col("user_id").alias("contractor_id"), (F.col("event_id") * 7 % 4001).alias("notice_id"), F.col("ts").alias("viewed_at"))
+        F.col("user_id").alias("contractor_id"), (F.col("event_id") * 7 % F.lit(ids)).alias("notice_id"), F.col("ts").alias("viewed_at"))
     out = scratch_path(t.spark, "latest-views")
     intake.stream_latest_views(views, out, scratch_path(t.spark, "latest-views-checkpoint")).awaitTermination()
     return intake.read_latest_views(t.spark, out)

@@ -95,33 +95,36 @@ select o.o_orderkey as project_id, o.o_custkey as contractor_id,
 from {orders} o
 """
 
-TABLES["scores"] = """
-select e.event_id as score_id, e.user_id as contractor_id, (e.event_id * 7) % 4001 as notice_id,
+# Notices that events are about: all notices and a fifth more ids that no notice has.
+_NOTICE = "(e.event_id * 7) % (select cast(floor(count(*) * 1.25) as bigint) from {orders})"
+
+TABLES["scores"] = f"""
+select e.event_id as score_id, e.user_id as contractor_id, {_NOTICE} as notice_id,
   least(100.0, e.value) as score, 'r' || cast(e.event_id as string) as reasoning,
   case when e.event_id % 3 = 0 then 'compat-v1' else 'compat-v2' end as model_version, e.ts as computed_at
-from {events} e where e.event_type in ('click', 'error', 'signup')
+from {{events}} e where e.event_type in ('click', 'error', 'signup')
 """
 
-TABLES["saved"] = """
-select e.user_id as contractor_id, (e.event_id * 7) % 4001 as notice_id, max(e.ts) as saved_at,
+TABLES["saved"] = f"""
+select e.user_id as contractor_id, e.notice_id, max(e.ts) as saved_at,
   cast(case when max(e.event_id) % 3 = 0 then null else max(e.event_id) % 7 end as int) as sort_position,
   case max(e.event_id) % 5 when 0 then cast(null as string) when 1 then 'reviewing' when 2 then 'pursuing'
        when 3 then 'no_bid' else 'submitted' end as bid_status,
   case when max(e.event_id) % 2 = 0 then 'note ' || cast(max(e.event_id) as string) end as notes
-from {events} e where e.event_type = 'purchase' group by e.user_id, (e.event_id * 7) % 4001
+from (select e.*, {_NOTICE} as notice_id from {{events}} e where e.event_type = 'purchase') e group by e.user_id, e.notice_id
 """
 
-TABLES["views"] = """
-select e.event_id as view_id, e.user_id as contractor_id, (e.event_id * 7) % 4001 as notice_id, e.ts as viewed_at
-from {events} e where e.event_type = 'view'
+TABLES["views"] = f"""
+select e.event_id as view_id, e.user_id as contractor_id, {_NOTICE} as notice_id, e.ts as viewed_at
+from {{events}} e where e.event_type = 'view'
 """
 
-TABLES["summaries"] = """
-select e.event_id as summary_id, (e.event_id * 3) % 9001 as notice_id,
+TABLES["summaries"] = f"""
+select e.event_id as summary_id, {_NOTICE.replace('1.25', '2.5')} as notice_id,
   case when e.event_id % 4 = 0 then 'contractor' else 'general' end as summary_type,
   case e.event_id % 3 when 0 then 'detailed-v4' when 1 then 'detailed-v3' end as prompt_version,
   'summary ' || cast(e.event_id as string) as summary, e.ts as generated_at
-from {events} e
+from {{events}} e
 """
 
 _JUDGEMENT = """
