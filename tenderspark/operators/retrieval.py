@@ -8,7 +8,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenderspark.functions.common import blank_to_null, drop_blank, head, literals, strip
+from tenderspark.functions.common import blank_to_null, drop_blank, head, let, literals, strip
 from tenderspark.operators.ranking import top_per_key
 
 if TYPE_CHECKING:
@@ -24,6 +24,7 @@ MAX_CONTEXT_CHARS = 200000
 # "### Chunk 0", a line end, one character and the rule between chunks.
 MIN_CHUNK_CHARS = 20
 BLOCK_ROWS = 256
+BLOCK_CHARS = 1024
 
 
 # --- chunks ---------------------------------------------------------------------
@@ -50,29 +51,40 @@ def chunk(df: DataFrame, ident: str = "notice_id", body: str = "body", target: i
     A window ends at its last blank line, else line end, past two fifths of it.
     Each window's place follows from the one before, so a fold over window numbers
     collects the spans; none moves on by less than two fifths of `target` less
-    `overlap`, which bounds how many there are.
+    `overlap`, which bounds how many there are.  The text is cut into blocks of
+    `BLOCK_CHARS` once, and a window is taken from the few blocks it lies in, so a
+    long text isn't walked through again for each.
     """
     least = max(1, target * 2 // 5 - overlap)
-    text, size = F.col("_text"), F.length("_text")
-    span = "struct<begin:int,stop:int>"
+    size, blocks = F.length("_text"), F.col("_blocks")
+
+    def part(begin: Column, length: Column) -> Column:
+        first = F.floor(begin / BLOCK_CHARS).cast("int")
+        near = F.array_join(F.slice(blocks, first + 1, F.lit(target // BLOCK_CHARS + 2)), "")
+        return F.substring(near, begin - first * BLOCK_CHARS + 1, length)
 
     def step(acc, _):
         begin = acc["next"]
-        backwards = F.reverse(F.substring(text, begin + 1, F.lit(target)))
-        last = begin + target >= size
-        blank, line = (F.locate(mark, backwards) for mark in ("\n\n", "\n"))  # from the window's end; 0: none
         near = F.lit(target - target * 2 // 5)
-        stop = (F.when(last, size).when((blank > 0) & (blank + 1 < near), begin + target - blank + 1)
-                .when((line > 0) & (line < near), begin + target - line + 1).otherwise(begin + target))
-        grown = F.struct(F.when(last, F.lit(-1)).otherwise(F.greatest(stop - overlap, begin + 1)).cast("int").alias("next"),
-                         F.concat(acc["spans"], F.array(F.struct(begin.cast("int").alias("begin"), stop.cast("int").alias("stop")))).alias("spans"))
-        return F.when(begin < 0, acc).otherwise(grown)
 
-    start = F.struct(F.lit(0).alias("next"), F.array().cast(f"array<{span}>").alias("spans"))
+        def grown(backwards: Column) -> Column:
+            blank, line = (F.locate(mark, backwards) for mark in ("\n\n", "\n"))  # from the window's end; 0: none
+            stop = (F.when((blank > 0) & (blank + 1 < near), begin + target - blank + 1)
+                    .when((line > 0) & (line < near), begin + target - line + 1).otherwise(begin + target))
+            return let(stop, lambda at: F.struct(F.greatest(at - overlap, begin + 1).cast("int").alias("next"), F.concat(acc["spans"], spanned(begin, at)).alias("spans")))
+
+        last = F.struct(F.lit(-1).alias("next"), F.concat(acc["spans"], spanned(begin, size)).alias("spans"))
+        return F.when(begin < 0, acc).when(begin + target >= size, last).otherwise(let(F.reverse(part(begin, F.lit(target))), grown))
+
+    def spanned(begin: Column, stop: Column) -> Column:
+        return F.array(F.struct(begin.cast("int").alias("begin"), stop.cast("int").alias("stop")))
+
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<begin:int,stop:int>>").alias("spans"))
     numbers = F.sequence(F.lit(0), F.floor(size / least).cast("int"))
     spans = F.aggregate(numbers, start, step, lambda acc: acc["spans"])
-    cut = F.filter(F.transform("_spans", lambda s: strip(F.substring(F.col("_text"), s["begin"] + 1, s["stop"] - s["begin"]))), lambda piece: piece != "")
+    cut = F.filter(F.transform("_spans", lambda s: strip(part(s["begin"], s["stop"] - s["begin"]))), lambda piece: piece != "")
     return (df.select(ident, strip(F.replace(F.coalesce(F.col(body), F.lit("")), F.lit("\r\n"), F.lit("\n"))).alias("_text"))
+            .withColumn("_blocks", F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0)))
             .withColumn("_spans", spans).select(ident, F.posexplode(cut).alias("chunk_index", "chunk_text")))
 
 
