@@ -36,14 +36,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Placements of all documents.  The files of the mixture, in order, are the parts, so sequences are numbered along the mixture."""
-    names = sorted({f.rpartition("/")[2] for f in docs.inputFiles()})  # a name for each file
-    part = None
-    if names:
-        number = F.lit(0)
-        for k, name in enumerate(names):
-            number = F.when(F.input_file_name().endswith(name), k).otherwise(number)
-        part = number
+    """Placements of all documents.  The files of the mixture are the parts, by the numbers Spark gave them, so sequences are numbered along the mixture."""
+    number = F.regexp_extract(F.input_file_name(), r"part-(\d+)[^/]*$", 1)
+    part = F.coalesce(F.nullif(number, F.lit("")).cast("int"), F.lit(0))
     return packing.pack_documents(docs, vocabulary(VOCABULARY), capacity=2048, part=part)
 
 
