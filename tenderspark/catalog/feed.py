@@ -256,6 +256,14 @@ def unscored_counts(t):
     return op.unscored_counts(t.contractors, _feed(t), t.scores)
 
 
+@query("factor_map", """select contractor_id, notice_id, score as total, 'reason ' || score_id as reason from (select * from {scores} qualify row_number() over (partition by contractor_id, notice_id order by computed_at desc, score_id desc) = 1)
+ where model_version = 'compat-v2'""")
+def factor_map(t):
+    """Scores of the older model have no breakdown."""
+    kept = F.when(F.col("model_version") == "compat-v2", F.struct(F.col("score").alias("total"), F.struct(F.concat(F.lit("reason "), F.col("score_id").cast("string")).alias("reason")).alias("timing")))
+    return op.factor_map(t.scores.withColumn("factors", kept)).select("contractor_id", "notice_id", "factors.total", "factors.timing.reason")
+
+
 @query("owner_scoped_saved", "select contractor_id, notice_id from {saved} where contractor_id in (select contractor_id from {contractors} where user_id = 'user7')")
 def owner_scoped_saved(t):
     return op.owned(t.saved, t.contractors, "user7").select("contractor_id", "notice_id")

@@ -69,6 +69,13 @@ def embedding_dims(t):
     return rt.embedding_dims(t.embeddings)
 
 
+@query("incomplete_embeddings", """select notice_id, count(*) as n_pieces, count(*) filter (where chunk_id % 5 <> 0) as n_vectors from {saved_notice_chunks} group by 1 having count(*) <> count(*) filter (where chunk_id % 5 <> 0)""")
+def incomplete_embeddings(t):
+    """Of the chunks of saved notices every fifth has no vector yet."""
+    got = t.saved_notice_chunks.withColumn("embedding", F.when(F.col("chunk_id") % 5 != 0, F.col("embedding")))
+    return rt.incomplete_embeddings(t.saved_notice_chunks, got)
+
+
 def _vectors(t):
     queries = t.embeddings.select(F.col("vec_id").alias("query_id"), "label", "embedding")
     items = t.embeddings.select(F.col("vec_id").alias("item_id"), "label", "embedding")

@@ -304,6 +304,11 @@ def unscored(feed: DataFrame, scores: DataFrame) -> DataFrame:
     return feed.join(scores.select("notice_id"), "notice_id", "left_anti")
 
 
+def factor_map(scores: DataFrame) -> DataFrame:
+    """(contractor_id, notice_id, factors): the breakdown of each newest cached score that has one."""
+    return latest_scores(scores).filter(F.col("factors").isNotNull()).select("contractor_id", "notice_id", "factors")
+
+
 def unscored_counts(contractors: DataFrame, feed: DataFrame, scores: DataFrame) -> DataFrame:
     """Number of unscored feed notices per contractor."""
     size = feed.agg(F.count(F.lit(1)).alias("_n")).scalar()
