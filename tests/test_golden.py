@@ -1,11 +1,10 @@
 """Hand-made rows for the branches the generated tables do not reach."""
 
 import datetime as dt
-
-import pytest
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tenderspark.functions import derive as dv
@@ -141,8 +140,13 @@ def test_select_tags_bounds(spark):
 
 
 @pytest.mark.parametrize("prefs,state,location,expected", [
-    (["Nationwide"], "California", None, (100, False)), (["Northern California"], "California", None, (100, False)),
-    (["Lake Tahoe"], None, "Tahoe Basin", (60, False)), (["Nevada"], "California", None, (0, False)), ([" "], "California", None, (0, True)), (["Nevada"], None, " ", (0, True))])
+    (["Nationwide"], "California", None, (100, False, "Contractor accepts federal / nationwide opportunities.")),
+    (["Northern California"], "California", None, (100, False, 'RFP location "california" is part of preferred area "northern california".')),
+    (["Reno", " California "], "California", "Fresno", (100, False, 'Preferred location "california" matches RFP location.')),
+    (["Lake Tahoe"], None, "Tahoe Basin", (60, False, "Partial location overlap on: tahoe.")),
+    (["Nevada", "Oregon"], "California", "Fresno", (0, False, "RFP location (california / fresno) not in contractor's preferred areas (nevada, oregon).")),
+    ([" "], "California", None, (0, True, "Skipped: contractor has no preferred locations or RFP has no state/location.")),
+    (["Nevada"], None, " ", (0, True, "Skipped: contractor has no preferred locations or RFP has no state/location."))])
 def test_geography(spark, prefs, state, location, expected):
     df = spark.createDataFrame([(prefs, state, location)], "p array<string>, s string, l string")
     got = df.select(sc.geography_score(F.col("p"), F.col("s"), F.col("l")).alias("g")).select("g.*").first()
