@@ -8,6 +8,7 @@ from tenderspark.operators import feed
 from tenderspark.operators import retrieval as rt
 from tenderspark.operators import scoring as sc
 from tenderspark.operators.ranking import top_per_key
+from tenderspark.session import stage
 
 _S = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 _RULE = "(chr(10) || chr(10) || '---' || chr(10) || chr(10))"
@@ -104,7 +105,7 @@ def project_top_k(t):
 def chunk_top_k_in_open_notices(t):
     queries, items = _vectors(t)
     open_ids = feed.base_feed(t.notices).select(F.col("notice_id").alias("label"))
-    return rt.topk_join(queries, items.join(open_ids, "label", "left_semi"), 6, 0.2, query_splits=2).select("query_id", "item_id", F.round("sim", 6).alias("sim"))
+    return rt.topk_join(queries, items.join(open_ids, "label", "left_semi"), 6, 0.2).select("query_id", "item_id", F.round("sim", 6).alias("sim"))
 
 
 @query("chunk_top_k_approximate")
@@ -130,7 +131,7 @@ _EVIDENCE = f"""(select query_id, notice_id, rank, chunk_text, sim from {_PAIRS}
 
 def _evidence(t):
     queries, items = _vectors(t)
-    hits = rt.topk_join(queries, items, 6, 0.2)
+    hits = stage(rt.topk_join(queries, items, 6, 0.2), "evidence-hits")
     texts = t.chunk_texts.select(F.col("chunk_id").alias("item_id"), "chunk_text")
     pairs = queries.select("query_id", F.when(F.col("query_id") % 9 == 0, F.col("query_id") % 40).otherwise(F.col("label")).alias("notice_id"))
     return rt.evidence_with_fallback(pairs, hits.join(texts, "item_id"), t.notices.select("notice_id", "title", "description"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from tenderspark.functions.common import blank_to_null, drop_blank, head, let, literals, strip
 from tenderspark.operators.ranking import top_per_key
+from tenderspark.session import stage
 
 if TYPE_CHECKING:
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
 
 NO_BODY = "(No description provided for this RFP.)"
 NO_PROJECT = "(Empty past performance row.)"
@@ -23,7 +25,11 @@ MAX_SECTION_CHARS = 80000
 MAX_CONTEXT_CHARS = 200000
 # "### Chunk 0", a line end, one character and the rule between chunks.
 MIN_CHUNK_CHARS = 20
-BLOCK_ROWS = 256
+# Vectors of one side that stand for a cell of the grid at its least; cells grow as the root of the table.
+CELL_ROWS = 2048
+# Rows of each side in one matrix product, and hits kept before they are cut to the best `k`.
+TILE = (1024, 4096)
+HELD = 500_000
 BLOCK_CHARS = 1024
 
 
@@ -121,89 +127,151 @@ def incomplete_embeddings(pieces: DataFrame, vectors: DataFrame, key: str = "not
 
 # --- vector top-k ------------------------------------------------------------------
 
-def _pack(df: DataFrame, ident: str, partition: str | None) -> DataFrame:
-    """Vectors of each Arrow batch as normalized blocks, one block per partition value; no shuffle."""
-    kind = dict(df.dtypes)[ident]
-    rows = df.filter(F.col("embedding").isNotNull()).select(
-        (F.col(partition).cast("string") if partition else F.lit("")).alias("part"), F.col(ident).alias("ident"),
-        F.col("embedding").cast("array<double>").alias("embedding"))
-    size = BLOCK_ROWS
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of a list column as rows of a matrix, and which of them have a length."""
+    import numpy as np
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-        import pandas as pd
+    rows = [chunk for chunk in column.chunks if len(chunk)]
+    if not rows:
+        return np.empty((0, 0)), np.empty(0, dtype=bool)
+    lengths = {n for chunk in rows for n in np.unique(chunk.value_lengths().to_numpy(zero_copy_only=False)).tolist()}
+    if len(lengths) != 1:
+        raise ValueError(f"vectors of different lengths: {sorted(lengths)}")
+    x = np.concatenate([np.asarray(chunk.flatten().to_numpy(zero_copy_only=False), dtype="float64") for chunk in rows]).reshape(len(column), lengths.pop())
+    norm = np.linalg.norm(x, axis=1)
+    alive = norm > 0
+    return x / np.where(alive, norm, 1.0)[:, None], alive
 
-        for batch in batches:
-            out = []
-            for part, group in batch.groupby("part", dropna=True, sort=False):
-                for at in range(0, len(group), size):
-                    piece = group.iloc[at:at + size]
-                    vecs = np.stack(piece["embedding"].to_numpy())
-                    norm = np.linalg.norm(vecs, axis=1)
-                    keep = norm > 0
-                    vecs = vecs[keep] / norm[keep, None]
-                    out.append((part, piece["ident"].to_numpy()[keep].tolist(), vecs.astype("float64").tobytes()))
-            yield pd.DataFrame(out, columns=["part", "ids", "vecs"])
 
-    return rows.mapInPandas(blocks, f"part string, ids array<{kind}>, vecs binary")
+def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, threshold: float, tiles: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """(row, column, similarity) of the best `k` of each row of `q` over the tiles (rows of q, rows of x) that meet.
+
+    Once a row has `k` hits only what reaches the last of them is kept.
+    """
+    import numpy as np
+
+    floor = np.full(len(q), -np.inf)
+    held: list[tuple[np.ndarray, ...]] = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+    size = 0
+
+    def cut() -> None:
+        rows, cols, sims = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((ids[cols], -sims, rows))
+        rows, cols, sims = rows[order], cols[order], sims[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)  # rows are sorted: where each begins
+        floor[rows[place == k - 1]] = sims[place == k - 1]
+        keep = place < k
+        held[:] = [(rows[keep], cols[keep], sims[keep])]
+
+    for at, over in tiles:
+        sims = q[at] @ x[over].T
+        r, c = np.nonzero((sims > threshold) & (sims >= floor[at][:, None]))
+        held.append((at[r], over[c], sims[r, c]))
+        size += len(r)
+        if size > HELD:
+            cut()
+            size = 0
+    cut()
+    return held[0]
+
+
+def _grouped(codes: np.ndarray, of: np.ndarray) -> dict[int, np.ndarray]:
+    """The entries of `of` by their code."""
+    import numpy as np
 
+    order = np.argsort(codes[of], kind="stable")
+    rows = of[order]
+    names, starts = np.unique(codes[rows], return_index=True)
+    return dict(zip(names.tolist(), np.split(rows, starts[1:])))
 
-def topk_join(queries: DataFrame, items: DataFrame, k: int = 10, threshold: float = 0.7, partition: str | None = None,
-              item_splits: int | None = None, query_splits: int = 1) -> DataFrame:
-    """The `k` items of greatest cosine similarity strictly above `threshold` for every query.
 
-    `queries`: query_id, embedding; `items`: item_id, embedding; with `partition`
-    both carry that column and only equal values meet.  Exact: vectors are
-    packed into blocks, blocks meet in an equi-join, and each block pair keeps
-    its best `k` per query from one matrix product.  Without `partition` the
-    item blocks are spread over `item_splits` x `query_splits` cells, the query
-    blocks copied to the cells of their row; raise `query_splits` when the
-    queries themselves are large.  A hot partition is many blocks, which the
-    skew join splits.  Returns query_id, item_id, sim, rank.
+def _part_tiles(left: pa.Table, right: pa.Table, mine: np.ndarray, theirs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tiles of the living rows of both sides, equal parts only."""
+    import numpy as np
+    import pandas as pd
+
+    codes, _ = pd.factorize(np.concatenate([left["part"].to_pandas().to_numpy(), right["part"].to_pandas().to_numpy()]))
+    asked, given = _grouped(codes[:left.num_rows], mine), _grouped(codes[left.num_rows:], theirs)
+    for part, at in asked.items():
+        over = given.get(part)
+        if over is not None:
+            for a in range(0, len(at), TILE[0]):
+                for b in range(0, len(over), TILE[1]):
+                    yield at[a:a + TILE[0]], over[b:b + TILE[1]]
+
+
+def _meet(queries: DataFrame, items: DataFrame, k: int, threshold: float, partition: str | None = None,
+          item_splits: int | None = None, query_splits: int | None = None, centroids: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """The best `k` of every query, over a grid of cells that hold a share of the queries and a share of the items.
+
+    A vector goes to each cell of its row or column.  Both sides of a cell grow as
+    the root of the table, and so do the copies.  Small partitions lie together in
+    cells; a large one has a grid of its own.  With `centroids` a query meets only
+    items whose nearest centroid is among its own `probes` nearest.
     """
+    from math import ceil
+
     spark = queries.sparkSession
-    q = _pack(queries, "query_id", partition).select("part", F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
-    i = _pack(items, "item_id", partition).select("part", F.col("ids").alias("iids"), F.col("vecs").alias("ivecs"))
-    if partition is None:
-        cells = item_splits or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        q = q.withColumn("qcell", F.pmod(F.xxhash64("qids"), F.lit(query_splits))) \
-            .withColumn("icell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>")))
-        i = i.withColumn("icell", F.pmod(F.xxhash64("iids"), F.lit(cells))) \
-            .withColumn("qcell", F.explode(F.sequence(F.lit(0), F.lit(query_splits - 1)).cast("array<bigint>")))
-        pairs = q.drop("part").join(i.drop("part"), ["icell", "qcell"])
-    else:
-        pairs = q.join(i, "part")
-    return _best_of(pairs, queries, items, k, threshold)
+    kinds = dict(queries.dtypes)["query_id"], dict(items.dtypes)["item_id"]
 
+    def side(df: DataFrame, ident: str) -> DataFrame:
+        rows = df.filter(F.col("embedding").isNotNull()).select(
+            (F.col(partition).cast("string") if partition else F.lit("")).alias("part"), F.col(ident).alias("ident"), F.col("embedding").alias("vector"))
+        return rows.filter(F.col("part").isNotNull())
 
-def _best_of(pairs: DataFrame, queries: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The best `k` of every query over pairs of blocks (qids, qvecs, iids, ivecs), each pair cut to `k` by itself first."""
-    kinds = dict(queries.dtypes)["query_id"], dict(items.dtypes)["item_id"]
+    def root(n: Column) -> Column:
+        return F.ceil(F.sqrt(n / CELL_ROWS)).cast("int")
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    q, i = side(queries, "query_id"), side(items, "item_id")
+    if partition is None:
+        rows = int(query_splits or max(1, ceil((queries.count() / CELL_ROWS) ** 0.5)))
+        columns = int(item_splits or max(1, ceil((items.count() / CELL_ROWS) ** 0.5)))
+        q, i = (df.select("*", F.lit(0).alias("bucket"), F.lit(rows).alias("_rows"), F.lit(columns).alias("_columns")) for df in (q, i))
+    else:
+        counted = q.groupBy("part").agg(F.count(F.lit(1)).alias("_q")).join(i.groupBy("part").agg(F.count(F.lit(1)).alias("_i")), "part")
+        sizes = stage(counted, "part-sizes")
+        large = stage(sizes.filter((F.col("_q") > CELL_ROWS) | (F.col("_i") > CELL_ROWS)).select("part", root(F.col("_q")).alias("_rows"), root(F.col("_i")).alias("_columns")), "large-parts")
+        total = sizes.agg(F.sum(F.col("_q") + F.col("_i"))).first()[0] or 0
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / (4 * CELL_ROWS)))
+        q, i = (df.join(large, "part", "left").select("part", "ident", "vector", F.pmod(F.xxhash64("part"), F.lit(buckets)).cast("int").alias("bucket"),
+                                                      F.coalesce("_rows", F.lit(1)).alias("_rows"), F.coalesce("_columns", F.lit(1)).alias("_columns")) for df in (q, i))
+    own = lambda n: F.pmod(F.xxhash64("ident"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["part", "ident", "vector", "bucket", "_row", "_column"]
+    q = q.withColumn("_row", own("_rows")).withColumn("_column", every("_columns")).select(*cols)
+    i = i.withColumn("_column", own("_columns")).withColumn("_row", every("_rows")).select(*cols)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
         import numpy as np
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for qids, qvecs, iids, ivecs in batch.itertuples(index=False, name=None):
-                if not len(qids) or not len(iids):
-                    continue
-                sims = np.frombuffer(qvecs).reshape(len(qids), -1) @ np.frombuffer(ivecs).reshape(len(iids), -1).T
-                rows, cols = np.nonzero(sims > threshold)
-                sim, ids = sims[rows, cols], np.asarray(iids)[cols]
-                order = np.lexsort((ids, -sim, rows))
-                rows, sim, ids = rows[order], sim[order], ids[order]
-                first = np.searchsorted(rows, rows)  # rows are sorted: where each query's begin
-                keep = np.arange(len(rows)) - first < k
-                out.append(pd.DataFrame({"query_id": np.asarray(qids)[rows[keep]], "item_id": ids[keep], "sim": sim[keep]}))
-            if out:
-                yield pd.concat(out)
-
-    hits = pairs.select("qids", "qvecs", "iids", "ivecs").mapInPandas(best, f"query_id {kinds[0]}, item_id {kinds[1]}, sim double")
+        import pyarrow as pa
+
+        (qv, mine), (iv, theirs) = _matrix(left["vector"]), _matrix(right["vector"])
+        mine, theirs = np.flatnonzero(mine), np.flatnonzero(theirs)
+        r, c, sim = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+        if len(mine) and len(theirs):
+            tiles = _part_tiles(left, right, mine, theirs) if centroids is None else _cell_tiles(qv, iv, mine, theirs, centroids, probes)
+            r, c, sim = _nearest(qv, iv, right["ident"].to_pandas().to_numpy(), k, threshold, tiles)
+        return pa.table({"query_id": left["ident"].take(pa.array(r)), "item_id": right["ident"].take(pa.array(c)), "sim": pa.array(sim)})
+
+    keys = ["bucket", "_row", "_column"]
+    hits = q.groupBy(*keys).cogroup(i.groupBy(*keys)).applyInArrow(best, f"query_id {kinds[0]}, item_id {kinds[1]}, sim double")
     return top_per_key(hits, ["query_id"], [F.col("sim").desc(), F.col("item_id")], k, rank="rank")
 
 
+def topk_join(queries: DataFrame, items: DataFrame, k: int = 10, threshold: float = 0.7, partition: str | None = None,
+              item_splits: int | None = None, query_splits: int | None = None) -> DataFrame:
+    """The `k` items of greatest cosine similarity strictly above `threshold` for every query.
+
+    `queries`: query_id, embedding; `items`: item_id, embedding; with `partition`
+    both carry that column and only equal values meet.  Exact: every query meets
+    every item in one cell of a grid, by matrix products, and a cell returns its
+    best `k` per query.  Without `partition` the grid has `query_splits` x
+    `item_splits` cells, the root of the rows by default.  Returns query_id,
+    item_id, sim, rank.
+    """
+    return _meet(queries, items, k, threshold, partition, item_splits, query_splits)
+
+
 def _some_vectors(df: DataFrame, ident: str, n: int) -> np.ndarray:
     """Unit vectors of `n` rows at most, chosen by a hash of their ids."""
     import numpy as np
@@ -232,34 +300,25 @@ def fit_cells(items: DataFrame, cells: int, sample: int = 20_000, rounds: int =
     return centroids
 
 
-def _in_cells(df: DataFrame, ident: str, centroids: np.ndarray, probes: int) -> DataFrame:
-    """Blocks of unit vectors by cell: each vector in its `probes` nearest cells; no shuffle."""
-    kind = dict(df.dtypes)[ident]
-    rows = df.filter(F.col("embedding").isNotNull()).select(F.col(ident).alias("ident"), F.col("embedding").cast("array<double>").alias("embedding"))
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-        import pandas as pd
+def _cell_tiles(q: np.ndarray, x: np.ndarray, mine: np.ndarray, theirs: np.ndarray, centroids: np.ndarray, probes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tiles of living rows: the items of a centroid with the queries that have it among their `probes` nearest."""
+    import numpy as np
 
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch["embedding"].to_numpy())
-            norm = np.linalg.norm(x, axis=1)
-            ids, x = batch["ident"].to_numpy()[norm > 0], x[norm > 0] / norm[norm > 0, None]
-            near = x @ centroids.T
-            near = np.argpartition(-near, probes - 1, axis=1)[:, :probes] if probes < len(centroids) else np.broadcast_to(np.arange(len(centroids)), near.shape)
-            order = np.argsort(near, axis=None, kind="stable")
-            cell, row = near.reshape(-1)[order], order // near.shape[1]
-            cuts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else []
-            out = []
-            for a, b in zip(cuts, np.append(cuts[1:], len(cell)).astype(int)):
-                for c in range(a, b, BLOCK_ROWS):
-                    at = row[c:min(b, c + BLOCK_ROWS)]
-                    out.append((int(cell[a]), ids[at].tolist(), x[at].tobytes()))
-            yield pd.DataFrame(out, columns=["cell", "ids", "vecs"])
-
-    return rows.mapInPandas(blocks, f"cell int, ids array<{kind}>, vecs binary")
+    cell = np.zeros(len(x), dtype=np.int64)
+    for a in range(0, len(theirs), TILE[0]):
+        at = theirs[a:a + TILE[0]]
+        cell[at] = np.argmax(x[at] @ centroids.T, axis=1)
+    given = _grouped(cell, theirs)
+    for a in range(0, len(mine), TILE[0]):
+        at = mine[a:a + TILE[0]]
+        near = q[at] @ centroids.T
+        asked = np.zeros(near.shape, dtype=bool)
+        np.put_along_axis(asked, np.argpartition(-near, probes - 1, axis=1)[:, :probes] if probes < len(centroids) else np.broadcast_to(np.arange(len(centroids)), near.shape), True, axis=1)
+        for c, over in given.items():
+            some = at[asked[:, c]]
+            if len(some):
+                for b in range(0, len(over), TILE[1]):
+                    yield some, over[b:b + TILE[1]]
 
 
 def probes_needed(queries: DataFrame, items: DataFrame, centroids: np.ndarray, k: int, threshold: float, target: float, audited: int = 256) -> int:
@@ -310,13 +369,12 @@ def topk_cells(queries: DataFrame, items: DataFrame, k: int = 10, threshold: flo
     exact.
     """
     n = items.count()
+    # A query looks into a cell wherever a share of its items lies, so a vector is copied as often as in the exact search, not once for each probe.
     centroids = fit_cells(items, cells or max(1, min(4096, round(2 * n ** 0.5))), sample)
     if not len(centroids):
         return topk_join(queries, items, k, threshold)
     probes = probes_needed(queries, items, centroids, k, threshold, target, audited)
-    q = _in_cells(queries, "query_id", centroids, probes).select("cell", F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
-    i = _in_cells(items, "item_id", centroids, 1).select("cell", F.col("ids").alias("iids"), F.col("vecs").alias("ivecs"))
-    return _best_of(q.join(i, "cell"), queries, items, k, threshold)
+    return _meet(queries, items, k, threshold, centroids=centroids, probes=probes)
 
 
 # --- evidence texts ------------------------------------------------------------------
@@ -344,14 +402,14 @@ def pair_excerpts(pairs: DataFrame, chunks: DataFrame, k: int = 6, threshold: fl
     `pairs`: contractor_id, notice_id, title, description, embedding; `chunks`:
     chunk_id, notice_id, chunk_text, embedding.  A pair without a chunk above the
     threshold, or without a vector, gets the notice's description, and where there
-    is none its title.  One block join partitioned by notice: pairs meet the chunks
-    of their notice only.
+    is none its title.  One search partitioned by notice: pairs meet the chunks of
+    their notice only; its few hits are staged, as two branches read them.
     """
     keys = ["contractor_id", "notice_id"]
     # The notice is part of the id, so an id belongs to one pair.
     asked = pairs.select(F.struct(*keys).alias("_pair"), F.to_json(F.struct(*keys)).alias("query_id"), F.col("notice_id").alias("part"), "embedding")
     items = chunks.select(F.col("chunk_id").alias("item_id"), F.col("notice_id").alias("part"), "embedding")
-    hits = topk_join(asked.drop("_pair"), items, k, threshold, partition="part")
+    hits = stage(topk_join(asked.drop("_pair"), items, k, threshold, partition="part"), "excerpt-hits")
     found = hits.join(asked.select("_pair", "query_id"), "query_id").join(chunks.select(F.col("chunk_id").alias("item_id"), "chunk_text"), "item_id") \
         .select("_pair.*", "rank", "chunk_text", "sim")
     bare = pairs.join(found.select(*keys).distinct(), keys, "left_anti") \
@@ -367,7 +425,7 @@ def pair_projects(pairs: DataFrame, past: DataFrame, k: int = 5, threshold: floa
     keys = ["contractor_id", "notice_id"]
     asked = pairs.select(F.struct(*keys).alias("_pair"), F.to_json(F.struct(*keys)).alias("query_id"), F.col("contractor_id").alias("part"), "embedding")
     items = past.select(F.col("project_id").alias("item_id"), F.col("contractor_id").alias("part"), "embedding")
-    hits = topk_join(asked.drop("_pair"), items, k, threshold, partition="part")
+    hits = stage(topk_join(asked.drop("_pair"), items, k, threshold, partition="part"), "project-hits")
     text = past.select("contractor_id", "project_id", "project_name", "description")
     found = hits.join(asked.select("_pair", "query_id"), "query_id").select("_pair.*", "rank", F.col("item_id").alias("project_id"), "sim").join(text.drop("contractor_id"), "project_id")
     filed = top_per_key(text, ["contractor_id"], [F.col("project_id")], k, rank="rank").withColumn("sim", F.lit(0.0))
