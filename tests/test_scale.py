@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from tenderspark.operators import feed
 from tenderspark.operators import retrieval as rt
 from tenderspark.operators import scoring as sc
+from tenderspark.operators import tagging as tg
 
 
 def test_candidate_pairs_equal_a_scan_of_the_feed(spark):
@@ -66,3 +67,33 @@ def test_approximate_search_copies_no_vector_for_each_probe(spark):
     rows = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(np.random.default_rng(7).standard_normal((400, 8)))], "item_id bigint, embedding array<double>")
     plan = rt.topk_cells(rows.withColumnRenamed("item_id", "query_id"), rows, 5, 0.2, audited=32)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_keyword_tags_equal_a_search_for_each_needle(spark):
+    rng = random.Random(2)
+    needles = ["ab", "abc", "abcab", "b.c", "ca", "c", "bca b", "x"]
+    rules = tuple((n, f"T{i // 2}") for i, n in enumerate(needles))
+    texts = ["".join(rng.choice("abc. AX") for _ in range(rng.randint(0, 12))) for _ in range(400)] + [None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tg.keyword_tags(F.col("t"), rules).alias("tags")).collect()
+    for r in got:
+        assert r.tags == list(dict.fromkeys(tag for needle, tag in rules if needle in (texts[r.i] or "").lower()))
+
+
+def test_few_fits_run_at_once_on_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(tg, "FEATURE_BITS", 10)
+    monkeypatch.setattr(tg, "SMALL", 0)
+    monkeypatch.setattr(tg, "TAG_VOCABULARY", ("A", "B", "C", "D", "E", "F"))
+    running, most, plain = [], [], tg.LogisticRegression.fit
+
+    def fit(self, data):
+        running.append(1)
+        most.append(len(running))
+        model = plain(self, data)
+        running.pop()
+        return model
+
+    monkeypatch.setattr(tg.LogisticRegression, "fit", fit)
+    rows = spark.createDataFrame([(f"word{i % 6} other", ["ABCDEF"[i % 6]]) for i in range(48)], "t string, l array<string>")
+    tagger = tg.Tagger.train(rows, "t", "l", max_iter=2)
+    assert len(tagger.models) == 6 and max(most) == tg.SPACE
+    assert not spark._jsc.getPersistentRDDs()
