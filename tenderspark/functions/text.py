@@ -88,7 +88,7 @@ def is_filler(sentence: Column) -> Column:
 def strip_addenda(c: Column | str) -> Column:
     """Remove dated addendum and Q&A entries."""
     def log_line(line: Column) -> Column:
-        return strip(line).rlike(DATE_PREFIX) & contains_any(F.lower(line), ADDENDUM_WORDS)
+        return line.rlike(DATE_PREFIX) & contains_any(F.lower(line), ADDENDUM_WORDS)
 
     def block(text: Column) -> Column:
         def with_filled(lines: Column, filled: Column) -> Column:
@@ -112,15 +112,19 @@ def strip_admin_lead(c: Column | str, phrases: Iterable[str] = ADMIN_LEAD_PHRASE
     def kept(s: Column) -> Column:
         return ~contains_any(F.lower(s), phrases)
 
+    def first(items: Column, predicate) -> Column:
+        # Mostly the first one fits; then the others are not looked at.
+        return F.when(predicate(F.try_element_at(items, F.lit(1))), 0).otherwise(first_index(items, predicate))
+
     def from_first(paras: Column) -> Column:
         def rest(p0: Column) -> Column:
             opening = paras[p0]
-            start = first_index(opening, kept)
-            first = F.array_join(F.slice(opening, start + 1, F.size(opening)), " ")
+            start = first(opening, kept)
+            lead = F.array_join(F.slice(opening, start + 1, F.size(opening)), " ")
             later = F.transform(F.slice(paras, p0 + 2, F.size(paras)), lambda p: F.array_join(p, " "))
-            return F.when(p0.isNotNull(), strip(F.array_join(drop_blank(F.concat(F.array(first), later)), "\n\n")))
+            return F.when(p0.isNotNull(), strip(F.array_join(drop_blank(F.concat(F.array(lead), later)), "\n\n")))
 
-        return let(first_index(paras, lambda p: F.exists(p, kept)), rest)
+        return let(first(paras, lambda p: F.exists(p, kept)), rest)
 
     return filled(let(F.transform(_paragraphs(col(c)), paragraph), from_first))
 
@@ -178,8 +182,7 @@ def limit_sentences(c: Column | str, lo: int = 4, hi: int = 5) -> Column:
 def description_body(c: Column | str) -> Column:
     """Lines between the description anchor and the first trailer, without labels and doubled blanks."""
     def trailer(ln: Column) -> Column:
-        low = F.lower(strip(ln))
-        return F.array_contains(literals(TRAILER_LINES), low) | starts_with_any(low, TRAILER_PREFIXES)
+        return let(F.lower(ln), lambda low: F.array_contains(literals(TRAILER_LINES), low) | starts_with_any(low, TRAILER_PREFIXES))
 
     def cut(body: Column) -> Column:
         end = first_index(body, trailer)
@@ -189,17 +192,17 @@ def description_body(c: Column | str) -> Column:
         start = F.coalesce(first_index(lines, lambda ln: ln.rlike(BODY_ANCHOR)) + 1, F.lit(0))
         return F.slice(lines, start + 1, F.size(lines))
 
-    kept = F.filter(let(let(F.split(col(c), "\n"), body), cut),
-                    lambda ln: ~strip(ln).rlike(HEADER_LABEL) & ~strip(ln).rlike(EVENT_LINE))
-    return strip(F.regexp_replace(F.array_join(F.transform(kept, strip), "\n"), r"\n{3,}", "\n\n"))
+    lines = F.transform(F.split(col(c), "\n"), strip)
+    kept = F.filter(let(let(lines, body), cut), lambda ln: ~ln.rlike(HEADER_LABEL) & ~ln.rlike(EVENT_LINE))
+    return strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
 
 
 def clean_description(c: Column | str) -> Column:
-    """The whole description clean-up."""
+    """The whole description clean-up; a row without a description takes none of its steps."""
     step = let(description_body(c), strip_addenda)
     step = let(step, lambda s: F.coalesce(strip_admin_lead(s), F.lit("")))
     step = let(step, cap_paragraphs)
-    return filled(let(step, limit_sentences))
+    return F.when(col(c).isNotNull(), filled(let(step, limit_sentences)))
 
 
 def _noise_free(c: Column) -> Column:
