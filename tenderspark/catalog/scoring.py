@@ -21,16 +21,26 @@ def _list(ws):
     return "[" + ", ".join("'" + w + "'" for w in ws) + "]"
 
 
-def _pairs(t):
-    """Saved notices of every contractor and the first 100 unscored ones of the feed, staged once."""
+def _lots(t):
+    """Saved notices of every contractor and the first 100 unscored ones of the feed, a contractor's together."""
     ready = feed.has_signal(t.contractors, t.past_projects)
-    fresh = feed.candidate_pairs(ready, feed.base_feed(t.notices), t.scores, 100).select("contractor_id", "notice_id")
     kept = t.saved.select("contractor_id", "notice_id").join(t.notices.select("notice_id"), "notice_id", "left_semi").join(t.contractors.select("contractor_id"), "contractor_id", "left_semi")
-    return stage(kept.select("contractor_id", "notice_id").union(fresh).distinct(), "pairs")
+    return feed.candidate_pairs(ready, feed.base_feed(t.notices), t.scores, 100, kept.select("contractor_id", "notice_id").distinct())
+
+
+def _pairs(t):
+    """`_lots`, staged once."""
+    return stage(_lots(t), "pairs")
+
+
+def _inputs(t):
+    return sc.pair_inputs(_pairs(t), t.contractors, t.notices)
 
 
-def _rows(t):
-    return stage(sc.pair_inputs(_pairs(t), t.contractors, t.notices), "pair-rows")
+def _rows(t, *columns):
+    """The pairs with their short columns (all, or those that a factor reads), staged."""
+    rows = _inputs(t)
+    return stage(rows.select(*sc.PAIR, *columns) if columns else rows, "pair-rows")
 
 
 def _judgements(t):
@@ -109,7 +119,7 @@ _AGENCY = f"""(with cl as (select distinct contractor_id, client_name from (sele
 
 @query("agency_factor", f"select * from {_AGENCY}")
 def agency_factor(t):
-    return sc.agency(_rows(t), t.past_projects, alias_table(t.spark)).select("contractor_id", "notice_id", "is_null", "score", F.array_join("matched_clients", "|").alias("matched"))
+    return sc.agency(_rows(t, "department"), t.past_projects, alias_table(t.spark)).select("contractor_id", "notice_id", "is_null", "score", F.array_join("matched_clients", "|").alias("matched"))
 
 
 _CODE = f"""(select contractor_id, notice_id, i, req, arg_max(struct_pack(s := s, h := h), struct_pack(s := s, p := -j)) as best from (
@@ -144,7 +154,7 @@ _PREREQ = f"""(select contractor_id, notice_id, met, unmet, structured + coalesc
 
 @query("prereq_factor", f"select contractor_id, notice_id, is_null, score, reason, cast(total as int) as total from {_PREREQ}")
 def prereq_factor(t):
-    return sc.prereqs(_rows(t), _judgements(t)).select("contractor_id", "notice_id", "is_null", "score", "reason", "total")
+    return sc.prereqs(_inputs(t), _judgements(t)).select("contractor_id", "notice_id", "is_null", "score", "reason", "total")
 
 
 @query("prereq_factor_by_requirements", f"""select contractor_id, notice_id, cast(structured + case when n_met_ is null then 0 else 3 end as int) as total,
@@ -162,7 +172,7 @@ _EXP = f"""(select contractor_id, notice_id, case when w.names is null or j.scor
 
 @query("experience_factor", f"select * from {_EXP}")
 def experience_factor(t):
-    return sc.experience(_pairs(t), t.past_projects, _judgements(t)).select("contractor_id", "notice_id", "is_null", "score", F.array_join("matched_past_projects", "|").alias("matched"))
+    return sc.experience(_lots(t), t.past_projects, _judgements(t)).select("contractor_id", "notice_id", "is_null", "score", F.array_join("matched_past_projects", "|").alias("matched"))
 
 
 _GOAL = f"""(select contractor_id, notice_id, trim(coalesce(goals, '')) = '' or j.score is null as is_null, case when trim(coalesce(goals, '')) = '' then 0 else coalesce(j.score, 0) end as score from {_ROWS}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenderspark.fixed import INDUSTRY_TAGS, TOPIC_TAGS
 from tenderspark.functions.common import blank_to_null, drop_blank, let, literals, round_half_up, strip
@@ -265,14 +266,16 @@ def with_bid_status(saved: DataFrame, status: str) -> DataFrame:
     return saved.filter(F.coalesce("bid_status", F.lit("reviewing")) == status)
 
 
-def candidate_pairs(contractors: DataFrame, feed: DataFrame, scores: DataFrame, cap: int = 100) -> DataFrame:
-    """The first `cap` unscored feed notices of each contractor.
+def candidate_pairs(contractors: DataFrame, feed: DataFrame, scores: DataFrame, cap: int = 100, kept: DataFrame | None = None) -> DataFrame:
+    """The first `cap` unscored feed notices of each contractor, in lots of one contractor.
 
     A contractor with s scored notices finds them among the first cap + s feed
     ranks, so only the head of the feed up to the greatest cap + s is used; it is
     staged, so that Spark knows how short it is.  Which ranks are left is worked out
     in the contractor's row from the ranks already scored: no contractor x notice
-    product, and the pairs themselves are not shuffled.
+    product, and the pairs themselves are not shuffled.  With `kept`
+    (contractor_id, notice_id: distinct pairs of any contractor, without nulls) these
+    are added, every pair comes once, and there is no feed_rank.
     """
     spark = feed.sparkSession
     scored = scores.select("contractor_id", "notice_id").distinct()
@@ -280,15 +283,30 @@ def candidate_pairs(contractors: DataFrame, feed: DataFrame, scores: DataFrame,
     reach = cap + (n_scored.agg(F.max("_s")).first()[0] or 0)
     ranked = rank_rows(feed.select("notice_id", "due_date"), [], feed_order(), feed_buckets(), "feed_rank") \
         .withColumn("feed_rank", F.col("feed_rank").cast("int")).select("feed_rank", "notice_id")
-    first = stage(ranked.filter(F.col("feed_rank") <= reach), "feed-head")
+    head = ranked.filter(F.col("feed_rank") <= reach)
+    first = stage(head.withColumn("_least", F.min("feed_rank").over(Window.partitionBy("notice_id"))), "feed-head")
     taken = scored.join(first, "notice_id").groupBy("contractor_id").agg(F.collect_set("feed_rank").alias("_taken"))
-    open_ranks = F.array_except(F.sequence(F.lit(1), (F.lit(cap) + F.coalesce("_s", F.lit(0))).cast("int")), F.coalesce("_taken", F.array().cast("array<int>")))
+    open_ranks = F.slice(F.array_except(F.sequence(F.lit(1), (F.lit(cap) + F.coalesce("_s", F.lit(0))).cast("int")), F.coalesce("_taken", F.array().cast("array<int>"))), 1, cap)
+    # A contractor that is given more than once has its ranks as often.
+    open_ranks = F.when(F.col("_copies") == 1, open_ranks).otherwise(F.slice(F.flatten(F.transform(open_ranks, lambda r: F.array_repeat(r, F.col("_copies")))), 1, cap))
+    # Of a notice that the feed has more than once the least rank stands for it.
+    given = contractors.select("contractor_id", F.lit(1).alias("_copies"))
+    if kept is not None:
+        least = first.filter("feed_rank = _least").select("notice_id", "feed_rank")
+        given = given.withColumn("_one", F.lit(None).cast(T.StructType([least.schema["feed_rank"], kept.schema["notice_id"]]))) \
+            .unionByName(kept.join(least, "notice_id", "left").select("contractor_id", F.lit(0).alias("_copies"), F.struct("feed_rank", "notice_id").alias("_one")))
     # A set number of partitions, as few small rows become many here.
-    wanted = contractors.select("contractor_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "contractor_id") \
-        .join(n_scored, "contractor_id", "left").join(taken, "contractor_id", "left") \
-        .select("contractor_id", F.explode(F.slice(open_ranks, 1, cap)).alias("feed_rank"))
-    fresh = wanted.join(first, "feed_rank").select("contractor_id", "notice_id", "feed_rank")
-    return top_per_key(fresh, ["contractor_id"], [F.col("feed_rank")], cap)
+    each = given.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "contractor_id").groupBy("contractor_id") \
+        .agg(F.sum("_copies").cast("int").alias("_copies"), *([] if kept is None else [F.collect_list("_one").alias("_kept")]))
+    wanted = each.join(n_scored, "contractor_id", "left").join(taken, "contractor_id", "left").withColumn("_open", open_ranks)
+    if kept is None:
+        fresh = wanted.select("contractor_id", F.explode("_open").alias("feed_rank")).join(first, "feed_rank").select("contractor_id", "notice_id", "feed_rank")
+        return top_per_key(fresh, ["contractor_id"], [F.col("feed_rank")], cap)
+    more = F.filter("_kept", lambda k: ~F.coalesce(F.array_contains(F.col("_open"), k["feed_rank"]), F.lit(False)))
+    open_ones = F.transform(F.array_distinct("_open"), lambda r: F.struct(r.alias("feed_rank"), F.lit(None).cast(kept.schema["notice_id"].dataType).alias("notice_id")))
+    shown = wanted.select("contractor_id", F.inline(F.concat(open_ones, more)))
+    return shown.join(first.withColumnRenamed("notice_id", "_notice"), "feed_rank", "left").filter("notice_id is not null or feed_rank = _least") \
+        .select("contractor_id", F.coalesce("notice_id", "_notice").alias("notice_id"))
 
 
 def has_signal(contractors: DataFrame, past: DataFrame) -> DataFrame:

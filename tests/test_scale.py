@@ -1,6 +1,7 @@
 """Operators that were rewritten for large tables, against the plain way on generated rows."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -26,6 +27,29 @@ def test_candidate_pairs_equal_a_scan_of_the_feed(spark):
     assert sorted(((r.contractor_id, r.notice_id) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_kept_pairs_join_the_fresh_ones_without_a_shuffle_of_pairs(spark):
+    rng = random.Random(5)
+    notices = spark.createDataFrame([(n, rng.choice([None, *range(9)])) for n in [*range(40), 3, 7, 7]], "notice_id bigint, d int") \
+        .withColumn("due_date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("d")).cast("timestamp"))
+    scores = spark.createDataFrame([(c, rng.randrange(50)) for c in range(6) for _ in range(c * 4)] + [(1, None), (None, 3)], "contractor_id bigint, notice_id bigint")
+    people = spark.createDataFrame([(c,) for c in [*range(7), 2, 2, None]], "contractor_id bigint")
+    kept = spark.createDataFrame([(c, rng.randrange(60)) for c in range(9) for _ in range(9)], "contractor_id bigint, notice_id bigint").distinct()
+    want = feed.candidate_pairs(people, notices, scores, 5).select("contractor_id", "notice_id").union(kept).distinct()
+    got = feed.candidate_pairs(people, notices, scores, 5, kept)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("Generate")].replace("BroadcastExchange", "")
+
+
+def test_factors_shuffle_no_pair_by_both_keys(spark, sf_dir):
+    t = entry.queries()["experience_factor"](spark, sf_dir)
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("Generate")].replace("BroadcastExchange", "") and "SortMergeJoin" not in plan[:plan.index("Generate")]
+    for name in ("agency_factor", "prereq_factor"):  # the pairs move while they are two keys or a department, by their contractor
+        plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(contractor_id" in plan and not re.search(r"hashpartitioning\(contractor_id#\d+L, (notice_id|department)", plan)
+
+
 def test_crowded_notices_join_as_others(spark, monkeypatch):
     pairs = spark.createDataFrame([(c, n) for c in range(30) for n in (1, 2, 100 + c)] + [(None, 1), (3, None)], "contractor_id bigint, notice_id bigint")
     people = spark.createDataFrame([(c, f"c{c}") for c in range(28)], "contractor_id bigint, c string")
