@@ -53,9 +53,12 @@ def streamed_latest_views(t):
 @query("streamed_merge", "select source, external_id, title, name, department, due_date, array_to_string(tags, '|') as tags, status, content_hash from " + _MERGED)
 def streamed_merge(t):
     root, updates = scratch_path(t.spark, "merge-table"), scratch_path(t.spark, "merge-updates")
-    buckets.create(t.old_snapshot, root, KEYS, 16)
-    t.new_snapshot.repartition(4, *KEYS).write.parquet(updates)
-    stream = t.spark.readStream.schema(t.new_snapshot.schema).option("maxFilesPerTrigger", 1).parquet(updates)
+    # Four batches of updates, a key's in one; more rows make more files and buckets, not larger ones.
+    rows = t.orders.count()
+    files = buckets.parts_for(rows, 4) // 4
+    buckets.create(t.old_snapshot, root, KEYS, buckets.parts_for(rows, 16))
+    t.new_snapshot.repartition(4 * files, *KEYS).write.parquet(updates)
+    stream = t.spark.readStream.schema(t.new_snapshot.schema).option("maxFilesPerTrigger", files).parquet(updates)
     intake.stream_merge(stream, root, scratch_path(t.spark, "merge-checkpoint"), KEYS, ["tags", "deliverables"], ["content_hash"]).awaitTermination()
     return buckets.read(t.spark, root).drop("deliverables", "updated_at").withColumn("tags", F.array_join("tags", "|"))
 

@@ -9,6 +9,7 @@ kept for that; older files go.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,9 @@ from pyspark.sql.types import StructType
 from tenderspark.session import delete_path
 
 
+PART_ROWS = 100_000
+
+
 def _bucket(keys: Sequence[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
@@ -31,9 +35,14 @@ def _paths(root: str, manifest: dict[int, int]) -> list[str]:
     return [f"{root}/data/v={v}/_b={b}" for b, v in sorted(manifest.items())]
 
 
+def parts_for(rows: int, least: int) -> int:
+    """Parts of about `PART_ROWS` rows, an easy task each; `least` at least."""
+    return max(least, math.ceil(rows / PART_ROWS))
+
+
 def _write(df: DataFrame, root: str, version: int, keys: Sequence[str], buckets: int, manifest: dict[int, int], touched: Sequence[int]) -> None:
     spark, path = df.sparkSession, f"{root}/data/v={version}"
-    df.withColumn("_b", _bucket(keys, buckets)).repartition("_b").write.mode("overwrite").partitionBy("_b").parquet(path)
+    df.withColumn("_b", _bucket(keys, buckets)).repartitionById(buckets, "_b").write.mode("overwrite").partitionBy("_b").parquet(path)
     written = {int(f.rpartition("/_b=")[2].split("/")[0]) for f in spark.read.schema(df.schema).parquet(path).inputFiles()}
     now = {b: v for b, v in manifest.items() if b not in touched} | {b: version for b in written}
     # A row of its own, so that a table without rows has a version as well.
@@ -41,7 +50,7 @@ def _write(df: DataFrame, root: str, version: int, keys: Sequence[str], buckets:
 
 
 def create(df: DataFrame, root: str, keys: Sequence[str], buckets: int = 64) -> None:
-    """Version 0 of a table.  Choose `buckets` so that one of them is an easy task."""
+    """Version 0 of a table.  Choose `buckets` so that one of them is an easy task (`parts_for`)."""
     df.sparkSession.createDataFrame([(df.schema.json(), buckets)], "schema string, buckets int").coalesce(1).write.mode("overwrite").json(f"{root}/table")
     _write(df, root, 0, keys, buckets, {}, range(buckets))
 

@@ -6,6 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from compare import compare, connect
 from tenderspark.operators import maintenance as mt
 from tenderspark.operators.maintenance import ingest_counts, to_notice_row
 from tenderspark.operators.departments import alias_table
@@ -132,3 +134,13 @@ def test_notice_file_to_table_and_amendment(spark, tmp_path):
     # A later batch in which nothing changes keeps the time of the amendment.
     later, log = ingest(changed, done.withColumn("content_hash", F.lit("h2")).withColumn("title", F.lit("New title")), "2026-01-03 00:00:00")
     assert log.count() == 0 and str(later.first().last_amended_at) == "2026-01-02 00:00:00"
+
+
+def test_merge_of_many_rows_has_more_files_and_buckets(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(buckets, "PART_ROWS", 50)
+    made, create = [], buckets.create
+    monkeypatch.setattr(buckets, "create", lambda df, root, keys, n: (made.append(n), create(df, root, keys, n)))
+    queries, checks = entry.queries(), entry.oracle_sql()
+    ok, note = compare(spark, connect(sf_dir), "streamed_merge", queries["streamed_merge"], checks["streamed_merge"], sf_dir)
+    assert ok, note
+    assert made == [buckets.parts_for(spark.read.parquet(f"{sf_dir}/orders.parquet").count(), 16)] and made[0] > 16
