@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,3 +287,46 @@ def test_a_text_longer_than_a_batch_loses_its_repeated_lines(spark):
     rows = [(1, "\n".join(body)), (2, "\n".join([line(), body[7], body[79_999]])), (3, body[5])]
     got = {r["doc_id"]: r["removed"] for r in lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {2: [1, 2], 3: [0]}
+
+
+def test_span_of_links_equals_brute_force():
+    rng = np.random.default_rng(11)
+    for n in (2, 3, 40, 300):
+        base = [rng.integers(0, 1000, 60) for _ in range(4)]
+        sets = []
+        for k in range(n):
+            x = base[k % 4].copy()
+            x[:rng.integers(0, 16)] = rng.integers(1000, 1100 if k % 2 else 10**9)
+            sets.append(np.unique(np.append(x, rng.integers(10**9, 2 * 10**9, rng.integers(0, 12))).astype(np.uint64))[:rng.integers(1, 80)])
+        for t in (0.8, 0.5, 1.0):
+            found = list(groups.jaccard_span(sets, t))
+            assert parts(range(n), found) == parts(range(n), brute_links(dict(enumerate(map(set, map(np.ndarray.tolist, sets)))), t))
+            assert len(found) < n and all(jaccard(set(sets[a].tolist()), set(sets[b].tolist())) >= t for a, b in found)
+
+
+def test_large_group_of_lines_takes_no_look_at_all_pairs(monkeypatch):
+    """Copies of a line with one place changed, and as many with two: near copies of a group that grows with the table."""
+    rng = random.Random(3)
+    base, seen = "".join(rng.choice("abcdefghij ") for _ in range(120)), []
+    for k in range(3000):
+        s = list(base)
+        for at in [rng.randrange(120) for _ in range(1 + k % 2 * 3)]:
+            s[at] = chr(0x4E00 + rng.randrange(20_000))
+        seen.append("".join(s))
+    hashes, start, count = lines._shingles(seen)
+    sets = [np.unique(hashes[a:a + n]) for a, n in zip(start.tolist(), count.tolist())]
+    looked, real = [], np.add.reduceat
+    monkeypatch.setattr(groups.np, "add", type("Add", (), {"reduceat": staticmethod(lambda x, edge, **kw: looked.append(len(edge)) or real(x, edge, **kw))}))
+    found = list(groups.jaccard_span(sets, 0.8))
+    assert len(found) > 1000
+    assert sum(looked) < 3000 * 3000 / 20
+
+
+def test_bands_of_a_hot_line_are_dealt_once_a_batch(spark):
+    docs = spark.createDataFrame([(d, "the very same line of text in all the documents") for d in range(300)], "doc_id long, text string")
+    signed = list(lines._sign(iter(docs.select("doc_id", "text").toArrow().to_batches())))
+    short = pa.array([7] * 300, pa.int64())
+    batches = [pa.RecordBatch.from_arrays([short[:b.num_rows], b.column(3)], names=["line", "bands"]) for b in signed]
+    dealt = list(lines._deal_bands(4)(iter(batches)))
+    assert sum(len(x) for b in dealt for x in b["pairs"].to_pylist()) == lines.BANDS * 16
+    assert [r.asDict() for r in lines.removed_lines(docs).orderBy("doc_id").limit(1).collect()] == [{"doc_id": 1, "removed": [0]}]
