@@ -215,6 +215,22 @@ def test_nearest_against_brute_force(spark):
     assert hnsw.nearest(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_queries_meet_shards_where_they_lie(spark, monkeypatch):
+    """Neither the arrays of a shard nor queries are joined or shuffled; passes of few queries give what one pass gives."""
+    x = vector_rows(np.random.default_rng(9), 400)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3, x[70].tolist()), (9006, [1.0, 2.0]), (9007, [2.0, 4.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = hnsw.nearest(df, F.col("vec_id") % 3 == 0, k=5, shard_size=100)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" not in plan
+    monkeypatch.setattr(hnsw, "QUERIES", 40)
+    monkeypatch.setattr(hnsw, "QUERY_BLOCK", 16)
+    passes = hnsw.nearest(df, F.col("vec_id") % 3 == 0, k=5, shard_size=100)
+    key = lambda r: (r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9))
+    assert sorted(map(key, whole.collect())) == sorted(map(key, passes.collect()))
+    assert {(r["query_id"], r["vec_id"]) for r in passes.filter("query_id = 9006").collect()} == {(9006, 9007)}
+
+
 def recall_in_one_graph(x, k=5):
     """Of the `k` nearest of every row by id, the share that a search of one graph over all rows finds."""
     u = unit(np.unique(x, axis=0))
